@@ -36,8 +36,8 @@ def growth_pct(value: str, order: str) -> Column:
 
 
 def revenue_rank(value: str) -> Column:
-    """Descending rank with gaps after ties; use on aggregated rows only."""
-    return F.rank().over(Window.orderBy(F.desc(value))).cast("bigint")
+    """Descending rank with gaps after ties, an unknown value first; use on aggregated rows only."""
+    return F.rank().over(Window.orderBy(F.desc_nulls_first(value))).cast("bigint")
 
 
 def share_pct(value: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.operators.rows import key_set
+from bazaarlens.operators.rows import join_keys
 
 
 def purge(df: DataFrame, predicate: Column) -> DataFrame:
@@ -16,11 +16,11 @@ def purge(df: DataFrame, predicate: Column) -> DataFrame:
 def purge_orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None) -> DataFrame:
     """Drop child rows whose non-null key has no parent; rows with a NULL key stay.
 
-    NULL-key rows bypass the join (they would all hash to one task) and parents are reduced to
-    distinct keys, so the semi join meets at most one parent row per key.
+    NULL-key rows bypass the join (they would all hash to one task), and a key with many rows on
+    either side is reduced or split (see ``join_keys``).
     """
     pk = pk or fk
-    parents = key_set(parent.select(F.col(pk).alias(fk)), fk)
+    parents = join_keys(parent.select(F.col(pk).alias(fk)), fk)
     keyed = child.where(F.col(fk).isNotNull()).join(parents, fk, "left_semi").select(*child.columns)
     return keyed.unionAll(child.where(F.col(fk).isNull()))
 

@@ -74,7 +74,7 @@ def null_audit_by(df: DataFrame, by: str, columns: Mapping[str, str]) -> DataFra
     return (
         df.groupBy(by)
         .agg(total_rows("total"), *null_measures(columns))
-        .orderBy(F.desc("total"), by)
+        .orderBy(F.desc("total"), F.asc_nulls_last(by))
     )
 
 
@@ -97,12 +97,12 @@ def length_profile(df: DataFrame, column: str, alias: str = "text_length") -> Da
     return (
         df.groupBy(F.length(F.col(column).cast("string")).cast("bigint").alias(alias))
         .agg(F.count(F.lit(1)).alias("row_count"))
-        .orderBy(alias)
+        .orderBy(F.asc_nulls_last(alias))
     )
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
-    return df.select(column).distinct().orderBy(column)
+    return df.select(column).distinct().orderBy(F.asc_nulls_last(column))
 
 
 def unexpected_values(df: DataFrame, column: str, domain: Sequence) -> DataFrame:
@@ -112,7 +112,9 @@ def unexpected_values(df: DataFrame, column: str, domain: Sequence) -> DataFrame
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return (
-        df.groupBy(column).agg(F.count(F.lit(1)).alias("row_count")).orderBy(F.desc("row_count"), column)
+        df.groupBy(column)
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        .orderBy(F.desc("row_count"), F.asc_nulls_last(column))
     )
 
 

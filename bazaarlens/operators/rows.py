@@ -29,3 +29,14 @@ def key_set(df: DataFrame, *keys: str) -> DataFrame:
     """Distinct non-null keys, reduced map-side before the shuffle."""
     present = df.select(*keys)
     return present.dropna(subset=list(keys)).distinct()
+
+
+def join_keys(df: DataFrame, key: str, groups: int = 16) -> DataFrame:
+    """Non-null keys for the right side of a semi join, each at most ``groups`` times.
+
+    Adaptive execution splits a hot key of the left side only when the join's own shuffle is the last
+    step on both sides. A global distinct would be reused as that shuffle, so copies are removed within
+    groups of input partitions instead; which group a copy falls in does not change a semi join.
+    """
+    grouped = df.select(key).dropna().withColumn("_group", F.spark_partition_id() % groups)
+    return grouped.distinct().select(key)

@@ -119,11 +119,17 @@ def _scores_per_order(reviews: DataFrame) -> DataFrame:
 
 
 def reviewed_deliveries(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
-    """Delivered orders with their delivery time, status and review totals."""
-    delivered = delivered_orders(tables["orders"], window).select(
-        "order_id", delivery_days().alias("delivery_days"), delivery_status().alias("delivery_status")
+    """Reviewed deliveries: delivery time and status, with review totals that carry order copies."""
+    delivered = (
+        delivered_orders(tables["orders"], window)
+        .groupBy("order_id", delivery_days().alias("delivery_days"), delivery_status().alias("delivery_status"))
+        .agg(_rows("copies"))
+    )
+    copies = F.col("copies")
+    return delivered.join(_scores_per_order(tables["reviews"]), "order_id").select(
+        "order_id", "delivery_days", "delivery_status",
+        *[(F.col(c) * copies).alias(c) for c in ("reviews", "score_sum", "score_count")],
     )
-    return delivered.join(_scores_per_order(tables["reviews"]), "order_id")
 
 
 def _score_summary(group: DataFrame, *extra: Column) -> DataFrame:
@@ -161,7 +167,8 @@ def buyers(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
         .groupBy("customer_id")
         .agg(F.min("order_id").alias("first_id"), F.max("order_id").alias("last_id"))
     )
-    people = tables["customers"].select("customer_id", "unique_customer_id", "customer_state")
+    # A repeated customer row adds nothing to the smallest and largest order id.
+    people = tables["customers"].select("customer_id", "unique_customer_id", "customer_state").distinct()
     return (
         per_customer.join(people, "customer_id")
         .groupBy("unique_customer_id", "customer_state")
@@ -174,7 +181,7 @@ def with_repeat_rate(per_state: DataFrame) -> DataFrame:
     return per_state.select(
         "customer_state", "total_customers", "repeat_customers",
         ratio(F.col("repeat_customers"), F.col("total_customers"), factor=100).alias("repeat_rate_pct"),
-    ).orderBy(F.desc("total_customers"), "customer_state")
+    ).orderBy(F.desc("total_customers"), F.asc_nulls_last("customer_state"))
 
 
 def repeat_by_state(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:

@@ -14,6 +14,7 @@ def local_session(cores: str = "*", app: str = "bazaarlens", **conf: str) -> Spa
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         **conf,
     }

@@ -82,7 +82,9 @@ def enforce(df: DataFrame, not_null: list[str], key: tuple[str, ...]) -> Load:
     for column in reversed(not_null):
         missing = F.when(F.col(column).isNull(), F.lit(f"null {column}")).otherwise(missing)
     whole = df.where(missing.isNull())
-    repeated = duplicate_keys(whole, *key).select(*key)
+    # The few repeated keys are shuffled apart from the count, so that the joins' own shuffle follows and
+    # adaptive execution can split the rows of a key that fills much of the table.
+    repeated = duplicate_keys(whole, *key).repartition("row_count").select(*key)
     rejected = df.where(missing.isNotNull()).withColumn(REASON, missing).unionByName(
         whole.join(repeated, list(key), "left_semi").withColumn(REASON, F.lit("repeated key"))
     )

@@ -140,7 +140,7 @@ TABLES = {
         FROM customer""",
     # Raw text, with faults that a typed column could not hold.
     "m_orders_text": """
-        SELECT CASE WHEN o_orderkey % 1009 = 1008 THEN o_orderkey - 1 ELSE o_orderkey END AS order_id,
+        SELECT CAST(CASE WHEN o_orderkey % 1009 = 1008 THEN o_orderkey - 1 ELSE o_orderkey END AS VARCHAR) AS order_id,
                CASE WHEN o_orderkey % 173 = 0 THEN strftime(o_orderdate, '%d/%m/%Y')
                     ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS order_purchase_timestamp
         FROM orders""",
