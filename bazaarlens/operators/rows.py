@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # Rows one task unrolls from one counted row.
 BLOCK = 1_000
 
+# Rows of a lookup table that every task may hold.
+LOOKUP_ROWS = 100_000
+
 
 def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK) -> DataFrame:
     """Turn each row into ``copies`` equal rows.
@@ -40,3 +43,12 @@ def join_keys(df: DataFrame, key: str, groups: int = 16) -> DataFrame:
     """
     grouped = df.select(key).dropna().withColumn("_group", F.spark_partition_id() % groups)
     return grouped.distinct().select(key)
+
+
+def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcasting if it is proven to be small; otherwise leave the join to Spark.
+
+    For lookups that are derived rather than read, where the optimizer's size estimate is that of their
+    source and the large side would be shuffled for a few rows.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.changes import purge, purge_orphans, repair
+from bazaarlens.operators.rows import small_side
 from bazaarlens.schemas import KEYS, SCHEMAS
 
 # The misspelt and the right word in English category names.
@@ -72,7 +73,7 @@ class CleanTables(Mapping):
             "reviews": lambda: purge_orphans(raw["reviews"], self["orders"], "order_id"),
             "products": lambda: purge_orphans(
                 purge(raw["products"], weightless()),
-                raw["product_category_name_translation"], "product_category_name",
+                small_side(raw["product_category_name_translation"]), "product_category_name",
             ),
             "product_category_name_translation": lambda: fix_typo(raw["product_category_name_translation"]),
         }

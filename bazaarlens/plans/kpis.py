@@ -11,7 +11,6 @@ from bazaarlens.functions.columns import (
     LATE,
     ON_TIME,
     UNKNOWN_CATEGORY,
-    english_category,
     ratio,
     share_pct,
     whole_days,
@@ -20,6 +19,7 @@ from bazaarlens.plans.marts import (
     Tables,
     buyers,
     category_performance,
+    in_english,
     late_vs_ontime,
     monthly_revenue,
     repeat_by_state,
@@ -130,16 +130,9 @@ def repeat_with_min_sample(
 
 def unknown_category(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Products without a category or without a translation, and the revenue of the unknown bucket."""
-    names = tables["product_category_name_translation"].select(
-        "product_category_name", "product_category_name_english"
-    )
-    products = (
-        tables["products"].select("product_category_name")
-        .join(names, "product_category_name", "left")
-        .agg(
-            F.count_if(F.col("product_category_name").isNull()).alias("products_without_category"),
-            F.count_if(english_category() == UNKNOWN_CATEGORY).alias("products_in_bucket"),
-        )
+    products = in_english(tables["products"].select("product_category_name"), tables).agg(
+        F.count_if(F.col("product_category_name").isNull()).alias("products_without_category"),
+        F.count_if(F.col("category") == UNKNOWN_CATEGORY).alias("products_in_bucket"),
     )
     revenue = category_performance(tables, window).agg(
         F.sum(F.when(F.col("category") == UNKNOWN_CATEGORY, F.col("total_revenue")).otherwise(0)).alias(

@@ -27,7 +27,7 @@ from bazaarlens.functions.columns import (
     ratio,
     revenue_rank,
 )
-from bazaarlens.operators.rows import repeat_rows
+from bazaarlens.operators.rows import repeat_rows, small_side
 from bazaarlens.plans.scope import ReportWindow, delivered_orders, sold_orders
 
 Tables = Mapping[str, DataFrame]
@@ -74,24 +74,24 @@ def with_category_rank(per_category: DataFrame) -> DataFrame:
     ).orderBy("revenue_rank", "category")
 
 
-def _translated(items: DataFrame, tables: Tables, how: str) -> DataFrame:
-    """Attach the English category to item rows."""
-    products = tables["products"].select("product_id", "product_category_name")
+def in_english(rows: DataFrame, tables: Tables) -> DataFrame:
+    """Attach the English category to rows with a category name."""
     names = tables["product_category_name_translation"].select(
         "product_category_name", "product_category_name_english"
     )
-    return (
-        items.join(products, "product_id", how)
-        .join(names, "product_category_name", "left")
-        .withColumn("category", english_category())
-    )
+    return rows.join(small_side(names), "product_category_name", "left").withColumn("category", english_category())
+
+
+def _with_category(items: DataFrame, tables: Tables, how: str) -> DataFrame:
+    products = tables["products"].select("product_id", "product_category_name")
+    return in_english(items.join(products, "product_id", how), tables)
 
 
 def category_performance(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Item revenue, distinct orders, items sold and rank per English category."""
     items = tables["order_items"].select("order_id", "order_item_id", "product_id", "price")
     baskets = (
-        _translated(items, tables, "inner")
+        _with_category(items, tables, "inner")
         .groupBy("order_id", "category")
         .agg(F.sum("price").alias("revenue"), F.count("order_item_id").alias("items"))
     )
@@ -249,7 +249,7 @@ def _order_details(tables: Tables) -> DataFrame:
     """Counted (review score, seller state, category) combinations per order with a review or an item."""
     scores = tables["reviews"].groupBy("order_id", "review_score").agg(_rows("review_copies"))
     items = (
-        _translated(tables["order_items"].select("order_id", "seller_id", "product_id"), tables, "left")
+        _with_category(tables["order_items"].select("order_id", "seller_id", "product_id"), tables, "left")
         .join(tables["sellers"].select("seller_id", "seller_state"), "seller_id", "left")
         .groupBy("order_id", "seller_state", "category")
         .agg(_rows("item_copies"))

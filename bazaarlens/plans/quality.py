@@ -13,10 +13,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.functions.columns import english_category, mean
+from bazaarlens.functions.columns import mean
 from bazaarlens.operators import checks as ck
 from bazaarlens.operators.changes import purge, purge_orphans
+from bazaarlens.operators.rows import small_side
 from bazaarlens.plans import clean
+from bazaarlens.plans.marts import in_english
 from bazaarlens.schemas import COUNTRY_BOX, DIGITS, ISO_DATE_START, PLAIN_NUMBER
 
 Tables = Mapping[str, DataFrame]
@@ -100,9 +102,7 @@ def _out_of_box() -> Column:
 
 def _categories_in_english(t: Tables) -> DataFrame:
     products = t["products"].select("product_id", CATEGORY)
-    return products.join(t[TRANSLATION].select(CATEGORY, ENGLISH), CATEGORY, "left").select(
-        "product_id", english_category().alias("category_english")
-    )
+    return in_english(products, t).select("product_id", F.col("category").alias("category_english"))
 
 
 _REVIEW_ORDER = (
@@ -273,10 +273,10 @@ SUITE: dict[str, Figures | Listing] = {
     "c57_products_max_profile": _range("products", "product_weight_g", "product_length_cm", low=False),
     "c58_products_category_counts": Listing("products", lambda t: ck.value_counts(t["products"], CATEGORY)),
     "c59_products_untranslated": Listing(
-        "products", lambda t: ck.unmatched_values(t["products"], t[TRANSLATION], CATEGORY)
+        "products", lambda t: ck.unmatched_values(t["products"], small_side(t[TRANSLATION]), CATEGORY)
     ),
     "c60_products_purge_untranslated": Listing(
-        "products", lambda t: purge_orphans(t["products"], t[TRANSLATION], CATEGORY)
+        "products", lambda t: purge_orphans(t["products"], small_side(t[TRANSLATION]), CATEGORY)
     ),
     # sellers
     "c61_sellers_dup": _duplicates("sellers", "seller_id"),
