@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -26,6 +27,11 @@ def local_session(cores: str = "*", app: str = "bazaarlens", **conf: str) -> Spa
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="bazaarlens-")
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the session shares between its machines.
 
@@ -35,6 +41,5 @@ def work_path(spark: SparkSession, name: str) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = tempfile.mkdtemp(prefix="bazaarlens-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -68,7 +68,9 @@ def publish_views(
 
 def write_result_csv(df: DataFrame, path: str) -> None:
     """A result with a header and NULL spelled out."""
-    df.write.mode("overwrite").csv(path, header=True, nullValue="NULL")
+    df.write.mode("overwrite").csv(
+        path, header=True, nullValue="NULL", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -79,5 +81,6 @@ def write_table_csv(df: DataFrame, path: str) -> None:
     """A table in the dialect the CSV source reads: doubled quotes, NULL as an empty unquoted field."""
     dialect = {
         **CSV_DIALECT, "nullValue": "", "emptyValue": '""', "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
     }
     df.write.mode("overwrite").options(**dialect).csv(path)

@@ -1,0 +1,53 @@
+import sys
+from datetime import datetime
+from decimal import Decimal
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+
+from bazaarlens.schemas import SCHEMAS  # noqa: E402
+from bazaarlens.session import local_session  # noqa: E402
+from pyspark.sql import types as T  # noqa: E402
+
+
+@pytest.fixture(scope="session")
+def spark():
+    session = local_session("4", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    yield session
+    session.stop()
+
+
+class Tables(dict):
+    """Marketplace tables from short rows; missing columns are NULL and missing tables empty."""
+
+    def __init__(self, spark, **rows):
+        for name, schema in SCHEMAS.items():
+            loose = T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+            data = [self._row(loose, r) for r in rows.get(name, [])]
+            self[name] = spark.createDataFrame(data, loose)
+
+    @staticmethod
+    def _row(schema, given):
+        def value(field):
+            v = given.get(field.name)
+            if v is None:
+                return None
+            if isinstance(field.dataType, T.DecimalType):
+                return Decimal(str(v))
+            if isinstance(field.dataType, T.TimestampNTZType) and isinstance(v, str):
+                return datetime.fromisoformat(v)
+            return v
+
+        return tuple(value(f) for f in schema)
+
+
+@pytest.fixture(scope="session")
+def make_tables(spark):
+    return lambda **rows: Tables(spark, **rows)
+
+
+def rows_of(df, *columns):
+    chosen = df.select(*columns) if columns else df
+    return [tuple(r) for r in chosen.collect()]

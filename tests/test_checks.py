@@ -1,0 +1,189 @@
+from conftest import rows_of
+from pyspark.sql import functions as F
+
+from bazaarlens.operators import checks as ck
+from bazaarlens.operators.changes import purge, purge_orphans, repair
+from bazaarlens.operators.rows import join_keys, repeat_rows, small_side
+from bazaarlens.plans import quality
+from bazaarlens.schemas import COUNTRY_BOX, DIGITS, PLAIN_NUMBER
+
+
+def frame(spark, schema, *rows):
+    return spark.createDataFrame(list(rows), schema)
+
+
+def test_duplicate_keys_count_null_groups(spark):
+    df = frame(spark, "k string", ("a",), ("a",), ("b",), (None,), (None,), (None,))
+    assert sorted(rows_of(ck.duplicate_keys(df, "k")), key=str) == [("a", 2), (None, 3)]
+
+
+def test_null_audit_with_and_without_total(spark):
+    df = frame(spark, "a int, b string", (1, None), (None, None), (2, "x"))
+    assert rows_of(ck.null_audit(df, {"null_a": "a", "null_b": "b"})) == [(3, 1, 2)]
+    assert ck.null_audit(df, {"null_a": "a"}, with_total=False).columns == ["null_a"]
+
+
+def test_null_audit_by_group_is_largest_first(spark):
+    df = frame(spark, "s string, d int", ("x", None), ("y", 1), ("y", None), (None, 1))
+    assert rows_of(ck.null_audit_by(df, "s", {"null_d": "d"})) == [("y", 2, 1), ("x", 1, 1), (None, 1, 0)]
+
+
+def test_format_anomalies_pass_null_and_flag_empty(spark):
+    df = frame(spark, "z string", ("123",), ("12a",), ("",), (None,), (" 1",))
+    assert sorted(rows_of(ck.format_anomalies(df, {"z": DIGITS}))) == [("",), (" 1",), ("12a",)]
+
+
+def test_format_anomalies_any_column(spark):
+    df = frame(spark, "p string, f string", ("1.50", "-0.10"), ("1,50", None), ("1.", "2"), ("3", "4.00"), (None, "x"))
+    found = rows_of(ck.format_anomalies(df, {"p": PLAIN_NUMBER, "f": PLAIN_NUMBER}))
+    assert sorted(found, key=str) == sorted([("1.50", "-0.10"), ("1,50", None), ("1.", "2"), (None, "x")], key=str)
+
+
+def test_length_profile_keeps_null_length_last(spark):
+    df = frame(spark, "z string", ("12345",), ("1234",), ("99999",), (None,))
+    assert rows_of(ck.length_profile(df, "z")) == [(4, 1), (5, 2), (None, 1)]
+
+
+def test_case_drift_and_domain(spark):
+    df = frame(spark, "c string", ("sao paulo",), ("Sao Paulo",), (" rio",), (None,), ("Sao Paulo",))
+    assert rows_of(ck.case_drift(df, "c")) == [(" rio",), ("Sao Paulo",)]
+    assert rows_of(ck.case_drift(df, "c", limit=1)) == [(" rio",)]
+    assert sorted(rows_of(ck.unexpected_values(df, "c", ["sao paulo", " rio"]))) == [("Sao Paulo",)]
+
+
+def test_value_counts_largest_first(spark):
+    df = frame(spark, "c string", ("b",), ("a",), ("a",), (None,))
+    assert rows_of(ck.value_counts(df, "c")) == [("a", 2), ("b", 1), (None, 1)]
+
+
+def test_orphans_list_one_row_per_child_row_with_null_keys(spark):
+    child = frame(spark, "k int, v int", (1, 0), (2, 0), (2, 1), (None, 0), (None, 1), (3, 0))
+    parent = frame(spark, "id int", (1,), (1,), (3,), (None,))
+    assert sorted(rows_of(ck.orphans(child, parent, "k", "id")), key=str) == [(2,), (2,), (None,), (None,)]
+
+
+def test_purge_orphans_keeps_null_keys_and_does_not_multiply(spark):
+    child = frame(spark, "k int, v int", (1, 0), (1, 1), (2, 0), (None, 5))
+    parent = frame(spark, "id int", (1,), (1,), (1,), (None,))
+    kept = purge_orphans(child, parent, "k", "id")
+    assert sorted(rows_of(kept), key=str) == [(1, 0), (1, 1), (None, 5)]
+    assert sorted(rows_of(purge_orphans(kept, parent, "k", "id")), key=str) == [(1, 0), (1, 1), (None, 5)]
+    # What is left without a parent are the NULL keys only.
+    assert rows_of(ck.orphans(kept, parent, "k", "id")) == [(None,)]
+
+
+def test_purge_keeps_unknown_rows(spark):
+    df = frame(spark, "w int", (0,), (-1,), (5,), (None,))
+    assert sorted(rows_of(purge(df, F.col("w") <= 0)), key=str) == [(5,), (None,)]
+
+
+def test_repair_changes_matching_rows_only(spark):
+    df = frame(spark, "n string", ("ab",), ("b",), (None,))
+    fixed = repair(df, "n", F.col("n").startswith("a"), F.lit("z"))
+    assert sorted(rows_of(fixed), key=str) == [("b",), ("z",), (None,)]
+
+
+def test_repeat_rows_across_blocks(spark):
+    df = frame(spark, "k string, n bigint", ("a", 1), ("b", 25), (None, 11))
+    counts = dict(rows_of(repeat_rows(df, "n", block=10).groupBy("k").count()))
+    assert counts == {"a": 1, "b": 25, None: 11}
+
+
+def test_repeat_rows_spreads_a_hot_row(spark):
+    df = frame(spark, "k string, n bigint", ("hot", 100_000))
+    # A partition of so few blocks would be merged with its neighbours.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        spread = repeat_rows(df, "n").withColumn("p", F.spark_partition_id())
+        sizes = [n for _, n in rows_of(spread.groupBy("p").count())]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 100_000 and len(sizes) > 1 and max(sizes) < 60_000
+
+
+def test_join_keys_bounds_copies(spark):
+    df = spark.range(1000, numPartitions=7).selectExpr("if(id % 3 = 0, null, id % 2) as k")
+    keys = [k for (k,) in rows_of(join_keys(df, "k", groups=4))]
+    assert set(keys) == {0, 1} and len(keys) <= 8
+
+
+def test_small_side_marks_only_proven_lookups(spark):
+    big, names = spark.range(100), spark.range(11).distinct()
+
+    def plan(lookup):
+        return big.join(lookup, "id")._jdf.queryExecution().analyzed().toString()
+
+    assert "strategy=broadcast" in plan(small_side(names, max_rows=11))
+    assert "strategy=broadcast" not in plan(small_side(names, max_rows=10))
+
+
+def test_duplicate_preview_is_ordered_and_whole(spark):
+    rows = [(f"r{i:02d}", o) for i in range(30) for o in range(1 + i % 3)] + [(None, 1), (None, 2)]
+    df = frame(spark, "review_id string, order_id int", *rows)
+    repeated = sorted(r for r in rows if r[0] and sum(x[0] == r[0] for x in rows) > 1)
+    assert rows_of(ck.duplicate_rows_preview(df, "review_id", ["order_id"], 7)) == repeated[:7]
+
+
+def test_duplicate_sizes_and_anatomy(spark):
+    df = frame(
+        spark, "k string, o int, s int",
+        ("a", 1, 5), ("a", 2, 5), ("a", 2, 4), ("b", 1, 1), ("b", 1, 1), ("c", 1, 1),
+        (None, 1, 1), (None, 2, 2), (None, 3, 3), ("d", None, 1), ("d", None, 2),
+    )
+    assert rows_of(ck.duplicate_sizes(df, "k", 2)) == [(None, 3), ("a", 3)]
+    anatomy = ck.duplicate_anatomy(df, "k", {"orders": "o", "scores": "s"}, 3)
+    assert rows_of(anatomy) == [(None, 3, 3), ("a", 2, 2), ("b", 1, 1)]
+
+
+def test_box_edges_are_inside_and_nulls_unknown(spark):
+    df = frame(
+        spark, "lat double, lng double",
+        (-34.0, -75.0), (6.0, -33.0), (6.01, -50.0), (0.0, -75.01), (None, -50.0), (None, 0.0),
+    )
+    outside = rows_of(ck.predicate_rows(df, ck.outside_box(COUNTRY_BOX, "lat", "lng")))
+    assert sorted(outside, key=str) == [(0.0, -75.01), (6.01, -50.0), (None, 0.0)]
+
+
+def test_spread_of_exactly_one_degree_is_accepted(spark):
+    df = frame(spark, "z string, lat double, lng double",
+               ("a", 1.0, 0.0), ("a", 2.0, 0.0), ("b", 1.0, 0.0), ("b", 2.25, 0.0), ("c", 1.0, 0.0), ("c", 1.0, -1.5))
+    assert sorted(rows_of(ck.coordinate_spread(df, "z", "lat", "lng"), "z")) == [("b",), ("c",)]
+
+
+def test_centroids_inside_box_only(spark):
+    df = frame(spark, "z string, lat double, lng double", ("a", 0.0, -50.0), ("a", 2.0, -52.0), ("a", 90.0, -50.0))
+    assert rows_of(ck.centroids(df, "z", "lat", "lng", COUNTRY_BOX)) == [("a", 1.0, -51.0)]
+
+
+def test_every_figure_of_a_table_comes_from_one_scan(spark, make_tables):
+    tables = make_tables(
+        order_items=[
+            {"order_id": "1", "order_item_id": 1, "price": "10.00", "freight_value": "-1.00"},
+            {"order_id": "1", "order_item_id": 2, "price": "0.00"},
+            {"order_id": "2", "order_item_id": 1, "price": None, "freight_value": "2.00"},
+        ]
+    )
+    (row,) = quality.profile(tables, "order_items").collect()
+    assert row["null_price"] == 1 and row["price_nonpositive"] == 1 and row["freight_negative"] == 1
+    assert float(row["max_price"]) == 10.0 and row["avg_price"] == 5.0 and row["null_ship_limit"] == 3
+    plan = quality.profile(tables, "order_items")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1
+
+
+def test_report_covers_each_expectation_once(spark, make_tables):
+    tables = make_tables(
+        orders=[{"order_id": "1", "customer_id": "c", "order_status": "delivered"}] * 2,
+        order_items=[{"order_id": "9", "order_item_id": 1, "price": "-1.00"}],
+    )
+    for name in [n for n in tables if not n.endswith("_text")]:
+        tables[f"{name}_text"] = tables[name]
+    found = dict(rows_of(quality.report(tables)))
+    assert set(found) == set(quality.EXPECT_NO_ROWS) | set(quality.EXPECT_ZERO)
+    assert found["c07_orders_dup"] == 1 and found["c08_orders_orphan_customer"] == 2
+    assert found["c20_items_orphan_order"] == 1 and found["c25_items_price_nonpositive"] == 1
+    assert found["c10_orders_delivered_missing"] == 2 and found["c44_reviews_orphan"] == 0
+
+
+def test_suite_holds_all_78_checks():
+    numbers = sorted(int(name[1:3]) for name in quality.SUITE)
+    assert numbers == list(range(1, 79))
