@@ -8,21 +8,29 @@ from pyspark.sql import functions as F
 # Rows one task unrolls from one counted row.
 BLOCK = 1_000
 
+# Parts that the blocks of one counted row are written by.
+LANES = 64
+
 # Rows of a lookup table that every task may hold.
 LOOKUP_ROWS = 100_000
 
 
-def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK) -> DataFrame:
+def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK, near: str | None = None) -> DataFrame:
     """Turn each row into ``copies`` equal rows.
 
-    A row that stands for many copies is first cut into blocks and the blocks are
-    spread over the cluster, so neither the shuffle nor any task carries the copies of a hot key alone.
+    A row that stands for many copies is first cut into blocks and the blocks are spread over the
+    cluster, so neither the shuffle nor any task carries the copies of a hot key alone. With ``near`` the
+    same shuffle also brings the rows of one value together in evenly sized partitions, for writing.
     """
     starts = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(block).cast("bigint"))
     blocks = counted.withColumn("_start", F.explode(starts)).withColumn(
         "_size", F.least(F.col(copies) - F.col("_start"), F.lit(block).cast("bigint")).cast("int")
     )
-    spread = blocks.repartition(*[F.col(c) for c in blocks.columns if c not in (copies, "_size")])
+    if near is None:
+        spread = blocks.repartition(*[F.col(c) for c in blocks.columns if c not in (copies, "_size")])
+    else:
+        lane = (F.col("_start") / block).cast("bigint") % LANES
+        spread = blocks.withColumn("_lane", lane).hint("rebalance", near, "_lane").drop("_lane")
     return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop(
         "_start", "_size", "_copy", copies
     )

@@ -243,6 +243,7 @@ FACT_COLUMNS = (
     "payment_value", "review_score", "order_delivered_customer_date", "order_estimated_delivery_date",
     "delivery_status", "category",
 )
+MONTH = "purchase_month"
 
 
 def _order_details(tables: Tables) -> DataFrame:
@@ -260,13 +261,14 @@ def _order_details(tables: Tables) -> DataFrame:
     )
 
 
-def order_fact(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
+def order_fact(tables: Tables, window: ReportWindow = ReportWindow(), by_month: bool = False) -> DataFrame:
     """One row per order, payment, review and item; orders need a customer and a payment only.
 
     Equal rows travel as one counted row and are unrolled at the end. Every join is followed by a
     shuffle on another key (payments, customers, details, then the spread of the counted rows), which
     lets adaptive execution split a hot order or customer wherever it appears. Do not sum
-    ``payment_value`` over this table: it repeats per review and item.
+    ``payment_value`` over this table: it repeats per review and item. With ``by_month`` the rows carry
+    their ``purchase_month`` and the last shuffle arranges them by it, ready to be written.
     """
     placed = sold_orders(tables["orders"], window).select(
         "order_id", "customer_id", "order_purchase_timestamp",
@@ -282,4 +284,8 @@ def order_fact(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFra
         .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
         .withColumn("copies", F.coalesce("copies", F.lit(1)))
     )
-    return repeat_rows(counted, "copies").select(*FACT_COLUMNS)
+    if not by_month:
+        return repeat_rows(counted, "copies").select(*FACT_COLUMNS)
+    month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
+    arranged = repeat_rows(counted.withColumn(MONTH, month), "copies", near=MONTH)
+    return arranged.select(*FACT_COLUMNS, MONTH)

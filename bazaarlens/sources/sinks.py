@@ -36,20 +36,15 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
         writer = df.write.mode("overwrite")
         if name == "orders":
             month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
-            writer = df.withColumn("purchase_month", month).write.mode("overwrite").partitionBy("purchase_month")
+            writer = df.withColumn(marts.MONTH, month).write.mode("overwrite").partitionBy(marts.MONTH)
         writer.parquet(f"{folder}/{name}")
 
 
-def write_order_fact(fact: DataFrame, path: str) -> DataFrame:
-    """The order fact as Parquet by purchase month.
-
-    Rows are rebalanced per month with even file sizes, so a month with much of the data is
-    written by many tasks.
-    """
-    month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
-    rows = fact.withColumn("purchase_month", month).hint("rebalance", "purchase_month")
-    rows.write.mode("overwrite").partitionBy("purchase_month").parquet(path)
-    return fact.sparkSession.read.parquet(path)
+def write_order_fact(tables: Mapping[str, DataFrame], window: ReportWindow, path: str) -> DataFrame:
+    """The order fact as Parquet by purchase month, with files of even size."""
+    fact = marts.order_fact(tables, window, by_month=True)
+    fact.write.mode("overwrite").partitionBy(marts.MONTH).parquet(path)
+    return fact.sparkSession.read.parquet(path).select(*marts.FACT_COLUMNS)
 
 
 def publish_views(
@@ -58,9 +53,10 @@ def publish_views(
     """Register the six views. With ``fact_path`` the order fact is stored once and read from there."""
     published = {}
     for name, mart in VIEWS.items():
-        df = mart(tables, window)
-        if name == "v_order_fact" and fact_path is not None:
-            df = write_order_fact(df, fact_path).select(*marts.FACT_COLUMNS)
+        if mart is marts.order_fact and fact_path is not None:
+            df = write_order_fact(tables, window, fact_path)
+        else:
+            df = mart(tables, window)
         df.createOrReplaceTempView(name)
         published[name] = df
     return published

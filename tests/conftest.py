@@ -14,7 +14,11 @@ from pyspark.sql import types as T  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    session = local_session("4", "tests", **{
+        "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        # Compiling each plan takes longer than running it on so few rows.
+        "spark.sql.codegen.wholeStage": "false",
+    })
     yield session
     session.stop()
 
