@@ -11,8 +11,9 @@ BLOCK = 1_000
 # Parts that the blocks of one counted row are written by.
 LANES = 64
 
-# Rows of a lookup table that every task may hold.
+# Rows of a lookup table, and keys of a filter, that every task may hold.
 LOOKUP_ROWS = 100_000
+FILTER_KEYS = 500_000
 
 
 def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK, near: str | None = None) -> DataFrame:
@@ -53,10 +54,26 @@ def join_keys(df: DataFrame, key: str, groups: int = 16) -> DataFrame:
     return grouped.distinct().select(key)
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
     """Mark a lookup table for broadcasting if it is proven to be small; otherwise leave the join to Spark.
 
     For lookups that are derived rather than read, where the optimizer's size estimate is that of their
     source and the large side would be shuffled for a few rows.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
+
+
+def prefilter(key: str, wanted: DataFrame, *tables: DataFrame, max_keys: int = FILTER_KEYS) -> list[DataFrame]:
+    """Drop rows that a later join on ``key`` with ``wanted`` cannot use, before they are shuffled.
+
+    Done only if the wanted keys are proven to be few enough to broadcast, as in a report over a short
+    window; beyond that the tables come back as they are and the later join alone decides.
+    """
+    keys = wanted.select(key)
+    if not is_small(keys, max_keys):
+        return list(tables)
+    return [table.join(F.broadcast(keys), key, "left_semi") for table in tables]

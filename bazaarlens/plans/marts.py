@@ -27,7 +27,7 @@ from bazaarlens.functions.columns import (
     ratio,
     revenue_rank,
 )
-from bazaarlens.operators.rows import repeat_rows, small_side
+from bazaarlens.operators.rows import prefilter, repeat_rows, small_side
 from bazaarlens.plans.scope import ReportWindow, delivered_orders, sold_orders
 
 Tables = Mapping[str, DataFrame]
@@ -89,13 +89,15 @@ def _with_category(items: DataFrame, tables: Tables, how: str) -> DataFrame:
 
 def category_performance(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Item revenue, distinct orders, items sold and rank per English category."""
+    sold = sold_orders(tables["orders"], window)
     items = tables["order_items"].select("order_id", "order_item_id", "product_id", "price")
+    (items,) = prefilter("order_id", sold, items)
     baskets = (
         _with_category(items, tables, "inner")
         .groupBy("order_id", "category")
         .agg(F.sum("price").alias("revenue"), F.count("order_item_id").alias("items"))
     )
-    placed = sold_orders(tables["orders"], window).groupBy("order_id").agg(_rows("copies"))
+    placed = sold.groupBy("order_id").agg(_rows("copies"))
     per_category = (
         baskets.join(placed, "order_id")
         .groupBy("category")
@@ -204,15 +206,17 @@ def seller_region(
     An item of an order with several reviews counts once per review, in money too. With
     ``repeat_item_per_review=False`` each item counts once and the score stays item-weighted.
     """
+    sold = sold_orders(tables["orders"], window)
     items = tables["order_items"].select("order_id", "seller_id", "price")
+    items, reviews = prefilter("order_id", sold, items, tables["reviews"])
     sellers = tables["sellers"].select("seller_id", "seller_state")
     baskets = (
         items.join(sellers, "seller_id")
         .groupBy("order_id", "seller_state")
         .agg(_rows("items"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"))
     )
-    placed = sold_orders(tables["orders"], window).groupBy("order_id").agg(_rows("copies"))
-    scores = _scores_per_order(tables["reviews"])
+    placed = sold.groupBy("order_id").agg(_rows("copies"))
+    scores = _scores_per_order(reviews)
     fan_out = F.col("copies")
     if repeat_item_per_review:
         fan_out = fan_out * F.coalesce(F.col("reviews"), F.lit(1))
@@ -246,11 +250,11 @@ FACT_COLUMNS = (
 MONTH = "purchase_month"
 
 
-def _order_details(tables: Tables) -> DataFrame:
+def _order_details(items: DataFrame, reviews: DataFrame, tables: Tables) -> DataFrame:
     """Counted (review score, seller state, category) combinations per order with a review or an item."""
-    scores = tables["reviews"].groupBy("order_id", "review_score").agg(_rows("review_copies"))
+    scores = reviews.groupBy("order_id", "review_score").agg(_rows("review_copies"))
     items = (
-        _with_category(tables["order_items"].select("order_id", "seller_id", "product_id"), tables, "left")
+        _with_category(items, tables, "left")
         .join(tables["sellers"].select("seller_id", "seller_state"), "seller_id", "left")
         .groupBy("order_id", "seller_state", "category")
         .agg(_rows("item_copies"))
@@ -275,12 +279,17 @@ def order_fact(tables: Tables, window: ReportWindow = ReportWindow(), by_month:
         "order_delivered_customer_date", "order_estimated_delivery_date",
         delivery_status().alias("delivery_status"),
     )
-    payments = tables["order_payments"].select("order_id", "payment_value")
+    items, reviews, payments = prefilter(
+        "order_id", placed,
+        tables["order_items"].select("order_id", "seller_id", "product_id"),
+        tables["reviews"].select("order_id", "review_score"),
+        tables["order_payments"].select("order_id", "payment_value"),
+    )
     customers = tables["customers"].select("customer_id", "customer_state")
     counted = (
         placed.join(payments, "order_id")
         .join(customers, "customer_id")
-        .join(_order_details(tables), "order_id", "left")
+        .join(_order_details(items, reviews, tables), "order_id", "left")
         .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
         .withColumn("copies", F.coalesce("copies", F.lit(1)))
     )

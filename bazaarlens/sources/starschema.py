@@ -7,6 +7,8 @@ the quality checks look for: repeated keys, NULLs, orphans, impossible dates, va
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -215,6 +217,7 @@ def _translation(part: DataFrame) -> DataFrame:
 def star_schema_tables(spark: SparkSession, folder: str) -> LazyTables:
     """Marketplace tables and ``<table>_text`` scans over ``<folder>/<source>.parquet``."""
 
+    @functools.cache
     def source(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
