@@ -105,11 +105,6 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct().orderBy(F.asc_nulls_last(column))
 
 
-def unexpected_values(df: DataFrame, column: str, domain: Sequence) -> DataFrame:
-    """Distinct non-null values outside the expected domain."""
-    return df.where(~F.col(column).isin(*domain)).select(column).distinct()
-
-
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     return (
         df.groupBy(column)

@@ -19,7 +19,17 @@ from bazaarlens.operators.changes import purge, purge_orphans
 from bazaarlens.operators.rows import small_side
 from bazaarlens.plans import clean
 from bazaarlens.plans.marts import in_english
-from bazaarlens.schemas import COUNTRY_BOX, DIGITS, ISO_DATE_START, PLAIN_NUMBER
+from bazaarlens.schemas import (
+    COUNTRY_BOX,
+    DIGITS,
+    INSTALLMENT_RANGE,
+    ISO_DATE_START,
+    ORDER_STATUSES,
+    PAYMENT_TYPES,
+    PLAIN_NUMBER,
+    SCORE_RANGE,
+    STATE_CODES,
+)
 
 Tables = Mapping[str, DataFrame]
 
@@ -358,3 +368,34 @@ def report(tables: Tables) -> DataFrame:
     for part in parts[1:]:
         stacked = stacked.unionAll(part)
     return stacked
+
+
+# Columns with a closed set of values, and columns with a closed range.
+DOMAINS = {
+    ("customers", "customer_state"): STATE_CODES,
+    ("sellers", "seller_state"): STATE_CODES,
+    ("geolocation", "geolocation_state"): STATE_CODES,
+    ("orders", "order_status"): ORDER_STATUSES,
+    ("order_payments", "payment_type"): PAYMENT_TYPES,
+}
+RANGES = {
+    ("reviews", "review_score"): SCORE_RANGE,
+    ("order_payments", "payment_installments"): INSTALLMENT_RANGE,
+}
+
+
+def unexpected(tables: Tables) -> DataFrame:
+    """Values outside their column's domain or range, with their rows; NULL is left to the null audits."""
+    rules = {key: ~F.col(key[1]).isin(*values) for key, values in DOMAINS.items()}
+    rules |= {key: ~F.col(key[1]).between(low, high) for key, (low, high) in RANGES.items()}
+    parts = [
+        ck.predicate_rows(tables[table], outside)
+        .groupBy(F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+                 F.col(column).cast("string").alias("value"))
+        .agg(F.count(F.lit(1)).alias("row_count"))
+        for (table, column), outside in rules.items()
+    ]
+    stacked = parts[0]
+    for part in parts[1:]:
+        stacked = stacked.unionAll(part)
+    return stacked

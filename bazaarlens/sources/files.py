@@ -121,8 +121,17 @@ class LazyTables(Mapping):
 
 
 def parquet_tables(spark: SparkSession, folder: str) -> LazyTables:
-    """The nine tables from ``<folder>/<table>``, as written by ``sinks.write_tables``."""
-    return LazyTables({name: lambda name=name: spark.read.parquet(f"{folder}/{name}") for name in SCHEMAS})
+    """The nine tables from ``<folder>/<table>``, as written by ``sinks.write_tables``.
+
+    The text scans show the stored values as text; faults that typing rejected are in the CSV's scans only.
+    """
+    plans: dict[str, Callable[[], DataFrame]] = {}
+    for name, schema in SCHEMAS.items():
+        plans[name] = lambda name=name: spark.read.parquet(f"{folder}/{name}")
+        plans[f"{name}_text"] = lambda name=name, schema=schema: spark.read.parquet(f"{folder}/{name}").select(
+            *[F.col(c).cast("string").alias(c) for c in schema.names]
+        )
+    return LazyTables(plans)
 
 
 def csv_tables(spark: SparkSession, folder: str) -> LazyTables:

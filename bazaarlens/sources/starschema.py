@@ -161,7 +161,7 @@ _TEXT_FAULTS: dict[str, dict[str, str]] = {
     "customers": {},
     "orders": {
         "order_purchase_timestamp":
-            "if(o_orderkey % 173 = 0, date_format(o_orderdate, 'dd/MM/yyyy'), date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss'))",
+            "if(o_orderkey % 173 = 0, date_format(cast(o_orderdate as date), 'dd/MM/yyyy'), cast(o_orderdate as string))",
     },
     "order_items": {
         "price": "if(l_partkey % 179 = 0 AND l_linenumber = 6, replace(cast({} as string), '.', ','), cast({} as string))",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle.tables import with_tables
+from oracle.tables import STATES, with_tables
 
 SALES = ("'1997-01-01'", "'1998-09-01'")
 QUARTER = ("'1998-01-01'", "'1998-04-01'")
@@ -460,6 +460,21 @@ PIPELINE = {
         [f"SELECT '{c}' AS check_name, count(*) AS violations FROM ({CHECKS[c]})" for c in _ROWS_EXPECTED_ABSENT]
         + [f"SELECT '{c}' AS check_name, * FROM ({CHECKS[c]})" for c in _COUNTS_EXPECTED_ZERO]
     ),
+    "quality_unexpected": " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{column}' AS column_name, CAST({column} AS VARCHAR) AS value, "
+        f"count(*) AS row_count FROM m_{table} WHERE {outside} GROUP BY {column}"
+        for table, column, outside in [
+            ("customers", "customer_state", f"NOT list_contains({STATES}, customer_state)"),
+            ("sellers", "seller_state", f"NOT list_contains({STATES}, seller_state)"),
+            ("geolocation", "geolocation_state", f"NOT list_contains({STATES}, geolocation_state)"),
+            ("orders", "order_status", """NOT list_contains(['delivered', 'shipped', 'canceled', 'unavailable',
+                'invoiced', 'processing', 'created', 'approved'], order_status)"""),
+            ("order_payments", "payment_type", """NOT list_contains(['credit_card', 'boleto', 'voucher', 'debit_card',
+                'not_defined'], payment_type)"""),
+            ("reviews", "review_score", "review_score < 1 OR review_score > 5"),
+            ("order_payments", "payment_installments", "payment_installments < 1 OR payment_installments > 24"),
+        ]
+    ),
     "src_reviews_csv": """SELECT * FROM m_reviews WHERE order_id IS NOT NULL AND review_score IS NOT NULL""",
     "src_all_csv": " UNION ALL ".join(
         f"SELECT '{name}' AS table_name, count(*) AS accepted_rows FROM {table}"

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import checks as ck
 from bazaarlens.operators.changes import purge, purge_orphans, repair
-from bazaarlens.operators.rows import join_keys, repeat_rows, small_side
+from bazaarlens.operators.rows import join_keys, prefilter, repeat_rows, small_side
 from bazaarlens.plans import quality
 from bazaarlens.schemas import COUNTRY_BOX, DIGITS, PLAIN_NUMBER
 
@@ -44,11 +44,10 @@ def test_length_profile_keeps_null_length_last(spark):
     assert rows_of(ck.length_profile(df, "z")) == [(4, 1), (5, 2), (None, 1)]
 
 
-def test_case_drift_and_domain(spark):
+def test_case_drift(spark):
     df = frame(spark, "c string", ("sao paulo",), ("Sao Paulo",), (" rio",), (None,), ("Sao Paulo",))
     assert rows_of(ck.case_drift(df, "c")) == [(" rio",), ("Sao Paulo",)]
     assert rows_of(ck.case_drift(df, "c", limit=1)) == [(" rio",)]
-    assert sorted(rows_of(ck.unexpected_values(df, "c", ["sao paulo", " rio"]))) == [("Sao Paulo",)]
 
 
 def test_value_counts_largest_first(spark):
@@ -117,6 +116,15 @@ def test_small_side_marks_only_proven_lookups(spark):
     assert "strategy=broadcast" not in plan(small_side(names, max_rows=10))
 
 
+def test_prefilter_acts_only_on_proven_few_keys(spark):
+    facts = frame(spark, "k int, v int", (1, 0), (2, 0), (None, 0), (1, 1))
+    wanted = frame(spark, "k int", (1,), (1,), (None,))
+    (kept,) = prefilter("k", wanted, facts)
+    assert sorted(rows_of(kept)) == [(1, 0), (1, 1)]
+    (same,) = prefilter("k", wanted, facts, max_keys=2)
+    assert same is facts
+
+
 def test_duplicate_preview_is_ordered_and_whole(spark):
     rows = [(f"r{i:02d}", o) for i in range(30) for o in range(1 + i % 3)] + [(None, 1), (None, 2)]
     df = frame(spark, "review_id string, order_id int", *rows)
@@ -184,6 +192,20 @@ def test_report_covers_each_expectation_once(spark, make_tables):
     assert found["c10_orders_delivered_missing"] == 2 and found["c44_reviews_orphan"] == 0
 
 
+def test_unexpected_values_by_column(make_tables):
+    tables = make_tables(
+        customers=[{"customer_state": s} for s in ("SP", "sp", "sp", " SP", None)],
+        orders=[{"order_status": s} for s in ("created", "lost")],
+        reviews=[{"review_score": n} for n in (0, 1, 5, 6)],
+        order_payments=[{"payment_installments": 24, "payment_type": "boleto"}, {"payment_installments": 25}],
+    )
+    assert sorted(rows_of(quality.unexpected(tables))) == [
+        ("customers", "customer_state", " SP", 1), ("customers", "customer_state", "sp", 2),
+        ("order_payments", "payment_installments", "25", 1), ("orders", "order_status", "lost", 1),
+        ("reviews", "review_score", "0", 1), ("reviews", "review_score", "6", 1),
+    ]
+
+
 def test_suite_holds_all_78_checks():
     numbers = sorted(int(name[1:3]) for name in quality.SUITE)
     assert numbers == list(range(1, 79))

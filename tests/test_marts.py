@@ -152,6 +152,23 @@ def test_seller_region_repeats_items_per_review(make_tables):
     ]
 
 
+def test_marts_do_not_depend_on_the_early_filter(spark, monkeypatch):
+    from bazaarlens.sources.starschema import star_schema_tables
+
+    window = ReportWindow(datetime(1997, 1, 1), datetime(1998, 9, 1))
+
+    def results():
+        tables = star_schema_tables(spark, "/root/testdata/sf0.001")
+        return [
+            sorted(rows_of(mart(tables, window)), key=str)
+            for mart in (marts.category_performance, marts.seller_region, marts.order_fact)
+        ]
+
+    filtered = results()
+    monkeypatch.setattr(marts, "prefilter", lambda key, wanted, *tables: list(tables))
+    assert results() == filtered and all(filtered)
+
+
 def test_rank_puts_unknown_revenue_first(spark):
     df = spark.createDataFrame([("a", D("5.00")), ("b", None)], "category string, total_revenue decimal(12,2)")
     ranked = marts.with_category_rank(df.selectExpr("*", "1L as total_orders", "1L as total_items_sold"))
