@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from bazaarlens.functions.columns import month_of
 from bazaarlens.plans import marts
 from bazaarlens.plans.scope import ReportWindow
+from bazaarlens.schemas import SCHEMAS
 from bazaarlens.sources.files import CSV_DIALECT
 
 # The published views and the mart behind each.
@@ -32,12 +33,14 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
     """One Parquet folder per table; orders by purchase month, so a report window prunes files."""
-    for name, df in tables.items():
-        writer = df.write.mode("overwrite")
+    for name in SCHEMAS:
         if name == "orders":
             month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
-            writer = df.withColumn(marts.MONTH, month).write.mode("overwrite").partitionBy(marts.MONTH)
-        writer.parquet(f"{folder}/{name}")
+            rows = tables[name].withColumn(marts.MONTH, month).hint("rebalance", marts.MONTH)
+            writer = rows.write.partitionBy(marts.MONTH)
+        else:
+            writer = tables[name].write
+        writer.mode("overwrite").parquet(f"{folder}/{name}")
 
 
 def write_order_fact(tables: Mapping[str, DataFrame], window: ReportWindow, path: str) -> DataFrame:
