@@ -79,6 +79,9 @@ KEYS: dict[str, tuple[str, ...]] = {
     "product_category_name_translation": ("product_category_name",),
 }
 
+# Longest text that a fixed-width column takes.
+TEXT_LIMITS: dict[str, dict[str, int]] = {"reviews": {"review_id": 32, "order_id": 32}}
+
 # Tables with free text, whose CSV fields may hold line breaks.
 FREE_TEXT_TABLES = frozenset({"reviews"})
 

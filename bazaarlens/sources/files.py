@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlens.operators.checks import duplicate_keys
-from bazaarlens.schemas import FREE_TEXT_TABLES, KEYS, SCHEMAS
+from bazaarlens.schemas import FREE_TEXT_TABLES, KEYS, SCHEMAS, TEXT_LIMITS
 
 CORRUPT = "_corrupt"
 REASON = "reject_reason"
@@ -72,20 +72,25 @@ def read_all_csv(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Loa
     return {table: read_csv(spark, table, path) for table, path in paths.items()}
 
 
-def enforce(df: DataFrame, not_null: list[str], key: tuple[str, ...]) -> Load:
-    """Split a table by its NOT NULL columns and its primary key.
+def enforce(
+    df: DataFrame, not_null: Sequence[str], key: Sequence[str], text_limits: Mapping[str, int] | None = None
+) -> Load:
+    """Split a table by its NOT NULL columns, text lengths and primary key.
 
-    A load into a keyed table would abort at the first bad row; here all rows of a repeated key are
-    put aside together with the NULL rows, and the rest is accepted.
+    A load into a keyed table would abort at the first bad row; here the bad rows and all rows of a
+    repeated key are put aside, and the rest is accepted.
     """
-    missing: Column = F.lit(None).cast("string")
-    for column in reversed(not_null):
-        missing = F.when(F.col(column).isNull(), F.lit(f"null {column}")).otherwise(missing)
-    whole = df.where(missing.isNull())
+    faults = [(F.col(c).isNull(), f"null {c}") for c in not_null]
+    faults += [(F.length(F.col(c).cast("string")) > n, f"too long {c}") for c, n in (text_limits or {}).items()]
+    reason: Column = F.lit(None).cast("string")
+    for fault, text in reversed(faults):
+        reason = F.when(fault, F.lit(text)).otherwise(reason)
+    judged = df.withColumn(REASON, reason)
+    whole = judged.where(F.col(REASON).isNull()).drop(REASON)
     # The few repeated keys are shuffled apart from the count, so that the joins' own shuffle follows and
     # adaptive execution can split the rows of a key that fills much of the table.
     repeated = duplicate_keys(whole, *key).repartition("row_count").select(*key)
-    rejected = df.where(missing.isNotNull()).withColumn(REASON, missing).unionByName(
+    rejected = judged.where(F.col(REASON).isNotNull()).unionByName(
         whole.join(repeated, list(key), "left_semi").withColumn(REASON, F.lit("repeated key"))
     )
     return Load(whole.join(repeated, list(key), "left_anti").select(*df.columns), rejected)
@@ -93,7 +98,7 @@ def enforce(df: DataFrame, not_null: list[str], key: tuple[str, ...]) -> Load:
 
 def enforce_schema(df: DataFrame, table: str) -> Load:
     required = [f.name for f in SCHEMAS[table] if not f.nullable]
-    return enforce(df, required, KEYS[table])
+    return enforce(df, required, KEYS[table], TEXT_LIMITS.get(table))
 
 
 def preview(df: DataFrame, keys: tuple[str, ...], rows: int = 5) -> DataFrame:

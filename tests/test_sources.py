@@ -70,12 +70,12 @@ def test_table_round_trip_through_csv(spark, tmp_path, make_tables):
 def test_enforce_separates_nulls_and_repeated_keys(make_tables):
     tables = make_tables(reviews=[
         {"review_id": r, "order_id": o, "review_score": s}
-        for r, o, s in [("a", "1", 5), ("a", "2", 5), ("b", "1", 5), ("b", "1", 4), (None, "1", 5), ("c", "1", None)]
+        for r, o, s in [("a", "1", 5), ("a", "2", 5), ("b", "1", 5), ("b", "1", 4), (None, "1", 5), ("c", "1", None), ("d" * 33, "1", 5), ("e" * 32, "1", 5)]
     ])
     load = files.enforce_schema(tables["reviews"], "reviews")
-    assert sorted(rows_of(load.accepted, "review_id", "order_id")) == [("a", "1"), ("a", "2")]
+    assert sorted(rows_of(load.accepted, "review_id", "order_id")) == [("a", "1"), ("a", "2"), ("e" * 32, "1")]
     assert sorted(rows_of(load.rejected, files.REASON)) == [
-        ("null review_id",), ("null review_score",), ("repeated key",), ("repeated key",),
+        ("null review_id",), ("null review_score",), ("repeated key",), ("repeated key",), ("too long review_id",),
     ]
 
 
