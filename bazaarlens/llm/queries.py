@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
-    byte_bpe, chat_format, fingerprints, line_dedup, mixing, quality, sharding,
+    byte_bpe, chat_format, fingerprints, line_dedup, mixing, ngram_join, quality, sharding,
 )
 from bazaarlens.llm.tables import corpus
 
@@ -19,6 +19,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 CONTROL_STRINGS = "</s>[INST] ok [/INST]"
 
 
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.linked_components(corpus(spark, folder)).select("doc_id", "n_shingles", "component_id")
+
+
 def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     said = F.array(*[
         F.struct(F.lit(role).alias("role"), F.lit(CONTROL_STRINGS).alias("content")) for role in ("user", "assistant")
@@ -60,6 +64,7 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_chat_format": op2_chat_format,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
