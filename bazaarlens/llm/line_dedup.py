@@ -51,10 +51,10 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     ).where(F.col("sites") >= min_sites * (1 - MARGIN))
     wide = stored(sketched, "line-spread")
     near = wide.where(F.col("sites") <= min_sites * (1 + MARGIN)).select("line_key")
-    # Pairs of line and site are combined before the shuffle, and again by line.
+    # Pairs of line and site become distinct map-side first, so a line has a row per site in the join.
     exact = (
-        lines.join(near, "line_key", "left_semi").groupBy("line_key", "site").agg(F.lit(1).alias("seen"))
-        .groupBy("line_key").agg(F.count("seen").alias("exact_sites"))
+        lines.select("line_key", "site").distinct().join(near, "line_key", "left_semi")
+        .groupBy("line_key").agg(F.count(F.lit(1)).alias("exact_sites"))
     )
     sites = F.coalesce("exact_sites", "sites")
     return (
@@ -64,9 +64,12 @@ def spread(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
 
 
 def removals(lines: DataFrame, boilerplate: DataFrame) -> DataFrame:
-    """doc_id, text_key and the ascending places of the lines to remove, for documents that have any."""
+    """doc_id, text_key and the ascending places of the lines to remove, for documents that have any.
+
+    The boilerplate is stored first: a join of two plain shuffles is one whose hot lines Spark can split.
+    """
     occurrence = F.struct("doc_id", "text_key", "place")
-    hits = lines.join(boilerplate, "line_key").where(~occurrence.eqNullSafe(F.col("first")))
+    hits = lines.join(stored(boilerplate, "boilerplate"), "line_key").where(~occurrence.eqNullSafe(F.col("first")))
     return hits.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 

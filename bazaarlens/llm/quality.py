@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.tables import raw_texts
 from bazaarlens.llm.words import SHINGLE_WORDS, window_hashes, word_hashes, word_spans
 
-#: Documents whose hashes are lowest form the sample that costs and selectivity are estimated on.
+#: Documents whose ids have the lowest hashes form the sample that costs and selectivity are estimated on.
 SAMPLE_ROWS = 1000
 
 _SYMBOLS = np.zeros(256, bool)
@@ -132,8 +132,11 @@ def estimate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
 
     The result is bounded by the number of rules and of their combinations on ``sample_rows`` documents.
     """
+    # Hashes of ids are sorted, not texts: each task sends as many numbers as the sample has rows at most.
+    draw = F.xxhash64("doc_id")
+    last = docs.select(draw.alias("draw")).orderBy("draw").limit(sample_rows).agg(F.max("draw").alias("draw")).first()
     text = F.coalesce(F.col("text"), F.lit(""))
-    sample = docs.select(text.alias("text")).orderBy(F.xxhash64("text")).limit(sample_rows)
+    sample = docs.where(draw <= F.lit(last.draw)).select(text.alias("text")).limit(sample_rows)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
-    byte_bpe, chat_format, fingerprints, line_dedup, mixing, ngram_join, quality, sharding,
+    byte_bpe, chat_format, fingerprints, line_dedup, mixing, ngram_join, pii, quality, sharding, toxicity,
 )
 from bazaarlens.llm.tables import corpus
 
@@ -33,6 +33,15 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat_format.digests(chat_format.read_back(chat_format.render(turns)))
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(corpus(spark, folder))
+
+
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = corpus(spark, folder)
+    return toxicity.scored(docs, toxicity.fit(docs, corpus(spark, folder, "labels")))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.removed_lines(corpus(spark, folder))
 
@@ -66,6 +75,8 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_chat_format": op2_chat_format,
+    "op3_pii": op3_pii,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_mixing": op6_mixing,
     "op7_byte_bpe": op7_byte_bpe,
