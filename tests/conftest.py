@@ -13,9 +13,10 @@ from pyspark.sql import types as T  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = local_session("4", "tests", **{
         "spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g",
+        "spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}",
         # Compiling each plan takes longer than running it on so few rows.
         "spark.sql.codegen.wholeStage": "false",
     })
