@@ -28,6 +28,8 @@ MIN_SITES = 5
 LG_REGISTERS = 10
 #: Three standard errors of a sketch with 2**10 registers: 3 * 1.04 / 32.
 MARGIN = 0.1
+#: Matches a line that holds more than white space.
+FILLED = "[^\\x20\\x09-\\x0D]"
 
 
 def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
@@ -36,7 +38,7 @@ def lines_of(docs: DataFrame, site: str = "source") -> DataFrame:
         "doc_id", F.xxhash64("text").alias("text_key"), F.col(site).cast("string").alias("site"),
         F.posexplode(F.split("text", "\n")).alias("place", "line"),
     )
-    return texts.where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select(
+    return texts.where(F.col("line").rlike(FILLED)).select(
         "doc_id", "text_key", "place", F.xxhash64("line").alias("line_key"),
         F.coalesce(F.concat(F.lit("="), "site"), F.lit("")).alias("site"),
     )
@@ -84,8 +86,13 @@ def _without(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series
         yield pd.Series(out, dtype=object)
 
 
-def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """The documents, all columns, without the boilerplate lines of their texts."""
+def remove_boilerplate(
+    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, drop_emptied: bool = False,
+) -> DataFrame:
+    """The documents, all columns, without the boilerplate lines of their texts.
+
+    With drop_emptied, documents that lose their last line go; what they held is left elsewhere.
+    """
     lines = lines_of(docs, site)
     gone = removals(lines, spread(lines, min_sites)).select(
         F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key"), "places",
@@ -100,6 +107,8 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
     cleaned = marked.withColumn("clean", F.when(
         F.col("places").isNotNull(), without(F.col("row.text"), F.col("places")),
     ).otherwise(F.col("row.text")))
+    if drop_emptied:
+        cleaned = cleaned.where(F.col("places").isNull() | F.col("clean").rlike(FILLED))
     return cleaned.select(*[
         (F.col("clean") if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in names
     ])
@@ -107,11 +116,9 @@ def remove_boilerplate(docs: DataFrame, site: str = "source", min_sites: int = M
 
 def removed_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """Per document: doc_id, n_lines not blank, n_removed, and the text that is left."""
-    blank = F.lit("[^\\x20\\x09-\\x0D]")
-
     def filled(text):
         lines = F.split(F.coalesce(text, F.lit("")), "\n")
-        return F.size(F.filter(lines, lambda line: F.regexp_like(line, blank))).cast("bigint")
+        return F.size(F.filter(lines, lambda line: F.regexp_like(line, F.lit(FILLED)))).cast("bigint")
 
     plain = docs.select("doc_id", "source" if site == "source" else site, "text", F.col("text").alias("whole"))
     cleaned = remove_boilerplate(plain, site, min_sites)

@@ -317,10 +317,11 @@ def listed(spans):
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, the number of base spans of each kind, base_sha256 and spans."""
     found = find(docs)
+
+    def number(kind: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+
     return found.select(
-        "doc_id", *[
-            F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("bigint").alias(f"n_{name}")
-            for kind, name in enumerate(KINDS)
-        ],
+        "doc_id", *[number(kind).alias(f"n_{name}") for kind, name in enumerate(KINDS)],
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bazaarlens.llm import byte_bpe, line_dedup, mixing, ngram_join, quality
 from bazaarlens.llm.tables import corpus, stored
@@ -25,9 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that many sources share, but for their first occurrence; texts left empty go."""
-    had_text = F.col("text").rlike(mixing.WORD)
-    marked = docs.select(*docs.columns, F.coalesce(had_text, F.lit(False)).alias("had_text"))
-    return line_dedup.remove_boilerplate(marked).where(~F.col("had_text") | had_text).drop("had_text")
+    return line_dedup.remove_boilerplate(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

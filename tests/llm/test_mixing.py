@@ -1,0 +1,75 @@
+import math
+import random
+
+import pytest
+
+from bazaarlens.llm import mixing
+
+from .test_words import plain_words
+
+
+def brute_targets(sizes, weights=(5, 2, 1), share=1.5, most=2):
+    """Hand out what is left by weight until no target is above its limit."""
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        open_ = [s for s in order if s not in full]
+        total = sum(weight[s] for s in open_)
+        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
+        if not over:
+            return {**full, **{s: left * weight[s] / total for s in open_}}
+        for s in over:
+            full[s] = most * sizes[s]
+            left -= full[s]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_targets(make_docs, seed):
+    rng = random.Random(seed)
+    rows, sizes = [], {}
+    for i in range(120):
+        source = rng.choice(["b", "a", "é", "Z", "a1", None][:rng.randint(2, 6)])
+        n = rng.choice([0, 1, 5, 40, 300])
+        sizes[source] = sizes.get(source, 0) + n
+        rows.append((i, "w " * n, source))
+    got = {r.source: r for r in mixing.source_targets(make_docs(rows)).collect()}
+    expected = brute_targets(sizes)
+    assert got.keys() == expected.keys()
+    for source, target in expected.items():
+        assert got[source].source_size == sizes[source]
+        assert got[source].target == pytest.approx(target)
+
+
+def test_copies_follow_the_rates(make_docs):
+    rows = [(i, "w " * (1 + i % 50), f"s{i % 7}") for i in range(7000)]
+    docs = make_docs(rows)
+    taken = mixing.with_copies(docs, mixing.source_targets(docs)).collect()
+    assert len(taken) == 7000
+    by_source = {}
+    for r in taken:
+        assert math.floor(r.rate) <= r.copies <= math.floor(r.rate) + 1 and r.copies <= 2
+        by_source.setdefault(r.source, []).append((r.copies * len(plain_words(r.text)), r.target))
+    for found in by_source.values():
+        assert sum(w for w, _ in found) == pytest.approx(found[0][1], rel=0.1)
+    again = {r.doc_id: r.copies for r in mixing.with_copies(docs.repartition(5), mixing.source_targets(docs)).collect()}
+    assert again == {r.doc_id: r.copies for r in taken}
+
+
+def test_mix_repeats_rows(make_docs):
+    docs = make_docs([(i, "w " * 10, f"s{i % 3}") for i in range(300)])
+    copies = {r.doc_id: r.copies for r in mixing.with_copies(docs, mixing.source_targets(docs)).collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    found = {}
+    for r in mixed.collect():
+        found[r.doc_id] = found.get(r.doc_id, 0) + 1
+    assert found == {k: v for k, v in copies.items() if v}
+
+
+def test_odd_rows(odd_docs, no_docs, make_docs):
+    assert mixing.mix(odd_docs).columns == odd_docs.columns
+    assert mixing.mix(no_docs).count() == 0 and mixing.source_targets(no_docs).count() == 0
+    empty = make_docs([(1, None, None), (2, "", "a")])
+    assert [(r.source_size, r.target, r.rate) for r in mixing.source_targets(empty).collect()] == [(0, 0.0, 0.0)] * 2
+    assert mixing.mix(empty).count() == 0
