@@ -7,9 +7,11 @@ any number of them can share one pass over the table: ``df.agg(*null_measures(..
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaarlens.operators.rows import key_set, repeat_rows
 from bazaarlens.schemas import Box
@@ -42,6 +44,26 @@ def predicate_count(predicate: Column, alias: str) -> Column:
     return F.count_if(predicate).alias(alias)
 
 
+def content_checksums(df: DataFrame) -> DataFrame:
+    """One row per column: how many values are present, and an exact sum over them in any order.
+
+    Numbers are summed in hundredths, as integers; texts and times by 32 bits of the MD5 of their text.
+    """
+    def summed(field: T.StructField) -> Column:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.NumericType):
+            return F.sum(F.round(value * 100).cast("decimal(38,0)")).cast("bigint")
+        if isinstance(field.dataType, T.TimestampNTZType):
+            value = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+        return F.sum(F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("bigint"))
+
+    figures = [
+        F.struct(F.lit(f.name).alias("column_name"), F.count(f.name).alias("present"), summed(f).alias("checksum"))
+        for f in df.schema
+    ]
+    return df.agg(F.array(*figures).alias("figures")).select(F.explode("figures").alias("f")).select("f.*")
+
+
 # --- predicates ---------------------------------------------------------------------------
 
 def malformed(column: str, pattern: str) -> Column:
@@ -49,6 +71,10 @@ def malformed(column: str, pattern: str) -> Column:
     return ~F.col(column).cast("string").rlike(pattern)
 
 
+def any_malformed(patterns: Mapping[str, str]) -> Column:
+    return reduce(Column.__or__, [malformed(column, pattern) for column, pattern in patterns.items()])
+
+
 def outside_box(box: Box, lat: str, lng: str) -> Column:
     return ~F.col(lat).between(box.lat_min, box.lat_max) | ~F.col(lng).between(box.lng_min, box.lng_max)
 
@@ -85,11 +111,7 @@ def predicate_rows(df: DataFrame, predicate: Column, *columns: str) -> DataFrame
 
 def format_anomalies(df: DataFrame, patterns: Mapping[str, str], *columns: str) -> DataFrame:
     """Rows where any listed column's text breaks its pattern. Give it the raw text scan."""
-    broken = None
-    for column, pattern in patterns.items():
-        rule = malformed(column, pattern)
-        broken = rule if broken is None else broken | rule
-    return predicate_rows(df, broken, *(columns or tuple(patterns)))
+    return predicate_rows(df, any_malformed(patterns), *(columns or tuple(patterns)))
 
 
 def length_profile(df: DataFrame, column: str, alias: str = "text_length") -> DataFrame:
@@ -123,12 +145,15 @@ def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None)
     """The foreign key of every child row without a parent, one row per child row, NULL keys included.
 
     Child keys are counted before the join, so a key that fills a third of the table crosses the
-    shuffle as a few counted rows, and the rows are unrolled only for the orphans.
+    shuffle as a few counted rows, and the rows are unrolled only for the orphans. NULL keys need no join
+    and come straight from the scan.
     """
     pk = pk or fk
-    counted = child.groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
+    keys = child.select(fk)
+    counted = keys.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("_rows"))
     parents = key_set(parent.select(F.col(pk).alias(fk)), fk)
-    return repeat_rows(counted.join(parents, fk, "left_anti"), "_rows")
+    missing = repeat_rows(counted.join(parents, fk, "left_anti"), "_rows")
+    return missing.unionAll(keys.where(F.col(fk).isNull()))
 
 
 def unmatched_values(child: DataFrame, lookup: DataFrame, column: str) -> DataFrame:

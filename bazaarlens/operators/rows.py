@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Rows one task unrolls from one counted row.
+# Rows one task unrolls from one counted row, unless the square root of its copies is more.
 BLOCK = 1_000
 
 # Parts that the blocks of one counted row are written by.
 LANES = 64
 
-# Rows of a lookup table, and keys of a filter, that every task may hold.
-LOOKUP_ROWS = 100_000
-FILTER_KEYS = 500_000
+
+def _blocks(counted: DataFrame, copies: str, block: int) -> DataFrame:
+    """Cut each counted row into blocks of ``_size`` copies; neither blocks nor sizes exceed a square root by much."""
+    size = F.greatest(F.lit(block).cast("bigint"), F.ceil(F.sqrt(F.col(copies))).cast("bigint"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.col("_step"))
+    return (
+        counted.withColumn("_step", size)
+        .withColumn("_start", F.explode(starts))
+        .withColumn("_size", F.least(F.col(copies) - F.col("_start"), F.col("_step")).cast("int"))
+        .drop("_step")
+    )
+
+
+def _unrolled(blocks: DataFrame) -> DataFrame:
+    return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop("_size", "_copy")
 
 
 def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK, near: str | None = None) -> DataFrame:
     """Turn each row into ``copies`` equal rows.
 
-    A row that stands for many copies is first cut into blocks and the blocks are spread over the
-    cluster, so neither the shuffle nor any task carries the copies of a hot key alone. With ``near`` the
-    same shuffle also brings the rows of one value together in evenly sized partitions, for writing.
+    Rows of few copies are unrolled where they are. A row that stands for many is cut into blocks of about
+    the square root of its copies, and the blocks are spread over the cluster, so neither an array nor a task
+    carries the copies of a hot key alone. With ``near`` one shuffle brings the rows of one value
+    together in evenly sized partitions, for writing.
     """
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(block).cast("bigint"))
-    blocks = counted.withColumn("_start", F.explode(starts)).withColumn(
-        "_size", F.least(F.col(copies) - F.col("_start"), F.lit(block).cast("bigint")).cast("int")
-    )
-    if near is None:
-        spread = blocks.repartition(*[F.col(c) for c in blocks.columns if c not in (copies, "_size")])
-    else:
+    if near is not None:
+        blocks = _blocks(counted, copies, block)
         lane = (F.col("_start") / block).cast("bigint") % LANES
-        spread = blocks.withColumn("_lane", lane).hint("rebalance", near, "_lane").drop("_lane")
-    return spread.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop(
-        "_start", "_size", "_copy", copies
-    )
+        arranged = blocks.withColumn("_lane", lane).hint("rebalance", near, "_lane")
+        return _unrolled(arranged.drop("_lane", "_start", copies))
+    few = counted.where(F.col(copies) <= block).withColumn("_size", F.col(copies).cast("int")).drop(copies)
+    many = _blocks(counted.where(F.col(copies) > block), copies, block)
+    spread = many.repartition(*[F.col(c) for c in many.columns if c not in (copies, "_size")])
+    return _unrolled(few.unionByName(spread.drop("_start", copies)))
 
 
 def key_set(df: DataFrame, *keys: str) -> DataFrame:
@@ -54,27 +64,16 @@ def join_keys(df: DataFrame, key: str, groups: int = 16) -> DataFrame:
     return grouped.distinct().select(key)
 
 
-def is_small(df: DataFrame, max_rows: int) -> bool:
-    # A plain count: a limit would make every input partition send that many rows to one task.
-    return df.count() <= max_rows
-
-
-def small_side(df: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcasting if it is proven to be small; otherwise leave the join to Spark.
-
-    For lookups that are derived rather than read, where the optimizer's size estimate is that of their
-    source and the large side would be shuffled for a few rows.
-    """
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def of_orders(table: DataFrame, orders: DataFrame) -> DataFrame:
+    """The rows of a table that belong to one of the orders, before they meet any other table."""
+    return table.join(join_keys(orders, "order_id"), "order_id", "left_semi")
 
 
-def prefilter(key: str, wanted: DataFrame, *tables: DataFrame, max_keys: int = FILTER_KEYS) -> list[DataFrame]:
-    """Drop rows that a later join on ``key`` with ``wanted`` cannot use, before they are shuffled.
+def regrouped(rows: DataFrame, keys: tuple[str, ...], *measures: Column) -> DataFrame:
+    """Aggregate by keys with a shuffle of its own.
 
-    Done only if the wanted keys are proven to be few enough to broadcast, as in a report over a short
-    window; beyond that the tables come back as they are and the later join alone decides.
+    Grouped by the columns themselves, rows that a join has placed by one of them would be aggregated where
+    they are, and adaptive execution could not split a hot key of that join.
     """
-    keys = wanted.select(key)
-    if not is_small(keys, max_keys):
-        return list(tables)
-    return [table.join(F.broadcast(keys), key, "left_semi") for table in tables]
+    grouped = rows.withColumn("_keys", F.struct(*keys)).groupBy("_keys").agg(*measures)
+    return grouped.select("_keys.*", *[c for c in grouped.columns if c != "_keys"])

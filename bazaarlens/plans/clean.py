@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bazaarlens.operators.changes import purge, purge_orphans, repair
-from bazaarlens.operators.rows import small_side
-from bazaarlens.schemas import KEYS, SCHEMAS
+from bazaarlens.schemas import SCHEMAS
 
 # The misspelt and the right word in English category names.
 TYPO, FIXED = "costruction", "construction"
@@ -73,7 +72,7 @@ class CleanTables(Mapping):
             "reviews": lambda: purge_orphans(raw["reviews"], self["orders"], "order_id"),
             "products": lambda: purge_orphans(
                 purge(raw["products"], weightless()),
-                small_side(raw["product_category_name_translation"]), "product_category_name",
+                raw["product_category_name_translation"], "product_category_name",
             ),
             "product_category_name_translation": lambda: fix_typo(raw["product_category_name_translation"]),
         }
@@ -85,7 +84,7 @@ def row_changes(raw: Mapping[str, DataFrame], cleaned: Mapping[str, DataFrame])
         tables[name].agg(
             F.lit(name).alias("table_name"), F.lit(stage).alias("stage"), F.count(F.lit(1)).alias("n")
         )
-        for name in KEYS
+        for name in SCHEMAS
         for stage, tables in (("raw", raw), ("cleaned", cleaned))
     ]
     stacked = counts[0]

@@ -26,17 +26,22 @@ from bazaarlens.plans.marts import (
     reviewed_deliveries,
     seller_region,
 )
-from bazaarlens.plans.scope import ReportWindow
+from bazaarlens.plans.scope import ReportWindow, sold_orders
 
 PRIORITY_DAYS = 21
+WARNING_DAYS = 14
 MIN_SAMPLE = 300
 
 
 def late_share(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Share of reviewed deliveries that came late."""
+    return late_share_of(reviewed_deliveries(tables, window))
+
+
+def late_share_of(deliveries: DataFrame) -> DataFrame:
     late = F.sum(F.when(F.col("delivery_status") == LATE, F.col("reviews")).otherwise(0))
     total = F.sum("reviews")
-    return reviewed_deliveries(tables, window).agg(
+    return deliveries.agg(
         late.alias("late_orders"), total.alias("total_orders"), ratio(late, total, factor=100).alias("late_share_pct")
     )
 
@@ -145,17 +150,35 @@ def unknown_category(tables: Tables, window: ReportWindow = ReportWindow()) -> D
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
-def late_risk(
+def late_deliveries(
     tables: Tables, window: ReportWindow = ReportWindow(), limit_days: int = PRIORITY_DAYS,
-    as_of: datetime | None = None,
 ) -> DataFrame:
-    """Orders that took longer than ``limit_days``; with ``as_of``, open orders age until that time."""
-    reached = F.col("order_delivered_customer_date")
-    if as_of is not None:
-        reached = F.coalesce(reached, F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
-    days = whole_days(reached, F.col("order_purchase_timestamp"))
+    """Delivered orders that took longer than ``limit_days``."""
+    days = whole_days(F.col("order_delivered_customer_date"), F.col("order_purchase_timestamp"))
     return (
-        tables["orders"].where(window.covers())
+        window.of(tables["orders"])
         .select("order_id", "customer_id", "order_status", days.alias("days_elapsed"))
         .where(F.col("days_elapsed") > limit_days)
     )
+
+
+def late_risk(
+    tables: Tables, as_of: datetime, window: ReportWindow = ReportWindow(),
+    warning_days: int = WARNING_DAYS, limit_days: int = PRIORITY_DAYS,
+) -> DataFrame:
+    """Open orders at a time that are on track to exceed ``limit_days``, or have done so.
+
+    Open is what was placed by then, was not called off and had not reached the customer by then. From
+    ``warning_days`` on an order is listed, with the days left until it crosses the limit (0 once it has).
+    """
+    now = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+    reached = F.col("order_delivered_customer_date")
+    open_then = (F.col("order_purchase_timestamp") <= now) & (reached.isNull() | (reached > now))
+    days = whole_days(now, F.col("order_purchase_timestamp"))
+    return (
+        sold_orders(tables["orders"], window).where(open_then & ~((F.col("order_status") == "delivered") & reached.isNull()))
+        .select("order_id", "customer_id", "order_status", days.alias("days_elapsed"))
+        .where(F.col("days_elapsed") >= warning_days)
+        .withColumn("days_left", F.greatest(F.lit(limit_days + 1) - F.col("days_elapsed"), F.lit(0)))
+        .withColumn("crossed", F.col("days_elapsed") > limit_days)
+    )

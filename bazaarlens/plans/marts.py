@@ -27,8 +27,8 @@ from bazaarlens.functions.columns import (
     ratio,
     revenue_rank,
 )
-from bazaarlens.operators.rows import prefilter, repeat_rows, small_side
-from bazaarlens.plans.scope import ReportWindow, delivered_orders, sold_orders
+from bazaarlens.operators.rows import of_orders, regrouped, repeat_rows
+from bazaarlens.plans.scope import MONTH, ReportWindow, delivered_orders, sold_orders
 
 Tables = Mapping[str, DataFrame]
 
@@ -79,7 +79,7 @@ def in_english(rows: DataFrame, tables: Tables) -> DataFrame:
     names = tables["product_category_name_translation"].select(
         "product_category_name", "product_category_name_english"
     )
-    return rows.join(small_side(names), "product_category_name", "left").withColumn("category", english_category())
+    return rows.join(names, "product_category_name", "left").withColumn("category", english_category())
 
 
 def _with_category(items: DataFrame, tables: Tables, how: str) -> DataFrame:
@@ -91,11 +91,9 @@ def category_performance(tables: Tables, window: ReportWindow = ReportWindow())
     """Item revenue, distinct orders, items sold and rank per English category."""
     sold = sold_orders(tables["orders"], window)
     items = tables["order_items"].select("order_id", "order_item_id", "product_id", "price")
-    (items,) = prefilter("order_id", sold, items)
-    baskets = (
-        _with_category(items, tables, "inner")
-        .groupBy("order_id", "category")
-        .agg(F.sum("price").alias("revenue"), F.count("order_item_id").alias("items"))
+    baskets = regrouped(
+        _with_category(of_orders(items, sold), tables, "inner"), ("order_id", "category"),
+        F.sum("price").alias("revenue"), F.count("order_item_id").alias("items"),
     )
     placed = sold.groupBy("order_id").agg(_rows("copies"))
     per_category = (
@@ -208,15 +206,13 @@ def seller_region(
     """
     sold = sold_orders(tables["orders"], window)
     items = tables["order_items"].select("order_id", "seller_id", "price")
-    items, reviews = prefilter("order_id", sold, items, tables["reviews"])
     sellers = tables["sellers"].select("seller_id", "seller_state")
-    baskets = (
-        items.join(sellers, "seller_id")
-        .groupBy("order_id", "seller_state")
-        .agg(_rows("items"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"))
+    baskets = regrouped(
+        of_orders(items, sold).join(sellers, "seller_id"), ("order_id", "seller_state"),
+        _rows("items"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"),
     )
     placed = sold.groupBy("order_id").agg(_rows("copies"))
-    scores = _scores_per_order(reviews)
+    scores = _scores_per_order(tables["reviews"])
     fan_out = F.col("copies")
     if repeat_item_per_review:
         fan_out = fan_out * F.coalesce(F.col("reviews"), F.lit(1))
@@ -247,17 +243,15 @@ FACT_COLUMNS = (
     "payment_value", "review_score", "order_delivered_customer_date", "order_estimated_delivery_date",
     "delivery_status", "category",
 )
-MONTH = "purchase_month"
 
 
 def _order_details(items: DataFrame, reviews: DataFrame, tables: Tables) -> DataFrame:
     """Counted (review score, seller state, category) combinations per order with a review or an item."""
     scores = reviews.groupBy("order_id", "review_score").agg(_rows("review_copies"))
-    items = (
-        _with_category(items, tables, "left")
-        .join(tables["sellers"].select("seller_id", "seller_state"), "seller_id", "left")
-        .groupBy("order_id", "seller_state", "category")
-        .agg(_rows("item_copies"))
+    sellers = tables["sellers"].select("seller_id", "seller_state")
+    items = regrouped(
+        _with_category(items, tables, "left").join(sellers, "seller_id", "left"),
+        ("order_id", "seller_state", "category"), _rows("item_copies"),
     )
     return scores.join(items, "order_id", "full").select(
         "order_id", "review_score", "seller_state", "category",
@@ -268,28 +262,27 @@ def _order_details(items: DataFrame, reviews: DataFrame, tables: Tables) -> Data
 def order_fact(tables: Tables, window: ReportWindow = ReportWindow(), by_month: bool = False) -> DataFrame:
     """One row per order, payment, review and item; orders need a customer and a payment only.
 
-    Equal rows travel as one counted row and are unrolled at the end. Every join is followed by a
-    shuffle on another key (payments, customers, details, then the spread of the counted rows), which
-    lets adaptive execution split a hot order or customer wherever it appears. Do not sum
+    Equal rows travel as one counted row and are unrolled at the end, where they are unless they stand for
+    many. Orders meet their customer first, with one row per order, then their payments, then the counted
+    details; the key of the last join is a struct, so that both of its sides are shuffled for it and adaptive
+    execution can split a hot order there and in the join before. Do not sum
     ``payment_value`` over this table: it repeats per review and item. With ``by_month`` the rows carry
-    their ``purchase_month`` and the last shuffle arranges them by it, ready to be written.
+    their ``purchase_month`` and one more shuffle arranges them by it, ready to be written.
     """
     placed = sold_orders(tables["orders"], window).select(
         "order_id", "customer_id", "order_purchase_timestamp",
         "order_delivered_customer_date", "order_estimated_delivery_date",
         delivery_status().alias("delivery_status"),
     )
-    items, reviews, payments = prefilter(
-        "order_id", placed,
-        tables["order_items"].select("order_id", "seller_id", "product_id"),
-        tables["reviews"].select("order_id", "review_score"),
-        tables["order_payments"].select("order_id", "payment_value"),
-    )
+    items = of_orders(tables["order_items"].select("order_id", "seller_id", "product_id"), placed)
+    reviews = tables["reviews"].select("order_id", "review_score")
+    payments = tables["order_payments"].select("order_id", "payment_value")
     customers = tables["customers"].select("customer_id", "customer_state")
+    paid = placed.join(customers, "customer_id").join(payments, "order_id")
+    details = _order_details(items, reviews, tables).withColumn("_order", F.struct("order_id")).drop("order_id")
     counted = (
-        placed.join(payments, "order_id")
-        .join(customers, "customer_id")
-        .join(_order_details(items, reviews, tables), "order_id", "left")
+        paid.withColumn("_order", F.struct("order_id"))
+        .join(details, "_order", "left").drop("_order")
         .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
         .withColumn("copies", F.coalesce("copies", F.lit(1)))
     )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 from bazaarlens.functions.columns import mean
 from bazaarlens.operators import checks as ck
 from bazaarlens.operators.changes import purge, purge_orphans
-from bazaarlens.operators.rows import small_side
 from bazaarlens.plans import clean
 from bazaarlens.plans.marts import in_english
 from bazaarlens.schemas import (
@@ -27,6 +27,7 @@ from bazaarlens.schemas import (
     ORDER_STATUSES,
     PAYMENT_TYPES,
     PLAIN_NUMBER,
+    SCHEMAS,
     SCORE_RANGE,
     STATE_CODES,
 )
@@ -60,17 +61,63 @@ class Listing:
         return self.run(tables)
 
 
-def _duplicates(table: str, *keys: str) -> Listing:
-    return Listing(table, lambda t: ck.duplicate_keys(t[table], *keys))
+@dataclass(frozen=True)
+class Duplicates:
+    """A check that returns the keys a table holds more than once."""
+
+    table: str
+    keys: tuple[str, ...]
+
+    def __call__(self, tables: Tables) -> DataFrame:
+        return ck.duplicate_keys(tables[self.table], *self.keys)
+
+
+@dataclass(frozen=True)
+class Orphans:
+    """A check that returns the foreign keys of rows without a parent."""
+
+    table: str
+    parent: str
+    key: str
+
+    def __call__(self, tables: Tables) -> DataFrame:
+        return ck.orphans(tables[self.table], tables[self.parent], self.key)
+
+
+@dataclass(frozen=True)
+class Unmatched:
+    """A check that returns the distinct values that a lookup does not know."""
+
+    table: str
+    parent: str
+    key: str
+
+    def __call__(self, tables: Tables) -> DataFrame:
+        return ck.unmatched_values(tables[self.table], tables[self.parent], self.key)
+
+
+@dataclass(frozen=True)
+class Rows:
+    """A check that returns the rows where a predicate is true."""
+
+    table: str
+    predicate: Callable[[], Column]
+    columns: tuple[str, ...]
+
+    def __call__(self, tables: Tables) -> DataFrame:
+        return ck.predicate_rows(tables[self.table], self.predicate(), *self.columns)
 
 
-def _orphans(child: str, parent: str, fk: str) -> Listing:
-    return Listing(child, lambda t: ck.orphans(t[child], t[parent], fk))
+def _duplicates(table: str, *keys: str) -> Duplicates:
+    return Duplicates(table, keys)
 
 
-def _format(table: str, patterns: dict[str, str], *columns: str) -> Listing:
-    text = f"{table}_text"
-    return Listing(text, lambda t: ck.format_anomalies(t[text], patterns, *columns))
+def _orphans(child: str, parent: str, fk: str) -> Orphans:
+    return Orphans(child, parent, fk)
+
+
+def _format(table: str, patterns: dict[str, str], *columns: str) -> Rows:
+    return Rows(f"{table}_text", lambda: ck.any_malformed(patterns), columns or tuple(patterns))
 
 
 def _values(table: str, column: str) -> Listing:
@@ -124,7 +171,7 @@ _ORDER_DATES = (
     "order_delivered_carrier_date", "order_delivered_customer_date",
 )
 
-SUITE: dict[str, Figures | Listing] = {
+SUITE: dict[str, Figures | Listing | Rows | Duplicates | Orphans | Unmatched] = {
     # customers
     "c01_customers_dup": _duplicates("customers", "customer_id"),
     "c02_customers_nulls": _nulls(
@@ -159,10 +206,10 @@ SUITE: dict[str, Figures | Listing] = {
             },
         ),
     ),
-    "c10_orders_delivered_missing": Listing(
-        "orders", lambda t: ck.predicate_rows(t["orders"], _delivered_with_gaps(), *_ORDER_DATES)
+    "c10_orders_delivered_missing": Rows("orders", _delivered_with_gaps, _ORDER_DATES),
+    "c11_orders_purge_undelivered": Listing(
+        "orders", lambda t: purge(t["orders"], clean.undelivered()).select(*SCHEMAS["orders"].names)
     ),
-    "c11_orders_purge_undelivered": Listing("orders", lambda t: purge(t["orders"], clean.undelivered())),
     "c12_orders_ts_format": _format(
         "orders", {"order_purchase_timestamp": ISO_DATE_START}, "order_id", "order_purchase_timestamp"
     ),
@@ -282,11 +329,9 @@ SUITE: dict[str, Figures | Listing] = {
     "c56_products_dims_nonpositive": _count("products", "dims_nonpositive", _any_dimension_nonpositive),
     "c57_products_max_profile": _range("products", "product_weight_g", "product_length_cm", low=False),
     "c58_products_category_counts": Listing("products", lambda t: ck.value_counts(t["products"], CATEGORY)),
-    "c59_products_untranslated": Listing(
-        "products", lambda t: ck.unmatched_values(t["products"], small_side(t[TRANSLATION]), CATEGORY)
-    ),
+    "c59_products_untranslated": Unmatched("products", TRANSLATION, CATEGORY),
     "c60_products_purge_untranslated": Listing(
-        "products", lambda t: purge_orphans(t["products"], small_side(t[TRANSLATION]), CATEGORY)
+        "products", lambda t: purge_orphans(t["products"], t[TRANSLATION], CATEGORY)
     ),
     # sellers
     "c61_sellers_dup": _duplicates("sellers", "seller_id"),
@@ -348,26 +393,85 @@ EXPECT_ZERO = (
 )
 
 
+PARENT = "parent"
+
+
+def _facts(tables: Tables) -> tuple[dict[str, list[Column]], list[tuple[str, str, str]]]:
+    """What each table contributes to the report, and the (check, topic, figure) that reads it.
+
+    A contribution is a struct of topic, role and up to two key columns, one per row of the table: its
+    keys, the keys it refers to, or the fact that a predicate is true for the row.
+    """
+    facts: dict[str, list[Column]] = {}
+    wanted: list[tuple[str, str, str]] = []
+
+    def add(table: str, topic: str, role: str, keys: tuple[str, ...], when: Column | None = None) -> None:
+        known = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
+        row = F.struct(F.lit(topic).alias("topic"), F.lit(role).alias("role"), *[k.alias(f"k{i}") for i, k in enumerate(known)])
+        column = row if when is None else F.when(when, row)
+        if not any(column._jc.toString() == other._jc.toString() for other in facts.setdefault(table, [])):
+            facts[table].append(column)
+
+    for name in (*EXPECT_NO_ROWS, *EXPECT_ZERO):
+        check = SUITE[name]
+        if isinstance(check, Duplicates):
+            topic = ",".join((check.table, *check.keys))
+            add(check.table, topic, PARENT, check.keys)
+            wanted.append((name, topic, "repeated"))
+        elif isinstance(check, Orphans | Unmatched):
+            topic = ",".join((check.parent, check.key))
+            add(check.parent, topic, PARENT, (check.key,))
+            add(check.table, topic, check.table, (check.key,))
+            wanted.append((name, topic, f"{'lost' if isinstance(check, Orphans) else 'unknown'}_{check.table}"))
+        elif isinstance(check, Rows):
+            add(check.table, name, PARENT, (), check.predicate())
+            wanted.append((name, name, "rows"))
+    return facts, wanted
+
+
 def report(tables: Tables) -> DataFrame:
-    """Violations per expectation: rows of the checks that should be empty, counts that should be zero."""
-    parts = [
-        SUITE[name](tables).agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(name).alias("check_name"), "violations"
-        )
-        for name in EXPECT_NO_ROWS
-    ]
+    """Violations per expectation: rows of the checks that should be empty, counts that should be zero.
+
+    Each table is read once for all of its keys, foreign keys and row checks. These are counted per topic
+    and key, map-side first; a key that is missing among its parents, or there twice, shows in the counts, so no
+    orphan is unrolled. Rows that a load has rejected are listed per table, where the tables come with them.
+    """
+    facts, wanted = _facts(tables)
+    rows = reduce(DataFrame.unionAll, [
+        tables[table].select(F.explode(F.array_compact(F.array(*columns))).alias("fact")).select("fact.*")
+        for table, columns in facts.items()
+    ])
+    children = sorted({check.table for name in EXPECT_NO_ROWS if isinstance(check := SUITE[name], Orphans | Unmatched)})
+    counted = rows.groupBy("topic", "k0", "k1").agg(
+        F.count_if(F.col("role") == PARENT).alias("parents"),
+        *[F.count_if(F.col("role") == child).alias(child) for child in children],
+    )
+    alone = F.col("k0").isNull() | (F.col("parents") == 0)
+    summary = counted.groupBy("topic").agg(
+        F.sum("parents").alias("rows"), F.count_if(F.col("parents") > 1).alias("repeated"),
+        *[F.sum(F.when(alone, F.col(c)).otherwise(0)).alias(f"lost_{c}") for c in children],
+        *[F.count_if(alone & F.col("k0").isNotNull() & (F.col(c) > 0)).alias(f"unknown_{c}") for c in children],
+    )
+    figures = [c for c in summary.columns if c != "topic"]
+    listed = summary.unpivot(["topic"], figures, "figure", "violations")
+    names = listed.sparkSession.createDataFrame(wanted, "check_name string, topic string, figure string")
+    parts = [names.join(listed, ["topic", "figure"], "left").select(
+        "check_name", F.coalesce("violations", F.lit(0)).cast("bigint").alias("violations"),
+    )]
     by_table: dict[str, list[str]] = {}
     for name in EXPECT_ZERO:
         by_table.setdefault(SUITE[name].table, []).append(name)
-    for table, names in by_table.items():
-        measures = [SUITE[name].measures()[0].alias(name) for name in names]
-        parts.append(
-            tables[table].agg(*measures).unpivot([], names, "check_name", "violations")
-        )
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionAll(part)
-    return stacked
+    for table, checks in by_table.items():
+        measures = [SUITE[name].measures()[0].alias(name) for name in checks]
+        parts.append(tables[table].agg(*measures).unpivot([], checks, "check_name", "violations"))
+    others = [n for n in EXPECT_NO_ROWS if isinstance(SUITE[n], Listing)]
+    parts += [_row_count(SUITE[name](tables), name) for name in others]
+    parts += [_row_count(tables[t], t) for t in (f"{name}_rejected" for name in SCHEMAS) if t in tables]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _row_count(rows: DataFrame, name: str) -> DataFrame:
+    return rows.agg(F.lit(name).alias("check_name"), F.count(F.lit(1)).alias("violations"))
 
 
 # Columns with a closed set of values, and columns with a closed range.

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -27,19 +25,13 @@ def local_session(cores: str = "*", app: str = "bazaarlens", **conf: str) -> Spa
     return spark
 
 
-@functools.cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="bazaarlens-")
-
-
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that the session shares between its machines.
 
-    Clusters name it in ``spark.checkpoint.dir``. Only a local session may go without.
+    Clusters name it in ``spark.checkpoint.dir``. Without the setting it is a folder in the session's
+    warehouse, which its machines share as well.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        folder = _local_folder()
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/work"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

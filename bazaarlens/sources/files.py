@@ -140,10 +140,15 @@ def parquet_tables(spark: SparkSession, folder: str) -> LazyTables:
 
 
 def csv_tables(spark: SparkSession, folder: str) -> LazyTables:
-    """The nine tables and their text scans from ``<folder>/<table>`` CSV files or folders."""
+    """The nine tables from ``<folder>/<table>`` CSV files or folders.
+
+    ``<table>_rejected`` has the lines that do not fit the schema, with the reason (``quality.report`` counts
+    them), and ``<table>_text`` every line as text.
+    """
     plans: dict[str, Callable[[], DataFrame]] = {}
     for name in SCHEMAS:
         path = f"{folder}/{name}"
         plans[name] = lambda name=name, path=path: read_csv(spark, name, path).accepted
+        plans[f"{name}_rejected"] = lambda name=name, path=path: read_csv(spark, name, path).rejected
         plans[f"{name}_text"] = lambda name=name, path=path: read_csv_text(spark, name, path)
     return LazyTables(plans)

@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bazaarlens.functions.columns import month_of
 from bazaarlens.plans import marts
-from bazaarlens.plans.scope import ReportWindow
+from bazaarlens.plans.scope import MONTH, ReportWindow
 from bazaarlens.schemas import SCHEMAS
 from bazaarlens.sources.files import CSV_DIALECT
 
+# How result files write times.
+RESULT_TIME = "yyyy-MM-dd HH:mm:ss"
+
 # The published views and the mart behind each.
 VIEWS = {
     "v_monthly_revenue": marts.monthly_revenue,
@@ -32,12 +35,16 @@ def replace_table(df: DataFrame, path: str) -> DataFrame:
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """One Parquet folder per table; orders by purchase month, so a report window prunes files."""
+    """One Parquet folder per table; orders by purchase month, whose folders a report window prunes.
+
+    Items, payments and reviews are not bucketed by order: that would tie a hot order to one bucket file, which
+    adaptive execution cannot split, and the marts reduce these tables map-side before they shuffle anyway.
+    """
     for name in SCHEMAS:
         if name == "orders":
             month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
-            rows = tables[name].withColumn(marts.MONTH, month).hint("rebalance", marts.MONTH)
-            writer = rows.write.partitionBy(marts.MONTH)
+            rows = tables[name].withColumn(MONTH, month).hint("rebalance", MONTH)
+            writer = rows.write.partitionBy(MONTH)
         else:
             writer = tables[name].write
         writer.mode("overwrite").parquet(f"{folder}/{name}")
@@ -46,7 +53,7 @@ def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
 def write_order_fact(tables: Mapping[str, DataFrame], window: ReportWindow, path: str) -> DataFrame:
     """The order fact as Parquet by purchase month, with files of even size."""
     fact = marts.order_fact(tables, window, by_month=True)
-    fact.write.mode("overwrite").partitionBy(marts.MONTH).parquet(path)
+    fact.write.mode("overwrite").partitionBy(MONTH).parquet(path)
     return fact.sparkSession.read.parquet(path).select(*marts.FACT_COLUMNS)
 
 
@@ -66,14 +73,36 @@ def publish_views(
 
 
 def write_result_csv(df: DataFrame, path: str) -> None:
-    """A result with a header and NULL spelled out."""
-    df.write.mode("overwrite").csv(
-        path, header=True, nullValue="NULL", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    )
+    """A result with quoted names, texts and times, plain numbers, and NULL spelled out and unquoted.
+
+    The CSV writer quotes all fields or those that need it, so the lines are put together here; as with the
+    writer, each file starts with the header.
+    """
+    def quoted(text: Column) -> Column:
+        return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    def field(f: T.StructField) -> Column:
+        value = F.col(f.name)
+        if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
+            value = F.date_format(value, RESULT_TIME)
+        text = value.cast("string")
+        return F.coalesce(text if isinstance(f.dataType, T.NumericType) else quoted(text), F.lit("NULL"))
+
+    header = F.concat_ws(",", *[quoted(F.lit(c)) for c in df.columns])
+    line = F.concat_ws(",", *[field(f) for f in df.schema])
+    # The lower 33 bits of these ids number the rows of a partition.
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines = df.select(F.when(first, F.concat_ws("\n", header, line)).otherwise(line).alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    return spark.read.schema(schema).csv(path, header=True, nullValue="NULL")
+    """A result file's rows; a text that reads NULL cannot be told from no text."""
+    return (
+        spark.read.schema(schema)
+        .options(header=True, nullValue="NULL", escape='"', multiLine=True, timestampNTZFormat=RESULT_TIME)
+        .csv(path)
+    )
 
 
 def write_table_csv(df: DataFrame, path: str) -> None:

@@ -36,7 +36,7 @@ _DELIVERY = (
 _PROJECTIONS: dict[str, tuple[str, dict[str, str]]] = {
     "customers": ("customer", {
         "customer_id": "c_custkey - if(c_custkey % 499 = 498, 1, 0)",
-        "unique_customer_id": "c_custkey div 2",
+        "unique_customer_id": "c_custkey - if(c_custkey % 10 = 9, 1, 0)",
         "customer_zip_code_prefix":
             "CASE WHEN c_custkey % 271 = 0 THEN concat('A', cast(c_custkey % 10000 as string)) "
             "WHEN c_custkey % 277 = 0 THEN '' WHEN c_custkey % 281 = 0 THEN NULL "

@@ -5,7 +5,6 @@ from __future__ import annotations
 from oracle.tables import STATES, with_tables
 
 SALES = ("'1997-01-01'", "'1998-09-01'")
-QUARTER = ("'1998-01-01'", "'1998-04-01'")
 
 
 def _window(bounds: tuple[str, str], o: str = "o") -> str:
@@ -73,8 +72,8 @@ def _deliveries(p: str, bounds=SALES) -> str:
 
 def delivery_buckets(p: str, bounds=SALES) -> str:
     return f"""
-    SELECT CASE WHEN days < 8 THEN '0-7 days' WHEN days < 15 THEN '8-14 days'
-                WHEN days < 22 THEN '15-21 days' ELSE '22+ days' END AS delivery_bucket,
+    SELECT CASE WHEN days <= 7 THEN '0-7 days' WHEN days <= 14 THEN '8-14 days'
+                WHEN days <= 21 THEN '15-21 days' ELSE '22+ days' END AS delivery_bucket,
            count(*) AS total_orders, {_hundredths('sum(score)', 'count(score)')} AS avg_review_score
     FROM {_deliveries(p, bounds)} GROUP BY 1"""
 
@@ -86,17 +85,17 @@ def late_vs_ontime(p: str, bounds=SALES) -> str:
     FROM {_deliveries(p, bounds)} GROUP BY late"""
 
 
-def _buyers(p: str, bounds=QUARTER) -> str:
+def _buyers(p: str, bounds=SALES) -> str:
     return f"""
     (SELECT c.unique_customer_id, c.customer_state, count(DISTINCT o.order_id) AS n
      FROM {p}_orders o INNER JOIN m_customers c USING (customer_id)
      WHERE {_sold(bounds)} GROUP BY ALL)"""
 
 
-def repeat_by_state(p: str, bounds=QUARTER) -> str:
+def repeat_by_state(p: str, bounds=SALES) -> str:
     return f"""
-    SELECT customer_state, count(*) AS total_customers, count(*) FILTER (WHERE n >= 2) AS repeat_customers,
-           {_hundredths('100 * count(*) FILTER (WHERE n >= 2)', 'count(*)')} AS repeat_rate_pct
+    SELECT customer_state, count(*) AS total_customers, count(*) FILTER (WHERE n > 1) AS repeat_customers,
+           {_hundredths('100 * count(*) FILTER (WHERE n > 1)', 'count(*)')} AS repeat_rate_pct
     FROM {_buyers(p, bounds)} GROUP BY customer_state"""
 
 
@@ -183,7 +182,7 @@ KPIS = {
     "kpi_top5_category_share": f"""
         SELECT {_money('best')} AS top_revenue, {_money('whole')} AS total_revenue,
                {_hundredths('100 * best', 'whole')} AS top_share_pct
-        FROM (SELECT CAST(sum(round(total_revenue * 100)) FILTER (WHERE revenue_rank < 6) AS BIGINT) AS best,
+        FROM (SELECT CAST(sum(round(total_revenue * 100)) FILTER (WHERE revenue_rank <= 5) AS BIGINT) AS best,
                      CAST(sum(round(total_revenue * 100)) AS BIGINT) AS whole FROM ({category_performance('m')}))""",
     "kpi_peak_month": f"""
         SELECT order_month, total_revenue FROM ({monthly_revenue('m')})
@@ -205,6 +204,17 @@ KPIS = {
                round(sum(total_revenue), 2) AS total_revenue
         FROM ({category_performance('m')})""",
     "kpi_late_risk": f"""
+        SELECT order_id, customer_id, order_status, days_elapsed, greatest(22 - days_elapsed, 0) AS days_left,
+               days_elapsed > 21 AS crossed
+        FROM (SELECT o.order_id, o.customer_id, o.order_status,
+                     CAST((epoch_us(TIMESTAMP '1998-08-01') - epoch_us(o.order_purchase_timestamp)) // 86400000000
+                          AS INTEGER) AS days_elapsed
+              FROM m_orders o
+              WHERE {_sold(SALES)} AND o.order_purchase_timestamp <= TIMESTAMP '1998-08-01'
+                AND (o.order_delivered_customer_date > TIMESTAMP '1998-08-01'
+                     OR (o.order_delivered_customer_date IS NULL AND o.order_status <> 'delivered')))
+        WHERE days_elapsed >= 14""",
+    "kpi_late_deliveries": f"""
         SELECT o.order_id, o.customer_id, o.order_status,
                CAST((epoch_us(o.order_delivered_customer_date) - epoch_us(o.order_purchase_timestamp)) // 86400000000
                     AS INTEGER) AS days_elapsed
@@ -406,6 +416,7 @@ _PROFILES = {
     "profile_products": ["c51_products_nulls", "c54_products_weight_nonpositive", "c56_products_dims_nonpositive",
                          "c57_products_max_profile"],
     "profile_sellers": ["c62_sellers_nulls"],
+    "profile_product_category_name_translation": ["c67_translation_nulls"],
     "profile_geolocation": ["c72_geo_nulls", "c73_geo_range", "c75_geo_out_of_box_count"],
 }
 PROFILES = {
@@ -435,8 +446,65 @@ _STAGES = {
     "reviews": ("m_reviews", "k_reviews"), "products": ("m_products", "k_products"),
     "sellers": ("m_sellers", "m_sellers"),
     "product_category_name_translation": ("m_translation", "k_translation"),
+    "geolocation": ("m_geolocation", "m_geolocation"),
+}
+
+
+def _checksums(name: str, alias: str, source: str, numbers: tuple[str, ...], times: tuple[str, ...], texts: tuple[str, ...]) -> str:
+    """Per column: values present, and their sum in hundredths or of 32 bits of their MD5."""
+    def hashed(text: str) -> str:
+        return f"sum(('0x' || substr(md5({text}), 1, 8))::BIGINT)"
+
+    sums = {c: f"sum(CAST(round({c} * 100) AS HUGEINT))" for c in numbers}
+    sums |= {c: hashed(f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')") for c in times}
+    sums |= {c: hashed(c) for c in texts}
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS {alias}, '{c}' AS column_name, count({c}) AS present, CAST({total} AS BIGINT) AS checksum FROM {source}"
+        for c, total in sums.items()
+    )
+
+
+# Numbers, times and texts of each table.
+_CONTENT = {
+    "customers": (("customer_id", "unique_customer_id"), (), ("customer_zip_code_prefix", "customer_city", "customer_state")),
+    "orders": (
+        ("order_id", "customer_id"),
+        ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date",
+         "order_estimated_delivery_date"),
+        ("order_status",),
+    ),
+    "order_items": (
+        ("order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"), ("shipping_limit_date",), ()),
+    "order_payments": (
+        ("order_id", "payment_sequential", "payment_installments", "payment_value"), (), ("payment_type",)),
+    "reviews": (
+        ("review_id", "order_id", "review_score"), ("review_creation_date", "review_answer_timestamp"),
+        ("review_comment_title", "review_comment_message")),
+    "products": (("product_id", *_PRODUCT_SIZES), (), ("product_category_name",)),
+    "sellers": (("seller_id",), (), ("seller_zip_code_prefix", "seller_city", "seller_state")),
+    "product_category_name_translation": ((), (), ("product_category_name", "product_category_name_english")),
+    "geolocation": (
+        ("geolocation_lat", "geolocation_lng"), (), ("geolocation_zip_code_prefix", "geolocation_state")),
+}
+_LOADED = {name: f"(SELECT * FROM {raw})" for name, (raw, _) in _STAGES.items()} | {
+    "reviews": "(SELECT * FROM m_reviews WHERE order_id IS NOT NULL AND review_score IS NOT NULL)",
+}
+_VIEWS = {
+    "v_monthly_revenue": (monthly_revenue("k"), ("total_revenue", "total_orders", "mom_growth_pct"), ("order_month",), ()),
+    "v_category_performance": (
+        category_performance("k"),
+        ("total_revenue", "total_orders", "total_items_sold", "avg_revenue_per_order", "revenue_rank"), (), ("category",)),
+    "v_delivery_vs_reviews": (delivery_buckets("k"), ("total_orders", "avg_review_score"), (), ("delivery_bucket",)),
+    "v_repeat_purchase_by_state": (
+        repeat_by_state("k"), ("total_customers", "repeat_customers", "repeat_rate_pct"), (), ("customer_state",)),
+    "v_seller_region_performance": (
+        seller_region("k"),
+        ("total_orders", "total_revenue", "avg_order_item_value", "avg_review_score", "revenue_rank"), (), ("seller_state",)),
+    "v_order_fact": (
+        order_fact("k"), ("order_id", "customer_id", "payment_value", "review_score"),
+        ("order_purchase_timestamp", "order_delivered_customer_date", "order_estimated_delivery_date"),
+        ("customer_state", "seller_state", "delivery_status", "category")),
 }
-_RAW = {name: raw for name, (raw, _) in _STAGES.items()} | {"geolocation": "m_geolocation"}
 
 _REJECTED = """
     SELECT *, CASE WHEN review_score IS NULL AND order_id IS NOT NULL THEN 'null review_score'
@@ -477,21 +545,25 @@ PIPELINE = {
     ),
     "src_reviews_csv": """SELECT * FROM m_reviews WHERE order_id IS NOT NULL AND review_score IS NOT NULL""",
     "src_all_csv": " UNION ALL ".join(
-        f"SELECT '{name}' AS table_name, count(*) AS accepted_rows FROM {table}"
-        + (" WHERE order_id IS NOT NULL AND review_score IS NOT NULL" if name == "reviews" else "")
-        for name, table in _RAW.items()
+        _checksums(name, "table_name", _LOADED[name], *content) for name, content in _CONTENT.items()
     ),
+    "src_reviews_csv_rejected": """
+        SELECT review_id, order_id, CASE WHEN order_id IS NULL THEN 'null order_id' ELSE 'null review_score' END AS reject_reason
+        FROM m_reviews WHERE order_id IS NULL OR review_score IS NULL""",
+    "src_payments_csv_rejected": """
+        SELECT payment_value, 'malformed payment_value' AS reject_reason
+        FROM m_order_payments_text WHERE starts_with(payment_value, 'R$')""",
     "src_schema": _REJECTED,
+    "src_schema_accepted": """
+        SELECT * FROM m_reviews r
+        WHERE order_id IS NOT NULL AND review_score IS NOT NULL
+          AND (SELECT count(*) FROM m_reviews q WHERE q.review_id = r.review_id AND q.order_id = r.order_id
+               AND q.review_score IS NOT NULL) = 1""",
     "src_replace": "SELECT * FROM m_reviews",
     "src_preview": "SELECT * FROM m_reviews ORDER BY review_id, order_id NULLS FIRST LIMIT 5",
-    "sink_marts": " UNION ALL ".join(
-        f"SELECT '{name}' AS view_name, count(*) AS row_count FROM ({query})"
-        for name, query in {
-            "v_monthly_revenue": monthly_revenue("k"), "v_category_performance": category_performance("k"),
-            "v_delivery_vs_reviews": delivery_buckets("k"),
-            "v_repeat_purchase_by_state": repeat_by_state("k", SALES),
-            "v_seller_region_performance": seller_region("k"), "v_order_fact": order_fact("k"),
-        }.items()
+    "sink_marts": order_fact("k"),
+    "sink_views": " UNION ALL ".join(
+        _checksums(name, "view_name", f"({query})", *content) for name, (query, *content) in _VIEWS.items()
     ),
     "sink_result_csv": monthly_revenue("m"),
 }

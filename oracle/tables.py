@@ -13,7 +13,7 @@ STATES = (
 TABLES = {
     "m_customers": f"""
         SELECT CASE WHEN c_custkey % 499 = 498 THEN c_custkey - 1 ELSE c_custkey END AS customer_id,
-               c_custkey // 2 AS unique_customer_id,
+               CASE WHEN c_custkey % 10 = 9 THEN c_custkey - 1 ELSE c_custkey END AS unique_customer_id,
                CASE WHEN c_custkey % 271 = 0 THEN 'A' || (c_custkey % 10000)
                     WHEN c_custkey % 277 = 0 THEN ''
                     WHEN c_custkey % 281 = 0 THEN NULL

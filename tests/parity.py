@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-TABLES = "region nation customer supplier part orders lineitem events".split()
+TABLES = "region nation customer supplier part orders lineitem events documents conversations".split()
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
@@ -69,7 +69,7 @@ def main(argv: list[str]) -> int:
     print("without SQL:", sorted(set(queries) - set(oracle)), "without query:", sorted(set(oracle) - set(queries)))
     bad = 0
     for name, query in queries.items():
-        if argv[1:] and not any(part in name for part in argv[1:]):
+        if name not in oracle or argv[1:] and not any(part in name for part in argv[1:]):
             continue
         start = time.time()
         try:

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.operators import checks as ck
 from bazaarlens.operators.changes import purge, purge_orphans, repair
-from bazaarlens.operators.rows import join_keys, prefilter, repeat_rows, small_side
+from bazaarlens.operators.rows import join_keys, of_orders, regrouped, repeat_rows
 from bazaarlens.plans import quality
 from bazaarlens.schemas import COUNTRY_BOX, DIGITS, PLAIN_NUMBER
 
@@ -106,23 +106,35 @@ def test_join_keys_bounds_copies(spark):
     assert set(keys) == {0, 1} and len(keys) <= 8
 
 
-def test_small_side_marks_only_proven_lookups(spark):
-    big, names = spark.range(100), spark.range(11).distinct()
+def test_repeated_rows_come_from_short_arrays(spark):
+    """No array is much longer than the square root of the copies, neither of blocks nor of rows in one."""
+    from bazaarlens.operators import rows
 
-    def plan(lookup):
-        return big.join(lookup, "id")._jdf.queryExecution().analyzed().toString()
+    df = frame(spark, "k string, n bigint", ("hot", 1_000_000), ("warm", 2_500), ("cold", 7))
+    blocks = rows._blocks(df, "n", 10).groupBy("k").agg(F.count("k"), F.max("_size"), F.sum("_size"))
+    found = {k: tuple(figures) for k, *figures in rows_of(blocks)}
+    assert found == {"hot": (1000, 1000, 1_000_000), "warm": (50, 50, 2_500), "cold": (1, 7, 7)}
+    assert dict(rows_of(repeat_rows(df, "n", block=10).groupBy("k").count())) == {"hot": 1_000_000, "warm": 2_500, "cold": 7}
 
-    assert "strategy=broadcast" in plan(small_side(names, max_rows=11))
-    assert "strategy=broadcast" not in plan(small_side(names, max_rows=10))
 
+def test_few_copies_are_not_shuffled(spark):
+    df = frame(spark, "k string, n bigint", ("a", 3))
+    plan = repeat_rows(df, "n")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Union" in plan
 
-def test_prefilter_acts_only_on_proven_few_keys(spark):
-    facts = frame(spark, "k int, v int", (1, 0), (2, 0), (None, 0), (1, 1))
-    wanted = frame(spark, "k int", (1,), (1,), (None,))
-    (kept,) = prefilter("k", wanted, facts)
-    assert sorted(rows_of(kept)) == [(1, 0), (1, 1)]
-    (same,) = prefilter("k", wanted, facts, max_keys=2)
-    assert same is facts
+
+def test_rows_of_orders_keep_repeated_keys_apart(spark):
+    items = frame(spark, "order_id string, v int", ("a", 1), ("a", 2), ("b", 3), (None, 4))
+    orders = frame(spark, "order_id string", ("a",), ("a",), (None,))
+    assert sorted(rows_of(of_orders(items, orders))) == [("a", 1), ("a", 2)]
+
+
+def test_regrouping_has_a_shuffle_of_its_own(spark):
+    placed = frame(spark, "k string, c string, v int", ("a", "x", 1), ("a", "x", 2), (None, None, 5)).repartition("k")
+    grouped = regrouped(placed, ("k", "c"), F.sum("v").alias("v"))
+    assert sorted(rows_of(grouped, "k", "c", "v"), key=str) == [("a", "x", 3), (None, None, 5)]
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(_keys" in plan
 
 
 def test_duplicate_preview_is_ordered_and_whole(spark):

@@ -7,6 +7,7 @@ from conftest import rows_of
 from bazaarlens.plans import kpis, marts
 from bazaarlens.plans.clean import CleanTables, fix_typo, row_changes
 from bazaarlens.plans.scope import ReportWindow, sold_orders
+from bazaarlens.schemas import SCHEMAS
 
 IN = "2017-05-10 12:00:00"
 
@@ -152,23 +153,6 @@ def test_seller_region_repeats_items_per_review(make_tables):
     ]
 
 
-def test_marts_do_not_depend_on_the_early_filter(spark, monkeypatch):
-    from bazaarlens.sources.starschema import star_schema_tables
-
-    window = ReportWindow(datetime(1997, 1, 1), datetime(1998, 9, 1))
-
-    def results():
-        tables = star_schema_tables(spark, "/root/testdata/sf0.001")
-        return [
-            sorted(rows_of(mart(tables, window)), key=str)
-            for mart in (marts.category_performance, marts.seller_region, marts.order_fact)
-        ]
-
-    filtered = results()
-    monkeypatch.setattr(marts, "prefilter", lambda key, wanted, *tables: list(tables))
-    assert results() == filtered and all(filtered)
-
-
 def test_rank_puts_unknown_revenue_first(spark):
     df = spark.createDataFrame([("a", D("5.00")), ("b", None)], "category string, total_revenue decimal(12,2)")
     ranked = marts.with_category_rank(df.selectExpr("*", "1L as total_orders", "1L as total_items_sold"))
@@ -216,13 +200,27 @@ def test_kpis_on_months_and_categories(make_tables):
     assert rows_of(kpis.unknown_category(tables)) == [(1, 2, D("9.00"), D("15.00"))]
 
 
-def test_late_risk_counts_whole_days_and_ages_open_orders(make_tables):
+def test_late_deliveries_count_whole_days(make_tables):
     tables = make_tables(orders=[
         order("21", delivered="2017-06-01 11:59:59"), order("22", delivered="2017-06-01 12:00:00"), order("open", status="shipped"),
     ])
-    assert rows_of(kpis.late_risk(tables), "order_id", "days_elapsed") == [("22", 22)]
-    aged = kpis.late_risk(tables, as_of=datetime(2017, 7, 1))
-    assert sorted(rows_of(aged, "order_id", "days_elapsed")) == [("22", 22), ("open", 51)]
+    assert rows_of(kpis.late_deliveries(tables), "order_id", "days_elapsed") == [("22", 22)]
+
+
+def test_late_risk_warns_before_an_open_order_crosses_the_limit(make_tables):
+    tables = make_tables(orders=[
+        order("fresh", status="shipped", bought="2017-06-20 00:00:00"), order("warned", status="shipped", bought="2017-06-16 12:00:00"),
+        order("last day", status="invoiced", bought="2017-06-09 12:00:00"), order("crossed", status="shipped", bought="2017-06-08 12:00:00"),
+        order("later", status="shipped", bought="2017-07-02 00:00:00"), order("called off", status="canceled", bought="2017-06-01 00:00:00"),
+        order("arrived", bought="2017-06-01 00:00:00", delivered="2017-06-05 00:00:00"),
+        order("on its way then", bought="2017-06-01 00:00:00", delivered="2017-07-05 00:00:00"),
+        order("broken", bought="2017-06-01 00:00:00"),
+    ])
+    found = {r[0]: r[1:] for r in rows_of(
+        kpis.late_risk(tables, datetime(2017, 6, 30, 12)), "order_id", "days_elapsed", "days_left", "crossed")}
+    assert found == {
+        "warned": (14, 8, False), "last day": (21, 1, False), "crossed": (22, 0, True), "on its way then": (29, 0, True),
+    }
 
 
 def test_cleaning_order(make_tables):
@@ -250,7 +248,7 @@ def test_cleaning_order(make_tables):
     for name in cleaned:
         assert sorted(rows_of(again[name]), key=str) == sorted(rows_of(cleaned[name]), key=str)
     changes = {name: counts for name, *counts in rows_of(row_changes(tables, cleaned))}
-    assert changes["orders"] == [4, 3] and changes["products"] == [4, 2] and changes["sellers"] == [0, 0]
+    assert changes["orders"] == [4, 3] and changes["products"] == [4, 2] and changes["sellers"] == [0, 0] and set(changes) == set(SCHEMAS)
 
 
 def test_typo_fix_needs_the_prefix_and_changes_every_occurrence(make_tables):

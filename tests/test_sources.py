@@ -1,4 +1,6 @@
+import re
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from conftest import rows_of
@@ -88,7 +90,8 @@ def test_preview_and_replace(spark, tmp_path):
 
 
 def test_tables_written_and_read_back_prune_months(spark, tmp_path, make_tables):
-    from bazaarlens.plans import marts
+    from bazaarlens.plans import marts, quality
+    from bazaarlens.plans.scope import ReportWindow
 
     tables = make_tables(
         orders=[{"order_id": str(m), "order_status": "delivered", "order_purchase_timestamp": f"2017-0{m}-03 00:00:00"}
@@ -99,6 +102,11 @@ def test_tables_written_and_read_back_prune_months(spark, tmp_path, make_tables)
     assert (tmp_path / "orders" / "purchase_month=2017-01").is_dir()
     stored = files.parquet_tables(spark, str(tmp_path))
     assert rows_of(marts.monthly_revenue(stored)) == rows_of(marts.monthly_revenue(tables))
+    january = marts.monthly_revenue(stored, ReportWindow(datetime(2017, 1, 1), datetime(2017, 1, 31)))
+    plan = january._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*purchase_month[^]]*<= 2017-01", plan), plan
+    assert rows_of(january, "total_revenue") == [(Decimal("5.00"),)]
+    assert quality.SUITE["c11_orders_purge_undelivered"](stored).columns == SCHEMAS["orders"].names
 
 
 def test_csv_folder_feeds_checks_and_marts(spark, tmp_path, make_tables):
@@ -115,6 +123,22 @@ def test_csv_folder_feeds_checks_and_marts(spark, tmp_path, make_tables):
     assert rows_of(quality.SUITE["c32_payments_value_format"](loaded)) == [("-1.50",)]
 
 
+def test_rejected_lines_are_kept_and_counted(spark, tmp_path, make_tables):
+    from bazaarlens.plans import quality
+
+    for name, table in make_tables().items():
+        sinks.write_table_csv(table, str(tmp_path / name))
+    header = ",".join(SCHEMAS["order_payments"].names)
+    (tmp_path / "order_payments" / "more.csv").write_text(
+        f"{header}\no1,1,boleto,1,5.00\no2,1,boleto,1,R$ 5\no3,one,boleto,1,5.00\n")
+    loaded = files.csv_tables(spark, str(tmp_path))
+    assert rows_of(loaded["order_payments"], "order_id") == [("o1",)]
+    assert sorted(rows_of(loaded["order_payments_rejected"], "order_id", "reject_reason")) == [
+        ("o2", "malformed payment_value"), ("o3", "malformed payment_sequential")]
+    counts = dict(rows_of(quality.report(loaded)))
+    assert counts["order_payments_rejected"] == 2 and counts["reviews_rejected"] == 0
+
+
 def test_views_and_stored_fact(spark, tmp_path, make_tables):
     tables = make_tables(
         customers=[{"customer_id": "c"}],
@@ -127,13 +151,18 @@ def test_views_and_stored_fact(spark, tmp_path, make_tables):
     assert spark.table("v_order_fact").count() == 1 and spark.table("v_monthly_revenue").count() == 1
 
 
-def test_result_csv_spells_out_null(spark, tmp_path):
-    df = spark.createDataFrame([("a", None), ("b", 2)], "k string, v int")
+def test_result_csv_is_written_as_published(spark, tmp_path):
+    rows = [("a", None, datetime(2017, 1, 1), Decimal("1.50")), ('b "x", y', 2, None, None), (None, 3, None, Decimal("0.00"))]
+    df = spark.createDataFrame(rows, "k string, v int, order_month timestamp_ntz, money decimal(10,2)")
     path = str(tmp_path / "r")
     sinks.write_result_csv(df.coalesce(1), path)
-    text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.csv"))
-    assert "a,NULL" in text and text.startswith("k,v")
-    assert sorted(rows_of(sinks.read_result_csv(spark, path, df.schema))) == [("a", None), ("b", 2)]
+    text = "".join(p.read_text() for p in (tmp_path / "r").glob("*.txt"))
+    assert text.splitlines() == [
+        '"k","v","order_month","money"', '"a",NULL,"2017-01-01 00:00:00",1.50', '"b ""x"", y",2,NULL,NULL', "NULL,3,NULL,0.00",
+    ]
+    assert sorted(rows_of(sinks.read_result_csv(spark, path, df.schema)), key=str) == sorted(rows, key=str)
+    sinks.write_result_csv(df.repartition(3), path)
+    assert sorted(rows_of(sinks.read_result_csv(spark, path, df.schema)), key=str) == sorted(rows, key=str)
 
 
 class Session:
@@ -147,10 +176,9 @@ class Session:
 def test_work_path_follows_the_session():
     shared = Session("yarn", **{"spark.checkpoint.dir": "/shared/folder/"})
     assert work_path(shared, "x").startswith("/shared/folder/x-")
-    first, second = work_path(Session("local[2]"), "x"), work_path(Session("local[2]"), "x")
-    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
-    with pytest.raises(ValueError):
-        work_path(Session("spark://host:7077"), "x")
+    without = Session("spark://host:7077", **{"spark.sql.warehouse.dir": "hdfs://store/warehouse"})
+    first, second = work_path(without, "x"), work_path(without, "x")
+    assert first != second and first.startswith("hdfs://store/warehouse/work/x-")
 
 
 @pytest.mark.parametrize("table", sorted(SCHEMAS))
