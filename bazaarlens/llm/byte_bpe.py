@@ -9,7 +9,7 @@ merged, and is memoised. The one sequence in which all neighbours are compatible
 merging by rank gives, and each position is left for good at most once, so the work is linear.
 
 Texts are split by the tokenizer's pattern first. Pieces repeat, so their ids are memoised too, in a cache of
-bounded size per worker.
+bounded size that a task gives back when it ends; a worker keeps the vocabulary alone.
 
 Defined results: a null text is encoded as the empty one, which has no tokens; rows stay as many as they
 were; lone surrogates cannot occur in a table's strings.
@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from bazaarlens.llm.tables import raw_texts
 
-CACHED_PIECES = 600_000
-CACHED_PAIRS = 1_000_000
+CACHED_PIECES = 250_000
+CACHED_PAIRS = 250_000
 LONGEST_CACHED = 64
 
 # The letters, digits and white space of Latin-1, in the categories of the split pattern.
@@ -182,6 +182,10 @@ class ByteBpe:
             out.append(ids)
         return list(chain.from_iterable(out))
 
+    def forget(self) -> None:
+        self.pieces.clear()
+        self.pairs.clear()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -203,6 +207,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             for part in _slices(batch):
                 ids = [bpe.encode(raw.decode()) for raw in raw_texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(encoded, schema)
 
@@ -224,6 +229,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        bpe.forget()
 
     return docs.select("doc_id", "text").mapInArrow(
         digested, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
