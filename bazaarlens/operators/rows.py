@@ -8,43 +8,41 @@ from pyspark.sql import functions as F
 # Rows one task unrolls from one counted row, unless the square root of its copies is more.
 BLOCK = 1_000
 
-# Parts that the blocks of one counted row are written by.
-LANES = 64
 
+def _step(copies: Column, block: int) -> Column:
+    return F.greatest(F.lit(block).cast("bigint"), F.ceil(F.sqrt(copies)).cast("bigint"))
 
-def _blocks(counted: DataFrame, copies: str, block: int) -> DataFrame:
-    """Cut each counted row into blocks of ``_size`` copies; neither blocks nor sizes exceed a square root by much."""
-    size = F.greatest(F.lit(block).cast("bigint"), F.ceil(F.sqrt(F.col(copies))).cast("bigint"))
-    starts = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.col("_step"))
-    return (
-        counted.withColumn("_step", size)
-        .withColumn("_start", F.explode(starts))
-        .withColumn("_size", F.least(F.col(copies) - F.col("_start"), F.col("_step")).cast("int"))
-        .drop("_step")
-    )
 
+def block_count(copies: Column, block: int = BLOCK) -> Column:
+    """Into how many blocks ``in_blocks`` cuts a row."""
+    return F.ceil(copies / _step(copies, block)).cast("bigint")
 
-def _unrolled(blocks: DataFrame) -> DataFrame:
+
+def in_blocks(counted: DataFrame, copies: str, block: int = BLOCK) -> DataFrame:
+    """Cut each counted row into blocks, numbered by ``_lane``, of ``_size`` copies.
+
+    Neither the blocks of a row nor the copies of a block are many more than the square root of its copies, so
+    no array is long, whatever a row stands for.
+    """
+    lanes = F.sequence(F.lit(0).cast("bigint"), block_count(F.col(copies), block) - 1)
+    cut = counted.withColumn("_step", _step(F.col(copies), block)).withColumn("_lane", F.explode(lanes))
+    size = F.least(F.col(copies) - F.col("_lane") * F.col("_step"), F.col("_step")).cast("int")
+    return cut.withColumn("_size", size).drop("_step", copies)
+
+
+def unrolled(blocks: DataFrame) -> DataFrame:
+    """Turn each row into ``_size`` equal rows."""
     return blocks.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_size")))).drop("_size", "_copy")
 
 
-def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK, near: str | None = None) -> DataFrame:
+def repeat_rows(counted: DataFrame, copies: str, block: int = BLOCK) -> DataFrame:
     """Turn each row into ``copies`` equal rows.
 
-    Rows of few copies are unrolled where they are. A row that stands for many is cut into blocks of about
-    the square root of its copies, and the blocks are spread over the cluster, so neither an array nor a task
-    carries the copies of a hot key alone. With ``near`` one shuffle brings the rows of one value
-    together in evenly sized partitions, for writing.
+    The blocks of a row are spread over the cluster first, so neither the shuffle nor any task carries the
+    copies of a hot key alone.
     """
-    if near is not None:
-        blocks = _blocks(counted, copies, block)
-        lane = (F.col("_start") / block).cast("bigint") % LANES
-        arranged = blocks.withColumn("_lane", lane).hint("rebalance", near, "_lane")
-        return _unrolled(arranged.drop("_lane", "_start", copies))
-    few = counted.where(F.col(copies) <= block).withColumn("_size", F.col(copies).cast("int")).drop(copies)
-    many = _blocks(counted.where(F.col(copies) > block), copies, block)
-    spread = many.repartition(*[F.col(c) for c in many.columns if c not in (copies, "_size")])
-    return _unrolled(few.unionByName(spread.drop("_start", copies)))
+    blocks = in_blocks(counted, copies, block)
+    return unrolled(blocks.repartition(*[F.col(c) for c in blocks.columns if c != "_size"]).drop("_lane"))
 
 
 def key_set(df: DataFrame, *keys: str) -> DataFrame:

@@ -55,6 +55,14 @@ class CleanTables(Mapping):
             self._done[name] = step() if step else self._raw[name]
         return self._done[name]
 
+    def before_orphan_purge(self, name: str) -> DataFrame:
+        """A table of order rows, cleaned by its own columns only.
+
+        For uses that join it with cleaned orders anyway, which drops the orphans and NULL keys as well.
+        """
+        own = {"order_payments": lambda rows: purge(rows, undefined_payment())}
+        return own.get(name, lambda rows: rows)(self._raw[name])
+
     def __iter__(self) -> Iterator[str]:
         return iter(SCHEMAS)
 
@@ -67,7 +75,7 @@ class CleanTables(Mapping):
             "orders": lambda: purge(raw["orders"], undelivered()),
             "order_items": lambda: purge_orphans(raw["order_items"], self["orders"], "order_id"),
             "order_payments": lambda: purge_orphans(
-                purge(raw["order_payments"], undefined_payment()), self["orders"], "order_id"
+                self.before_orphan_purge("order_payments"), self["orders"], "order_id"
             ),
             "reviews": lambda: purge_orphans(raw["reviews"], self["orders"], "order_id"),
             "products": lambda: purge_orphans(

@@ -27,12 +27,21 @@ from bazaarlens.functions.columns import (
     ratio,
     revenue_rank,
 )
-from bazaarlens.operators.rows import of_orders, regrouped, repeat_rows
+from bazaarlens.operators.rows import BLOCK, block_count, in_blocks, of_orders, regrouped, unrolled
 from bazaarlens.plans.scope import MONTH, ReportWindow, delivered_orders, sold_orders
 
 Tables = Mapping[str, DataFrame]
 
 
+def _order_rows(tables: Tables, name: str) -> DataFrame:
+    """Items, payments or reviews, to be joined with orders of the same tables.
+
+    That join drops what an orphan purge drops, so cleaned tables are asked for the rows before it: two
+    joins on the order in a row would share a shuffle, and a hot order could not be split.
+    """
+    return getattr(tables, "before_orphan_purge", tables.__getitem__)(name)
+
+
 def _rows(alias: str) -> Column:
     return F.count(F.lit(1)).alias(alias)
 
@@ -49,7 +58,7 @@ def with_growth(monthly: DataFrame) -> DataFrame:
 
 def monthly_revenue(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Payments, distinct paid orders and growth per purchase month."""
-    paid = tables["order_payments"].groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
+    paid = _order_rows(tables, "order_payments").groupBy("order_id").agg(F.sum("payment_value").alias("paid"))
     placed = (
         sold_orders(tables["orders"], window)
         .groupBy("order_id", month_of(F.col("order_purchase_timestamp")).alias("order_month"))
@@ -90,7 +99,7 @@ def _with_category(items: DataFrame, tables: Tables, how: str) -> DataFrame:
 def category_performance(tables: Tables, window: ReportWindow = ReportWindow()) -> DataFrame:
     """Item revenue, distinct orders, items sold and rank per English category."""
     sold = sold_orders(tables["orders"], window)
-    items = tables["order_items"].select("order_id", "order_item_id", "product_id", "price")
+    items = _order_rows(tables, "order_items").select("order_id", "order_item_id", "product_id", "price")
     baskets = regrouped(
         _with_category(of_orders(items, sold), tables, "inner"), ("order_id", "category"),
         F.sum("price").alias("revenue"), F.count("order_item_id").alias("items"),
@@ -126,7 +135,7 @@ def reviewed_deliveries(tables: Tables, window: ReportWindow = ReportWindow()) -
         .agg(_rows("copies"))
     )
     copies = F.col("copies")
-    return delivered.join(_scores_per_order(tables["reviews"]), "order_id").select(
+    return delivered.join(_scores_per_order(_order_rows(tables, "reviews")), "order_id").select(
         "order_id", "delivery_days", "delivery_status",
         *[(F.col(c) * copies).alias(c) for c in ("reviews", "score_sum", "score_count")],
     )
@@ -205,14 +214,14 @@ def seller_region(
     ``repeat_item_per_review=False`` each item counts once and the score stays item-weighted.
     """
     sold = sold_orders(tables["orders"], window)
-    items = tables["order_items"].select("order_id", "seller_id", "price")
+    items = _order_rows(tables, "order_items").select("order_id", "seller_id", "price")
     sellers = tables["sellers"].select("seller_id", "seller_state")
     baskets = regrouped(
         of_orders(items, sold).join(sellers, "seller_id"), ("order_id", "seller_state"),
         _rows("items"), F.sum("price").alias("price_sum"), F.count("price").alias("price_count"),
     )
     placed = sold.groupBy("order_id").agg(_rows("copies"))
-    scores = _scores_per_order(tables["reviews"])
+    scores = _scores_per_order(_order_rows(tables, "reviews"))
     fan_out = F.col("copies")
     if repeat_item_per_review:
         fan_out = fan_out * F.coalesce(F.col("reviews"), F.lit(1))
@@ -262,32 +271,41 @@ def _order_details(items: DataFrame, reviews: DataFrame, tables: Tables) -> Data
 def order_fact(tables: Tables, window: ReportWindow = ReportWindow(), by_month: bool = False) -> DataFrame:
     """One row per order, payment, review and item; orders need a customer and a payment only.
 
-    Equal rows travel as one counted row and are unrolled at the end, where they are unless they stand for
-    many. Orders meet their customer first, with one row per order, then their payments, then the counted
-    details; the key of the last join is a struct, so that both of its sides are shuffled for it and adaptive
-    execution can split a hot order there and in the join before. Do not sum
-    ``payment_value`` over this table: it repeats per review and item. With ``by_month`` the rows carry
-    their ``purchase_month`` and one more shuffle arranges them by it, ready to be written.
+    Equal rows travel as one counted row and are unrolled at the end, without a shuffle for it. Orders meet
+    their customer first, with one row per order, then their counted details, of which an order has a bounded
+    number, and their payments last. A detail that stands for many rows is cut into numbered blocks, and the payments
+    of its order are sent to each number, so the copies of a hot order are spread by the last join itself. Its
+    key is a struct, so that both sides are shuffled for it and adaptive execution can split an order with
+    many payments. Do not sum ``payment_value`` over this table: it repeats per review and item. With ``by_month`` the
+    rows carry their ``purchase_month`` and one more shuffle arranges them by it, ready to be written.
     """
     placed = sold_orders(tables["orders"], window).select(
         "order_id", "customer_id", "order_purchase_timestamp",
         "order_delivered_customer_date", "order_estimated_delivery_date",
         delivery_status().alias("delivery_status"),
     )
-    items = of_orders(tables["order_items"].select("order_id", "seller_id", "product_id"), placed)
-    reviews = tables["reviews"].select("order_id", "review_score")
-    payments = tables["order_payments"].select("order_id", "payment_value")
+    items = of_orders(_order_rows(tables, "order_items").select("order_id", "seller_id", "product_id"), placed)
+    reviews = _order_rows(tables, "reviews").select("order_id", "review_score")
+    payments = _order_rows(tables, "order_payments").select("order_id", "payment_value")
     customers = tables["customers"].select("customer_id", "customer_state")
-    paid = placed.join(customers, "customer_id").join(payments, "order_id")
-    details = _order_details(items, reviews, tables).withColumn("_order", F.struct("order_id")).drop("order_id")
-    counted = (
-        paid.withColumn("_order", F.struct("order_id"))
-        .join(details, "_order", "left").drop("_order")
+    details = _order_details(items, reviews, tables)
+    many = details.where(F.col("copies") > BLOCK).groupBy("order_id").agg(
+        F.max(block_count(F.col("copies"))).alias("_lanes")
+    )
+    lanes = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_lanes", F.lit(1)) - 1))
+    paid = payments.join(many, "order_id", "left").withColumn("_lane", lanes).select(
+        F.struct("order_id", "_lane").alias("_part"), "payment_value"
+    )
+    detailed = (
+        placed.join(customers, "customer_id")
+        .join(in_blocks(details, "copies"), "order_id", "left")
+        .withColumns({"_lane": F.coalesce("_lane", F.lit(0)), "_size": F.coalesce("_size", F.lit(1))})
         .withColumn("category", F.coalesce("category", F.lit(UNKNOWN_CATEGORY)))
-        .withColumn("copies", F.coalesce("copies", F.lit(1)))
+        .withColumn("_part", F.struct("order_id", "_lane"))
     )
+    counted = detailed.join(paid, "_part")
     if not by_month:
-        return repeat_rows(counted, "copies").select(*FACT_COLUMNS)
+        return unrolled(counted).select(*FACT_COLUMNS)
     month = F.date_format(month_of(F.col("order_purchase_timestamp")), "yyyy-MM")
-    arranged = repeat_rows(counted.withColumn(MONTH, month), "copies", near=MONTH)
-    return arranged.select(*FACT_COLUMNS, MONTH)
+    arranged = counted.withColumn(MONTH, month).hint("rebalance", MONTH)
+    return unrolled(arranged).select(*FACT_COLUMNS, MONTH)

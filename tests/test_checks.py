@@ -111,18 +111,13 @@ def test_repeated_rows_come_from_short_arrays(spark):
     from bazaarlens.operators import rows
 
     df = frame(spark, "k string, n bigint", ("hot", 1_000_000), ("warm", 2_500), ("cold", 7))
-    blocks = rows._blocks(df, "n", 10).groupBy("k").agg(F.count("k"), F.max("_size"), F.sum("_size"))
+    blocks = rows.in_blocks(df, "n", 10).groupBy("k").agg(F.count("k"), F.max("_size"), F.sum("_size"), F.max("_lane"))
     found = {k: tuple(figures) for k, *figures in rows_of(blocks)}
-    assert found == {"hot": (1000, 1000, 1_000_000), "warm": (50, 50, 2_500), "cold": (1, 7, 7)}
+    assert found == {"hot": (1000, 1000, 1_000_000, 999), "warm": (50, 50, 2_500, 49), "cold": (1, 7, 7, 0)}
+    assert dict(rows_of(df.select("k", rows.block_count(F.col("n"), 10)))) == {"hot": 1000, "warm": 50, "cold": 1}
     assert dict(rows_of(repeat_rows(df, "n", block=10).groupBy("k").count())) == {"hot": 1_000_000, "warm": 2_500, "cold": 7}
 
 
-def test_few_copies_are_not_shuffled(spark):
-    df = frame(spark, "k string, n bigint", ("a", 3))
-    plan = repeat_rows(df, "n")._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("RepartitionByExpression") == 1 and "Union" in plan
-
-
 def test_rows_of_orders_keep_repeated_keys_apart(spark):
     items = frame(spark, "order_id string, v int", ("a", 1), ("a", 2), ("b", 3), (None, 4))
     orders = frame(spark, "order_id string", ("a",), ("a",), (None,))
