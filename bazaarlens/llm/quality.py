@@ -114,7 +114,7 @@ BASE_RULES = (
 )
 RULES = (
     *BASE_RULES,
-    Rule("repeated_lines", lambda f: 10 * f.n_dup_lines > 3 * len(f.lines)),
+    Rule("repeated_lines", lambda f: 2 * f.n_dup_lines > len(f.lines)),
     Rule("symbols", lambda f: 10 * f.n_symbols > 3 * f.n_words),
     Rule("shouting", lambda f: f.upper_share > 0.7),
     Rule("exclamations", lambda f: 10 * f.n_exclamations > 3 * f.n_words),
