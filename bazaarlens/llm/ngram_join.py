@@ -49,7 +49,7 @@ MATES = 20
 BLOCK = 4096
 
 _U = np.uint64
-_SALTS = tuple(map(_U, (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
+_SALTS = tuple(map(_U, (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
 
 
 # --- sizes ---
@@ -70,37 +70,47 @@ def _bands() -> tuple[np.ndarray, np.ndarray]:
     return np.array(lows), np.array(highs)
 
 
+@lru_cache(maxsize=None)  # one entry per band
+def _segments(band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the segments of a band start in the universe of hashes, and a hash for each of them."""
+    number = int(np.ceil(SEGMENTS * _bands()[1][band])) + 2
+    places = np.arange(number, dtype=_U)
+    salt = _U((band + 1) * int(_SALTS[1]) & (1 << 64) - 1)
+    return places * _U((1 << 64) // number), mixed(places * _SALTS[0] + salt)
+
+
+def running_sums(shingles: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(shingles) + 1, _U)
+    np.cumsum(shingles, out=sums[1:])
+    return sums
+
+
 class Cut:
     """A set cut into the segments of a band: role 0 for its own band, role 1 for the band below.
 
     The universe is cut into equal ranges of hashes, so that segments are runs of the ascending shingles. A segment
-    subset is identified by the sum of its elements' hashes, its segment and the band.
+    subset is identified by the sum of its elements, which are hashes, its segment and the band.
     """
 
-    def __init__(self, shingles: np.ndarray, role: int):
+    def __init__(self, shingles: np.ndarray, sums: np.ndarray, role: int):
         lows, highs = _bands()
-        self.size, self.band = len(shingles), int(np.searchsorted(lows, len(shingles), "right")) - 1 - role
+        self.size, self.band = len(shingles), int(lows.searchsorted(len(shingles), "right")) - 1 - role
         self.exists = self.band >= 0
         if not self.exists:
             return
         self.shingles = shingles
-        self.segments = int(np.ceil(SEGMENTS * highs[self.band])) + 2
+        edges, self.places = _segments(self.band)
+        self.segments = len(edges)
         largest_mate = len(shingles) * 100 // PERCENT if role == 0 else int(highs[self.band])
         self.apart = most_apart(len(shingles), largest_mate)
-        width = (1 << 64) // self.segments
-        starts = np.searchsorted(shingles, np.arange(self.segments, dtype=_U) * _U(width))
-        self.ends = np.append(starts[1:], len(shingles))
-        self.counts = self.ends - starts
-        self.values = mixed(shingles ^ _SALTS[0])
-        sums = np.zeros(len(shingles) + 1, _U)
-        np.cumsum(self.values, out=sums[1:])
-        self.sums = sums[self.ends] - sums[starts]
-        self.starts = starts
-        self.filled = np.flatnonzero(self.counts)
+        starts = shingles.searchsorted(edges)
+        ends = np.append(starts[1:], len(shingles))
+        self.counts = ends - starts
+        self.sums = sums[ends] - sums[starts]
+        self.filled = self.counts.nonzero()[0]
 
     def keys(self, segments: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        place = segments.astype(_U) * _SALTS[1] + _U((self.band + 1) * int(_SALTS[2]) & (1 << 64) - 1)
-        return mixed(sums + mixed(place)).view(np.int64)
+        return mixed(sums + self.places[segments]).view(np.int64)
 
     def subset_keys(self) -> np.ndarray:
         """A key for each segment subset that is not empty."""
@@ -114,7 +124,7 @@ class Cut:
         segment = np.repeat(np.arange(self.segments), self.counts)
         wide = self.counts[segment] > 1
         segment = segment[wide]
-        return segment, self.keys(segment, self.sums[segment] - self.values[wide])
+        return segment, self.keys(segment, self.sums[segment] - self.shingles[wide])
 
     @property
     def slack(self) -> int:
@@ -172,7 +182,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(shingles):
                 rows.append((None, 0, None, None, None, None, None))
                 continue
-            own, below = Cut(shingles, 0), Cut(shingles, 1)
+            sums = running_sums(shingles)
+            own, below = (Cut(shingles, sums, role) for role in (0, 1))
             rows.append((
                 set_id(shingles), len(shingles), own.slack, below.slack if below.exists else None,
                 own.reserve, below.reserve if below.exists else None, parity_bits(shingles, 2),
@@ -200,8 +211,9 @@ def _subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not len(shingles) or (name := set_id(shingles)) in seen:
                 continue
             seen.add(name)
+            sums = running_sums(shingles)
             for role in (0, 1):
-                cut = Cut(shingles, role)
+                cut = Cut(shingles, sums, role)
                 if cut.exists:
                     keys.append(cut.subset_keys())
                     members.append(np.full(len(keys[-1]), name + role, np.int64))
@@ -216,8 +228,9 @@ def _deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
             _arrays(batch.column(3)), strict=True,
         ):
+            sums = running_sums(shingles)
             for role, wanted in ((0, role_0), (1, role_1)):
-                cut = Cut(shingles, role)
+                cut = Cut(shingles, sums, role)
                 if not wanted or not cut.exists:
                     continue
                 segments, deletions = cut.deletion_keys()
@@ -244,7 +257,6 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     few. Pairs of two sets from the band above the key's band are left to their own band, pairs of
     two deletions differ by two elements.
     """
-    width = 0
     held: list[np.ndarray] = []
     costly: int | None = None  # the last key, if it is known to have too many members
     last_member: int | None = None
@@ -301,9 +313,14 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pairs, marks
 
     for batch in batches:
-        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        width = len(rows)
-        rows += [np.zeros(len(rows[0]), np.int64)] * (4 - width)
+        key = batch.column(0).to_numpy()
+        # Most keys have one member. Those inside the batch go at once; the first and the last may go on outside.
+        same = key[1:] == key[:-1]
+        keep = np.ones(len(key), bool)
+        keep[1:-1] = same[:-1] | same[1:]
+        at = keep.nonzero()[0]
+        rows = [key[at], *[c.to_numpy()[at] for c in batch.columns[1:]]]
+        rows += [np.zeros(len(at), np.int64)] * (4 - len(rows))
         if held:
             rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
             held = []
@@ -416,8 +433,9 @@ def _prefix_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
             _arrays(batch.column(3)), strict=True,
         ):
+            sums = running_sums(shingles)
             for role, wanted in ((0, role_0), (1, role_1)):
-                cut = Cut(shingles, role)
+                cut = Cut(shingles, sums, role)
                 if wanted and cut.exists:
                     keys, n = cut.all_keys(), cut.segments
                     yield _batch([
@@ -596,7 +614,8 @@ def linked_components(docs: DataFrame) -> DataFrame:
 
 def _named(every: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = sets.select("set_id", "rep").join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
+    # Stored, so that the join is one of two plain shuffles, whose hot components Spark can split.
+    least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "least")
     names = rooted.join(least, "root").select("set_id", "component_id", F.col("root").alias("component_key"))
     found = every.select("doc_id", "text_key", "set_id", "size").join(names, "set_id", "left")
     return found.select(

@@ -96,13 +96,16 @@ def word_hashes(raw: bytes, fold_case: bool = False) -> np.ndarray:
 
 
 def window_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
-    """A hash for each run of so many words; none if there are fewer words."""
+    """A hash for each run of so many words, five at most; none if there are fewer words.
+
+    Hashes of words are random already, so a weighted sum of them is enough before the last mixing.
+    """
     n = len(words) - size + 1
     if n < 1:
         return np.empty(0, _U)
     total = words[:n] * _FACTORS[0]
     for j in range(1, size):
-        total = mixed(total) + words[j:n + j] * _FACTORS[j % len(_FACTORS)]
+        total += words[j:n + j] * _FACTORS[j]
     return mixed(total)
 
 
