@@ -9,8 +9,8 @@ Work is allocated by cost, in rounds that are exact together:
 
 1. Every set is indexed by its segment subsets. Subsets that many sets share cost too much and are skipped.
    Losing segments is fine as long as more than H are left ("slack"), for one set of a pair at least.
-2. Sets that lost too many are indexed by their one-deletion neighbourhoods too: a segment whose
-   subset may differ by one element counts twice.
+2. Sets that lost too many are indexed by their one-deletion neighbourhoods too, in a third of the segments (the
+   same for all sets): a segment whose subset may differ by one element counts twice.
 3. Sets for which that is not enough either, as in large groups of near copies, take their H + 1 rarest segment
    subsets, empty ones included, whatever these cost. Here the members of a subset are first linked to the
    most central one, and only pairs that are not yet connected are compared, in blocks.
@@ -45,6 +45,9 @@ PERCENT = 75
 SEGMENTS = 0.4
 #: Sets that may share a segment subset before it counts as too costly.
 MATES = 20
+#: Every such segment of a band may be raised to one deletion. Fewer raised segments mean fewer deletions to index,
+#: more of them mean fewer sets for the last round; sets that lack a few segments need a few raised ones.
+RAISED = 3
 #: Members of a subset that are compared with each other in one task.
 BLOCK = 4096
 
@@ -120,9 +123,9 @@ class Cut:
         return self.keys(np.arange(self.segments), self.sums)
 
     def deletion_keys(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each element of a segment of two or more, its segment and the key of the subset without it."""
+        """For each element of a raised segment of two or more, its segment and the key of the subset without it."""
         segment = np.repeat(np.arange(self.segments), self.counts)
-        wide = self.counts[segment] > 1
+        wide = (self.counts[segment] > 1) & (segment % RAISED == 0)
         segment = segment[wide]
         return segment, self.keys(segment, self.sums[segment] - self.shingles[wide])
 
@@ -133,8 +136,8 @@ class Cut:
 
     @property
     def reserve(self) -> int:
-        """The same if segments of two or more elements count twice."""
-        return self.slack + int(np.count_nonzero(self.counts > 1))
+        """The same if raised segments of two or more elements count twice."""
+        return self.slack + int(np.count_nonzero(self.counts[::RAISED] > 1))
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -222,7 +225,8 @@ def _subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, member, segment, kind): kind 0 a subset of one element, 1 of more, 2 one without an element."""
+    """(key, member, segment, kind) of raised segments: kind 1 a subset of two or more, 2 one without an element,
+    0 a subset of one element, which others may reach by a deletion."""
     for batch in batches:
         for name, role_0, role_1, shingles in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
@@ -234,11 +238,12 @@ def _deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if not wanted or not cut.exists:
                     continue
                 segments, deletions = cut.deletion_keys()
-                kinds = np.concatenate(((cut.counts[cut.filled] > 1).astype(np.int64), np.full(len(segments), 2)))
+                raised = cut.filled[cut.filled % RAISED == 0]
+                kinds = np.concatenate(((cut.counts[raised] > 1).astype(np.int64), np.full(len(segments), 2)))
                 yield _batch([
-                    pa.array(np.concatenate((cut.subset_keys(), deletions))),
+                    pa.array(np.concatenate((cut.keys(raised, cut.sums[raised]), deletions))),
                     pa.array(np.full(len(kinds), name + role, np.int64)),
-                    pa.array(np.concatenate((cut.filled, segments)).astype(np.int64)), pa.array(kinds),
+                    pa.array(np.concatenate((raised, segments)).astype(np.int64)), pa.array(kinds),
                 ], ["key", "member", "segment", "kind"], [None] * 4)
 
 
@@ -571,6 +576,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
         .where("unsafe_0 OR unsafe_1")
         .select(
             "set_id", "size", "unsafe_0", "unsafe_1", "reserve_0", "reserve_1",
+            *[F.coalesce(f"lost_{r}", F.lit(0)).alias(f"lost_{r}") for r in (0, 1)],
             (F.coalesce("lost_0", F.lit(0)) / F.col("size")).alias("degree"),
         ), "unsafe",
     )
@@ -589,15 +595,15 @@ def linked_components(docs: DataFrame) -> DataFrame:
         whole.join(unsafe, "set_id").select("set_id", "unsafe_0", "unsafe_1", "shingles")
         .mapInArrow(_deletion_rows, "key bigint, member bigint, segment bigint, kind bigint"),
     )
-    spoiled = near_marks.groupBy("member", "segment").agg(
-        F.max((F.col("kind") < 2).cast("bigint")).alias("subset"), F.max((F.col("kind") > 0).cast("bigint")).alias("twice"),
-    ).groupBy(_set_of(F.col("member")).alias("set_id")).agg(*[
-        F.sum(F.when(_role(F.col("member")) == r, F.col("subset") + F.col("twice")).otherwise(0)).alias(f"spoiled_{r}")
-        for r in (0, 1)
-    ])
+    # A raised segment counts twice if none of its keys is costly; what round 1 has lost stays lost.
+    spoiled = near_marks.where("kind > 0").groupBy("member", "segment").agg(F.lit(1).alias("costly")).groupBy(
+        _set_of(F.col("member")).alias("set_id"),
+    ).agg(*[F.count_if(_role(F.col("member")) == r).alias(f"spoiled_{r}") for r in (0, 1)])
     left = stored(
         unsafe.join(spoiled, "set_id", "left").select("set_id", "degree", *[
-            (F.col(f"unsafe_{r}") & (F.coalesce(f"spoiled_{r}", F.lit(0)) > F.col(f"reserve_{r}"))).alias(f"left_{r}")
+            (F.col(f"unsafe_{r}") & (
+                F.col(f"lost_{r}") + F.coalesce(f"spoiled_{r}", F.lit(0)) > F.col(f"reserve_{r}")
+            )).alias(f"left_{r}")
             for r in (0, 1)
         ]).where("left_0 OR left_1"), "left",
     )
