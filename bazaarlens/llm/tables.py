@@ -10,7 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from bazaarlens.session import work_path
 
 
+#: Bytes of a batch that Python workers get at once. Ten thousand rows, the other limit, can be long texts.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Limit Arrow batches of this session by bytes, so that a worker holds little text at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def corpus(spark: SparkSession, folder: str, name: str = "documents") -> DataFrame:
+    """A table of the corpus; sets the batch size that its texts need."""
+    small_batches(spark)
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
@@ -27,6 +38,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
-    """The UTF-8 bytes of each text of a column, nothing for a null."""
-    for raw in column.cast(pa.large_binary()).to_pylist():
-        yield raw or b""
+    """The UTF-8 bytes of each text of a column, nothing for a null; one text at a time is copied."""
+    for raw in column.cast(pa.large_binary()):
+        yield raw.as_py() or b""

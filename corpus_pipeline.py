@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaarlens.llm import byte_bpe, line_dedup, mixing, ngram_join, quality
-from bazaarlens.llm.tables import corpus, stored
+from bazaarlens.llm.tables import corpus, small_batches, stored
 
 #: Byte-level BPE is not expressible in SQL; the tests compare run() with a brute-force version.
 ORACLE_SQL = None
@@ -19,26 +19,31 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
+    small_batches(spark)
     return quality.keep(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that many sources share, but for their first occurrence; texts left empty go."""
+    small_batches(spark)
     return line_dedup.remove_boilerplate(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
+    small_batches(spark)
     return ngram_join.representatives(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
+    small_batches(spark)
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the encoded and decoded texts."""
+    small_batches(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(docs, path, public_tokenizers.PATTERN)
 
