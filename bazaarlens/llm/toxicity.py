@@ -13,7 +13,8 @@ labelled clean texts, K comes from their best segments. A document's evidence is
 turns it into a score.
 
 All statistics cover every labelled document that may be learned from; repeated
-texts of one label count once. The word model keeps at most MODEL_NODES entries, the histograms a fixed number of bins; only these reach the driver.
+texts of one label count once. Nodes are counted and smoothed where they are; the driver and the workers hold sixteen bytes
+for every node that changes a word's score, however many there are, and the histograms' fixed number of bins.
 
 Defined results: a null or empty text has no words and the lowest evidence, 0; labels of one doc_id are combined by maximum, null ones
 are no labels; without labels of both classes every score is 0; repeated rows get equal scores; an empty table gives no rows.
@@ -21,9 +22,10 @@ are no labels; without labels of both classes every score is 0; repeated rows ge
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +36,8 @@ from pyspark.sql import functions as F
 from bazaarlens.llm.tables import raw_texts, stored
 
 PREFIXES = (4, 5, 6)
-#: Toxic documents that must hold a node, and the nodes with most of them that are kept.
+#: Toxic documents that must hold a node.
 LEAST_TOXIC = 3
-MODEL_NODES = 50_000
 PRIOR = 2.0
 WORD_COST = 1.0
 #: A segment whose chance is below this is significant.
@@ -67,16 +68,17 @@ def held_out(doc_id: Column) -> Column:
 
 # --- word model ---
 
-def _distinct_nodes(batches: Iterator[pa.RecordBatch], known: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
+def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, yes, no): the toxic and the clean documents of a batch that hold a node."""
     for batch in batches:
-        counts: dict[str, int] = {}
-        for raw in raw_texts(batch.column(0)):
-            nodes = {node for word in set(words_of(raw)) for node in nodes_of(word)}
-            for node in nodes if known is None else nodes & known:
-                counts[node] = counts.get(node, 0) + 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["node", "documents"],
-        )
+        counts: dict[str, list[int]] = {}
+        for raw, toxic in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+            for node in {node for word in set(words_of(raw)) for node in nodes_of(word)}:
+                counts.setdefault(node, [0, 0])[toxic] += 1
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(counts), pa.string()), pa.array([n[1] for n in counts.values()], pa.int64()),
+            pa.array([n[0] for n in counts.values()], pa.int64()),
+        ], ["node", "yes", "no"])
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -96,9 +98,26 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def node_key(node: str) -> int:
+    return int.from_bytes(hashlib.blake2b(node.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+class NodeScores:
+    """Scores by the 64-bit hash of a node."""
+
+    def __init__(self, keys: np.ndarray, scores: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.scores = keys[order], scores[order]
+
+    def get(self, node: str) -> float | None:
+        key = np.int64(node_key(node))
+        at = int(self.keys.searchsorted(key))
+        return float(self.scores[at]) if at < len(self.keys) and self.keys[at] == key else None
+
+
 @dataclass(frozen=True)
 class WordModel:
-    scores: dict[str, float]
+    scores: Mapping[str, float] | NodeScores
 
     def score(self, word: str) -> float:
         """The score of the most specific node that is known; 0 before the cost if none is."""
@@ -127,26 +146,64 @@ def word_model(texts: DataFrame) -> WordModel | None:
     if not totals.get(1) or not totals.get(0):
         return None
 
-    def counted(label: int, nodes: frozenset[str] | None) -> DataFrame:
-        rows = texts.where(F.col("toxic") == label).select("text")
-        return rows.mapInArrow(lambda batches: _distinct_nodes(batches, nodes), "node string, documents bigint").groupBy(
-            "node",
-        ).agg(F.sum("documents").alias("documents"))
+    balance = totals[1] / totals[0]
+
+    def scored_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(key, score) of the nodes that change a score; the rows of a stem follow each other."""
+        def finished():
+            scores = telling(smoothed(toxic, clean, balance))
+            return pa.RecordBatch.from_arrays([
+                pa.array(map(node_key, scores), pa.int64()), pa.array(scores.values(), pa.float64()),
+            ], ["key", "score"])
+
+        toxic, clean, current = {}, {}, None
+        for batch in batches:
+            for stem, node, yes, no in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if stem != current:
+                    if toxic:
+                        yield finished()
+                    toxic, clean, current = {}, {}, stem
+                toxic[node], clean[node] = yes, no
+        if toxic:
+            yield finished()
+
+    counted = (
+        texts.where("toxic IN (0, 1)").select("text", "toxic")
+        .mapInArrow(_distinct_nodes, "node string, yes bigint, no bigint").groupBy("node")
+        .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where(F.col("yes") >= LEAST_TOXIC)
+    )
+    # What a node's prior comes from begins with the same letters.
+    stemmed = counted.select(F.substring("node", 1, PREFIXES[0]).alias("stem"), "node", "yes", "no")
+    found = (
+        stemmed.repartition("stem").sortWithinPartitions("stem")
+        .mapInArrow(scored_nodes, "key bigint, score double").toArrow()
+    )
+    return WordModel(NodeScores(found.column("key").to_numpy(), found.column("score").to_numpy()))
+
+
+def telling(scores: dict[str, float]) -> dict[str, float]:
+    """The nodes whose score differs from what a word would take without them; no word's score changes."""
+    kept: dict[str, float] = {}
+    for node in sorted(scores, key=_depth):
+        if scores[node] != next((kept[a] for a in reversed(_above(node)) if a in kept), 0.0):
+            kept[node] = scores[node]
+    return kept
+
+
+def _depth(node: str) -> tuple[bool, int]:
+    return node.endswith("."), len(node)
+
 
-    most = counted(1, None).where(F.col("documents") >= LEAST_TOXIC).orderBy(F.desc("documents"), "node").limit(MODEL_NODES)
-    toxic = {r["node"]: r["documents"] for r in most.collect()}
-    nodes = frozenset(toxic)
-    clean = {r["node"]: r["documents"] for r in counted(0, nodes).collect()}
-    return WordModel(smoothed(toxic, clean, totals[1] / totals[0]))
+def _above(node: str) -> list[str]:
+    return nodes_of(node[:-1])[:-1] if node.endswith(".") else [node[:n] for n in PREFIXES if n < len(node)]
 
 
 def smoothed(toxic: dict[str, int], clean: dict[str, int], balance: float) -> dict[str, float]:
     """Log-odds per node under the prior of the node above it, less one standard error towards 0."""
     odds: dict[str, float] = {}
     scores: dict[str, float] = {}
-    for node in sorted(toxic, key=lambda n: (n.endswith("."), len(n))):
-        above = nodes_of(node[:-1])[:-1] if node.endswith(".") else [node[:n] for n in PREFIXES if n < len(node)]
-        prior = next((odds[a] for a in reversed(above) if a in odds), 0.0)
+    for node in sorted(toxic, key=_depth):
+        prior = next((odds[a] for a in reversed(_above(node)) if a in odds), 0.0)
         share = 1 / (1 + math.exp(-prior))
         yes = toxic[node] + PRIOR * share
         no = clean.get(node, 0) * balance + PRIOR * (1 - share)

@@ -1,3 +1,6 @@
+import itertools
+from collections import Counter
+
 import numpy as np
 import pytest
 import zlib
@@ -5,6 +8,8 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import toxicity
 
+from .conftest import DATA
+
 
 def brute_segments(scores):
     """All maximal segments by definition: the best run of a stretch, then the same left and right of it."""
@@ -44,6 +49,31 @@ def test_prefixes_carry_over_to_unseen_words():
     assert model.score("the") < 0 and model.score("other") == -toxicity.WORD_COST
 
 
+def test_rare_toxic_words_count_beside_many_ordinary_ones(spark):
+    """Sixty thousand words are in more toxic texts than the one that only toxic texts have."""
+    letters = "abcdefghijklmnopqrst"
+    ordinary = " ".join("".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 60_000))
+    rows = [(f"{ordinary} zzzz" if i < 3 else ordinary, 1) for i in range(5)] + [(f"{ordinary} {i}", 0) for i in range(5)]
+    model = toxicity.word_model(spark.createDataFrame(rows, "text string, toxic int"))
+    assert model.score("zzzz") > -toxicity.WORD_COST
+    assert model.score("aaaa") == model.score("zzzy") == -toxicity.WORD_COST
+
+
+def test_nodes_left_out_change_no_score(spark, corpus_docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = toxicity.training_texts(corpus_docs, labels).collect()
+    toxic, clean = (
+        Counter(n for r in texts if r.toxic == label for n in {n for w in toxicity.words_of(r.text.encode()) for n in toxicity.nodes_of(w)})
+        for label in (1, 0)
+    )
+    totals = Counter(r.toxic for r in texts)
+    known = {n: k for n, k in toxic.items() if k >= toxicity.LEAST_TOXIC}
+    whole = toxicity.WordModel(toxicity.smoothed(known, clean, totals[1] / totals[0]))
+    model = toxicity.word_model(spark.createDataFrame(texts))
+    words = {w for r in texts for w in toxicity.words_of(r.text.encode())}
+    assert len(words) > 1000 and all(model.score(w) == whole.score(w) for w in words)
+
+
 def test_rate_solves_its_equation():
     scores, counts = np.array([-1.0, 2.0]), np.array([9.0, 1.0])
     rate = toxicity.rate_of(scores, counts)
