@@ -581,14 +581,15 @@ def linked_components(docs: DataFrame) -> DataFrame:
         ), "unsafe",
     )
     likely = stored(possible(pairs, sets), "likely")
-    # The whole sets of what takes part from here on.
+    # The whole sets of what takes part from here on, once each: rows repeat, and round 3 counts members of subsets.
     needed = reduce(DataFrame.union, [
         likely.select(F.col("a").alias("set_id")), likely.select("b"), unsafe.select("set_id"),
     ]).distinct()
     ids = sets.select("set_id", "rep").join(needed, "set_id").select(F.col("rep").alias("id"))
     whole = stored(
         docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-        .select("text").mapInArrow(_whole_sets, "set_id bigint, shingles array<bigint>"), "whole-sets",
+        .select("text").mapInArrow(_whole_sets, "set_id bigint, shingles array<bigint>")
+        .dropDuplicates(["set_id"]), "whole-sets",
     )
     # Round 2: one-deletion neighbourhoods of the sets that lost too many segments.
     near, near_marks = mates(

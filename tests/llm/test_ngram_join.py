@@ -98,6 +98,32 @@ def test_blocks_of_a_large_subset(make_docs, monkeypatch):
     assert found(make_docs(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("null_ids", [False, True])
+def test_repeated_rows_do_not_crowd_out_subsets(make_docs, monkeypatch, null_ids):
+    """Every set is whole once, and gets as many different subsets, however often its rows occur."""
+    monkeypatch.setattr(ngram_join, "MATES", 2)
+    rng = random.Random(5)
+    texts = list(near_copies(rng, [f"w{i}" for i in range(120)], 40, 3))
+    rows = [(None if null_ids else i, text) for i, text in enumerate(texts)]
+    seen = []
+    original = ngram_join.rare_subsets
+
+    def spied(left, whole):
+        rare = original(left, whole)
+        for df, keys in ((whole, ["set_id"]), (rare, ["key", "member"])):
+            seen.append((df.count(), df.select(*keys).distinct().count()))
+        return rare
+
+    monkeypatch.setattr(ngram_join, "rare_subsets", spied)
+
+    def groups(rows):
+        found = ngram_join.linked_components(make_docs(rows)).select("text_key", "component_key").distinct().collect()
+        return {r.text_key: r.component_key for r in found}
+
+    assert groups(rows * 3) == groups(rows)
+    assert len(seen) == 4 and all(n == distinct for n, distinct in seen)
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(1)
     names = [rng.randrange(-2**62, 2**62) * 2 for _ in range(60)]
