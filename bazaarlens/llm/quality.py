@@ -14,9 +14,10 @@ get equal results; an empty table gives no rows, and the rules then run in the o
 from __future__ import annotations
 
 import time
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,29 @@ _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 _BLANK = b" \t\n\x0b\x0c\r"
 
+#: Letters by how they are judged: scripts without capitals have UNCASED ones, those without spaces between words UNSPACED ones.
+OTHER, LOWER, UPPER, UNCASED, UNSPACED = range(5)
+#: Thai to Burmese, Khmer, Tai, Balinese, kana and Han, Yi, Javanese and further Burmese, compatibility and rare Han.
+_WITHOUT_SPACES = (
+    (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007),
+    (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x323AF),
+)
+
+
+@cache
+def _letter_kinds() -> np.ndarray:
+    """The kind of every code point up to the last letter; the last entry stands for all above."""
+    kinds = np.zeros(0x32400, np.uint8)
+    for code in range(len(kinds)):
+        category = unicodedata.category(chr(code))
+        if category[0] == "L":
+            kinds[code] = {"Ll": LOWER, "Lu": UPPER}.get(category, UNCASED)
+    for first, last in _WITHOUT_SPACES:
+        part = kinds[first:last + 1]
+        part[part == UNCASED] = UNSPACED
+    return kinds
+
 
 class TextFeatures:
     """Counts over one text, each computed when first asked for."""
@@ -94,12 +118,29 @@ class TextFeatures:
     def n_exclamations(self) -> int:
         return self.raw.count(b"!")
 
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """The number of letters of each kind."""
+        if self.raw.isascii():
+            upper = int(np.count_nonzero((self.data >= 65) & (self.data <= 90)))
+            lower = int(np.count_nonzero((self.data >= 97) & (self.data <= 122)))
+            return np.array([0, lower, upper, 0, 0])
+        kinds = _letter_kinds()
+        codes = np.frombuffer(self.raw.decode().encode("utf-32-le"), np.uint32)
+        counts = np.bincount(kinds[np.minimum(codes, len(kinds) - 1)], minlength=5)
+        counts[OTHER] = 0
+        return counts
+
     @cached_property
     def upper_share(self) -> float:
-        """Share of A-Z among the letters A-Z and a-z."""
-        upper = int(np.count_nonzero((self.data >= 65) & (self.data <= 90)))
-        lower = int(np.count_nonzero((self.data >= 97) & (self.data <= 122)))
-        return upper / (upper + lower) if upper + lower else 0.0
+        """Share of capitals among the letters of scripts that have them; 0 if these are not half of the letters."""
+        cased = int(self.letters[LOWER] + self.letters[UPPER])
+        return int(self.letters[UPPER]) / cased if cased and 2 * cased >= int(self.letters.sum()) else 0.0
+
+    @cached_property
+    def spaced(self) -> bool:
+        """Whether at least half of the letters are of scripts that separate words by spaces."""
+        return 2 * int(self.letters[UNSPACED]) <= int(self.letters.sum())
 
 
 @dataclass(frozen=True)
@@ -118,7 +159,7 @@ RULES = (
     Rule("symbols", lambda f: 10 * f.n_symbols > 3 * f.n_words),
     Rule("shouting", lambda f: f.upper_share > 0.7),
     Rule("exclamations", lambda f: 10 * f.n_exclamations > 3 * f.n_words),
-    Rule("word_length", lambda f: not 2 * f.n_words <= f.word_chars <= 30 * f.n_words),
+    Rule("word_length", lambda f: f.word_chars < 2 * f.n_words or f.word_chars > 30 * f.n_words and f.spaced),
 )
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 

@@ -64,6 +64,28 @@ def test_few_words(make_docs, words, kept):
     assert quality.judge(make_docs([(1, text)])).first().kept == kept
 
 
+RUSSIAN = "в прошлом году учёные из USA показали как устроена память человека и почему она слабеет с возрастом"
+GREEK = "οι ερευνητές του DNA έδειξαν πώς αλλάζει η μνήμη με τα χρόνια και γιατί ο ύπνος βοηθά πολύ"
+ARABIC = "نشر باحثون من USA دراسة جديدة عن الذاكرة والنوم وكيف تتغير مع مرور السنين عند الناس"
+CHINESE = [f"第{i}章介绍了研究人员如何在实验中观察记忆的形成过程以及睡眠对学习效果产生的长期影响和作用" for i in range(12)]
+THAI = [f"บทที่{i}อธิบายว่านักวิจัยสังเกตการก่อตัวของความทรงจำในการทดลองอย่างไรและการนอนหลับมีผลอย่างไร" for i in range(12)]
+
+
+@pytest.mark.parametrize("text", [RUSSIAN, GREEK, ARABIC, "\n".join(CHINESE), "\n".join(THAI)])
+def test_clean_texts_of_other_scripts_stay(text):
+    assert quality.first_rejection(quality.TextFeatures(text.encode()), quality.RULES) is None
+
+
+@pytest.mark.parametrize("text,rule", [
+    (RUSSIAN.upper(), "shouting"), ("BUY NOW " * 3 + "ONE TWO THREE FOUR FIVE SIX SEVEN", "shouting"),
+    (" ".join("xyzuvw"[i % 6] * (40 + i) for i in range(12)), "word_length"),
+    (" ".join(f"{i}" + "я" * (40 + i) for i in range(12)), "word_length"),
+])
+def test_shouting_and_long_words_go(text, rule):
+    added = [r for r in quality.RULES if r.name == rule]
+    assert quality.first_rejection(quality.TextFeatures(text.encode()), added) == rule
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = quality.judge(odd_docs).collect()
     texts = Counter((r.doc_id, brute(r.text)) for r in odd_docs.collect())
