@@ -1,17 +1,20 @@
 """Chat formatting of records in many layouts.
 
 A layout is recognised by its schema fingerprint: the hash of its nested field paths. Each known layout
-has a declarative mapping from its fields to canonical turns (conv_id, turn, role, text). Tables are mapped by
+has a declarative mapping from its fields to canonical turns (conv_id, conv_key, turn, role, text). Tables are mapped by
 the fingerprint of their schema; columns of JSON records by the fingerprint of each record, so one
 column may mix layouts. Fields that no layout names do not change a fingerprint.
 
+conv_key names a conversation: its id as text, or for a record without id a hash of its turns and a number
+among the records with the same turns. conv_id is the id where it is a whole number, else null.
+
 Turns are then rendered by a template that marks where each begins and ends. Control strings inside
 a text are escaped, reversibly, so that only the template's own marks are marks. Each turn is one row,
 with the span of it that a model is trained on (the assistant's text), so a conversation of any length is spread
 over tasks until something has to read it as a whole.
 
 Defined results: a null text or role is empty; turns with equal numbers follow each other by role and text, a null
-number first; repeated rows are repeated turns; a null conv_id is a conversation of its own; an empty
+number first; repeated rows are repeated turns; turns in rows with a null conv_id are a conversation of their own; an empty
 table has no turns; a record of no known layout gives no turns and stays in ``unmatched``.
 """
 
@@ -102,27 +105,29 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def _mapped(df: DataFrame, layout: Layout, get) -> DataFrame:
-    """conv_id, turn, role, text by a layout's mapping; ``get`` makes a column of a path."""
-    if layout.row:
-        turn, role, text = layout.row
-        return df.select(
-            get("conv_id").cast("bigint").alias("conv_id"), get(turn).cast("bigint").alias("turn"),
-            _text(get(role)).alias("role"), _text(get(text)).alias("text"),
-        )
+def _said(layout: Layout, get) -> Column:
+    """The array of a record's turns (turn, role, text) by its layout's mapping; ``get`` makes a column of a path."""
     if layout.turns:
-        turns = F.transform(get(layout.turns), lambda t: F.struct(
-            _role(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text"),
+        return F.transform(get(layout.turns), lambda t, i: F.struct(
+            i.cast("bigint").alias("turn"), _role(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text"),
         ))
-    else:
-        turns = F.array(*[
-            F.struct(F.lit(role).alias("role"), F.concat_ws("\n\n", *[
-                F.when(_text(get(p)) != "", _text(get(p))) for p in paths
-            ]).alias("text"))
-            for role, paths in layout.parts
-        ])
-    return df.select(get("conv_id").cast("bigint").alias("conv_id"), F.posexplode(turns).alias("turn", "said")).select(
-        "conv_id", F.col("turn").cast("bigint").alias("turn"), "said.role", "said.text",
+    return F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.concat_ws("\n\n", *[
+            F.when(_text(get(p)) != "", _text(get(p))) for p in paths
+        ]).alias("text"))
+        for i, (role, paths) in enumerate(layout.parts)
+    ])
+
+
+def _turns(records: DataFrame) -> DataFrame:
+    """The turns of records (id, said); each record without id is a conversation of its own."""
+    # Equal records are counted before they are numbered, so that one with many copies leaves each task as one row.
+    own = records.where("id IS NULL").groupBy("said").agg(F.count(F.lit(1)).alias("copies")).select(
+        "said", F.sha2(F.to_json("said"), 256).alias("digest"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
+    ).select(F.lit(None).cast("string").alias("id"), F.concat_ws(":", F.lit("record"), "digest", "copy").alias("conv_key"), "said")
+    keyed = records.where("id IS NOT NULL").select("id", F.col("id").alias("conv_key"), "said").unionAll(own)
+    return keyed.select("id", "conv_key", F.explode("said").alias("said")).select(
+        F.col("id").try_cast("bigint").alias("conv_id"), "conv_key", "said.turn", "said.role", "said.text",
     )
 
 
@@ -131,13 +136,19 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     layout = recognised(field_paths(df.schema))
     if layout is None:
         raise ValueError(f"no layout has the fingerprint of {df.schema.simpleString()}")
-    has_id = "conv_id" in df.columns
-    return _mapped(df, layout, lambda path: F.col(path) if path != "conv_id" or has_id else F.lit(None))
+    key = F.col("conv_id").cast("string") if "conv_id" in df.columns else F.lit(None).cast("string")
+    if layout.row:
+        turn, role, text = layout.row
+        return df.select(
+            key.try_cast("bigint").alias("conv_id"), key.alias("conv_key"), F.col(turn).cast("bigint").alias("turn"),
+            _text(F.col(role)).alias("role"), _text(F.col(text)).alias("text"),
+        )
+    return _turns(df.select(key.alias("id"), _said(layout, F.col).alias("said")))
 
 
 def _record_type(layout: Layout) -> T.StructType:
     """The type that a record of a layout is read as."""
-    fields = [T.StructField("conv_id", T.LongType())]
+    fields = [T.StructField("conv_id", T.StringType())]
     if layout.turns:
         element = T.StructType([T.StructField(layout.role, T.StringType()), T.StructField(layout.text, T.StringType())])
         return T.StructType([*fields, T.StructField(layout.turns, T.ArrayType(element))])
@@ -169,13 +180,15 @@ def _has(parsed: Column, path: str) -> Column:
 def canonical_turns_of_records(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The turns of a column of JSON records in mixed layouts, and the records of no known layout."""
     marked = df.select(F.col(column).alias("record")).withColumn("layout_key", record_fingerprint(F.col("record")))
-    turns = None
-    for key, layout in BY_FINGERPRINT.items():
+    key, said = F.lit(None).cast("string"), F.lit(None)
+    for name, layout in BY_FINGERPRINT.items():
         if layout.row:
             continue
-        parsed = marked.where(F.col("layout_key") == key).withColumn("r", F.from_json("record", _record_type(layout)))
-        part = _mapped(parsed, layout, lambda path: F.col(f"r.`{path}`"))
-        turns = part if turns is None else turns.unionAll(part)
+        read = F.from_json("record", _record_type(layout))
+        here = F.col("layout_key") == name
+        key = F.when(here, read["conv_id"]).otherwise(key)
+        said = F.when(here, _said(layout, lambda path, read=read: read[path])).otherwise(said)
+    turns = _turns(marked.where(F.col("layout_key").isNotNull()).select(key.alias("id"), said.alias("said")))
     return turns, marked.where(F.col("layout_key").isNull()).select("record")
 
 
@@ -220,7 +233,7 @@ def unescape(text: Column) -> Column:
 
 
 def render(turns: DataFrame, template: Template = CHATML) -> DataFrame:
-    """One row per turn: conv_id, turn, piece, loss_start, loss_end.
+    """One row per turn: conv_id, conv_key, turn, piece, loss_start, loss_end.
 
     A conversation's formatted text is its pieces in order. The loss span, in code points of the piece, is
     the escaped text of a turn whose role is trained on; other turns have an empty span.
@@ -228,17 +241,17 @@ def render(turns: DataFrame, template: Template = CHATML) -> DataFrame:
     role = F.replace(escape(F.col("role"), template), F.lit("\n"), F.lit("&NewLine;"))
     head = F.concat(F.lit(template.before_role), role, F.lit(template.after_role))
     body = escape(F.col("text"), template)
-    parts = turns.select("conv_id", "turn", "role", head.alias("head"), body.alias("body"))
+    parts = turns.select("conv_id", "conv_key", "turn", "role", head.alias("head"), body.alias("body"))
     start = F.char_length("head").cast("bigint")
     end = F.when(F.col("role").isin(*template.loss_roles), start + F.char_length("body")).otherwise(start)
     return parts.select(
-        "conv_id", "turn", F.concat("head", "body", F.lit(template.after_text)).alias("piece"),
+        "conv_id", "conv_key", "turn", F.concat("head", "body", F.lit(template.after_text)).alias("piece"),
         start.alias("loss_start"), end.cast("bigint").alias("loss_end"),
     )
 
 
 def read_back(pieces: DataFrame, template: Template = CHATML) -> DataFrame:
-    """conv_id, turn, role, text and loss_text, read from rendered pieces alone."""
+    """conv_id, conv_key, turn, role, text and loss_text, read from rendered pieces alone."""
     marks = len(template.before_role)
     after = F.locate(template.after_role, F.col("piece"))
     role = F.substring(F.col("piece"), F.lit(marks + 1), after - marks - 1)
@@ -246,44 +259,45 @@ def read_back(pieces: DataFrame, template: Template = CHATML) -> DataFrame:
     body = F.substring(F.col("piece"), body_at, F.char_length("piece") - len(template.after_text) - body_at + 1)
     loss = F.substring(F.col("piece"), (F.col("loss_start") + 1).cast("int"), (F.col("loss_end") - F.col("loss_start")).cast("int"))
     return pieces.select(
-        "conv_id", "turn", unescape(F.replace(role, F.lit("&NewLine;"), F.lit("\n"))).alias("role"),
+        "conv_id", "conv_key", "turn", unescape(F.replace(role, F.lit("&NewLine;"), F.lit("\n"))).alias("role"),
         unescape(body).alias("text"), unescape(loss).alias("loss_text"), F.char_length("piece").alias("piece_chars"),
     )
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    """Per conversation: conv_id, conv_key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
     The rows of a conversation are sorted into one stream and hashed as they pass, so a conversation of any
     length takes the memory of one turn.
     """
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "conv_key", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = None
 
         def finished():
-            return (state[0], state[1], state[2].hexdigest(), state[3], state[4].hexdigest(), state[5])
+            return (*state[:3], state[3].hexdigest(), state[4], state[5].hexdigest(), state[6])
 
         for batch in batches:
             done = []
-            for conv, role, text, loss, chars in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if state is None or state[0] != conv:
+            for conv, key, role, text, loss, chars in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if state is None or state[1] != key:
                     if state is not None:
                         done.append(finished())
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                state[1] += 1
-                state[2].update(f"{role}\n{text}\n".encode())
-                state[3] += len(loss)
-                state[4].update(loss.encode())
-                state[5] += chars
+                    state = [conv, key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[2] += 1
+                state[3].update(f"{role}\n{text}\n".encode())
+                state[4] += len(loss)
+                state[5].update(loss.encode())
+                state[6] += chars
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done), kinds, strict=True)], names)
         if state is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(finished(), kinds, strict=True)], names)
 
-    in_order = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return in_order.select("conv_id", "role", "text", "loss_text", "piece_chars").mapInArrow(
-        hashed, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint",
+    in_order = turns.repartition("conv_key").sortWithinPartitions("conv_key", "turn", "role", "text")
+    return in_order.select("conv_id", "conv_key", "role", "text", "loss_text", "piece_chars").mapInArrow(
+        hashed, "conv_id bigint, conv_key string, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, "
+        "formatted_chars bigint",
     )

@@ -30,7 +30,7 @@ def op2_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     record = spark.range(1).select(F.to_json(F.struct(F.lit(-7).alias("conv_id"), said.alias("messages"))).alias("record"))
     further, _ = chat_format.canonical_turns_of_records(record, "record")
     turns = chat_format.canonical_turns(corpus(spark, folder, "conversations")).unionAll(further)
-    return chat_format.digests(chat_format.read_back(chat_format.render(turns)))
+    return chat_format.digests(chat_format.read_back(chat_format.render(turns))).drop("conv_key")
 
 
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:

@@ -90,6 +90,38 @@ def test_tables_are_mapped_by_their_schema(spark, name):
     assert turns == [("user", "hi"), ("assistant", "ho")]
 
 
+def conversations_of(turns):
+    found = {}
+    for r in turns.orderBy("conv_key", "turn").collect():
+        found.setdefault(r.conv_key, []).append((r.turn, r.role, r.text))
+    return found
+
+
+@pytest.mark.parametrize("as_records", [False, True])
+def test_records_without_id_stay_apart(spark, as_records):
+    """Each prompt keeps its answer, repeated records included."""
+    pairs = [(f"q{i % 7}", f"a{i % 7}") for i in range(20)]
+    table = spark.createDataFrame(pairs, "prompt string, completion string")
+    if as_records:
+        records = table.select(F.to_json(F.struct("*")).alias("record"))
+        turns, unmatched = chat.canonical_turns_of_records(records, "record")
+        assert unmatched.count() == 0
+    else:
+        turns = chat.canonical_turns(table)
+    said = sorted(tuple(v) for v in conversations_of(turns).values())
+    assert said == sorted(((0, "user", q), (1, "assistant", a)) for q, a in pairs)
+    digests = chat.digests(chat.read_back(chat.render(turns))).collect()
+    assert len(digests) == 20 and {r.n_turns for r in digests} == {2}
+
+
+def test_text_ids_stay_text(spark):
+    rows = [json.dumps({"conv_id": i, "prompt": "hi", "completion": "ho"}) for i in ("a", "b", "01", 1)]
+    turns, _ = chat.canonical_turns_of_records(spark.createDataFrame([(r,) for r in rows], "record string"), "record")
+    assert set(conversations_of(turns)) == {"a", "b", "01", "1"}
+    table = spark.createDataFrame([("a", 0, "user", "hi"), ("b", 0, "user", "ho")], "conv_id string, turn int, role string, text string")
+    assert set(conversations_of(chat.canonical_turns(table))) == {"a", "b"}
+
+
 def test_unknown_schema_fails(spark):
     with pytest.raises(ValueError, match="fingerprint"):
         chat.canonical_turns(spark.createDataFrame([(1,)], "foo int"))
