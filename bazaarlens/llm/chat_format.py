@@ -15,7 +15,7 @@ over tasks until something has to read it as a whole.
 
 Defined results: a null text or role is empty; turns with equal numbers follow each other by role and text, a null
 number first; repeated rows are repeated turns; turns in rows with a null conv_id are a conversation of their own; an empty
-table has no turns; a record of no known layout gives no turns and stays in ``unmatched``.
+table has no turns; a record that gives no turns, of no known layout for instance, stays in ``unmatched``.
 """
 
 from __future__ import annotations
@@ -107,6 +107,11 @@ def _text(value: Column) -> Column:
 
 def _said(layout: Layout, get) -> Column:
     """The array of a record's turns (turn, role, text) by its layout's mapping; ``get`` makes a column of a path."""
+    if layout.row:
+        turn, role, text = layout.row
+        return F.array(F.struct(
+            get(turn).try_cast("bigint").alias("turn"), _text(get(role)).alias("role"), _text(get(text)).alias("text"),
+        ))
     if layout.turns:
         return F.transform(get(layout.turns), lambda t, i: F.struct(
             i.cast("bigint").alias("turn"), _role(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text"),
@@ -173,23 +178,34 @@ def record_fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> C
 
 
 def _has(parsed: Column, path: str) -> Column:
-    """Whether a record has a path; a field of array elements is looked for in the first element."""
-    return F.try_variant_get(parsed, "$." + path.replace("[]", "[0]"), "variant").isNotNull()
+    """Whether a record has a path; a field of array elements is there if any element has it."""
+    if "[]." not in path:
+        return F.try_variant_get(parsed, "$." + path, "variant").isNotNull()
+    array, field = path.split("[].")
+    elements = F.try_variant_get(parsed, "$." + array, "array<variant>")
+    return F.coalesce(
+        F.exists(elements, lambda e: F.try_variant_get(e, "$." + field, "variant").isNotNull()), F.lit(False),
+    )
 
 
 def canonical_turns_of_records(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """The turns of a column of JSON records in mixed layouts, and the records of no known layout."""
-    marked = df.select(F.col(column).alias("record")).withColumn("layout_key", record_fingerprint(F.col("record")))
-    key, said = F.lit(None).cast("string"), F.lit(None)
+    """The turns of a column of JSON records in mixed layouts, and the records that give none."""
+    key, said, rows = F.lit(None).cast("string"), F.lit(None), []
     for name, layout in BY_FINGERPRINT.items():
-        if layout.row:
-            continue
         read = F.from_json("record", _record_type(layout))
         here = F.col("layout_key") == name
         key = F.when(here, read["conv_id"]).otherwise(key)
         said = F.when(here, _said(layout, lambda path, read=read: read[path])).otherwise(said)
-    turns = _turns(marked.where(F.col("layout_key").isNotNull()).select(key.alias("id"), said.alias("said")))
-    return turns, marked.where(F.col("layout_key").isNull()).select("record")
+        rows += [name] if layout.row else []
+    marked = df.select(F.col(column).alias("record")).withColumn("layout_key", record_fingerprint(F.col("record")))
+    mapped = marked.select("record", "layout_key", key.alias("id"), said.alias("said"))
+    matched = F.coalesce(F.size("said") > 0, F.lit(False))
+    one_turn = F.col("layout_key").isin(rows)
+    single = mapped.where(matched & one_turn).select("id", F.explode("said").alias("said")).select(
+        F.col("id").try_cast("bigint").alias("conv_id"), F.col("id").alias("conv_key"), "said.turn", "said.role", "said.text",
+    )
+    whole = _turns(mapped.where(matched & ~one_turn).select("id", "said"))
+    return whole.unionAll(single), mapped.where(~matched).select("record")
 
 
 # --- template ---

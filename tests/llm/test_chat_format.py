@@ -122,6 +122,28 @@ def test_text_ids_stay_text(spark):
     assert set(conversations_of(chat.canonical_turns(table))) == {"a", "b"}
 
 
+def test_every_record_is_in_turns_or_unmatched(spark):
+    """Turn rows, arrays that are empty or whose first element lacks a field, and elements that are no records."""
+    known = {
+        "a": [{"conv_id": "a", "turn": 1, "role": "assistant", "text": "ho"}, {"conv_id": "a", "turn": 0, "role": "user", "text": "hi"}],
+        "b": [{"conv_id": "b", "messages": [{"role": "user"}, {"role": "assistant", "content": "ho"}]}],
+        "c": [{"conv_id": "c", "conversations": [{"value": "hi"}, {"from": "gpt", "value": "ho"}]}],
+        "d": [{"conv_id": "d", "prompt": "hi", "completion": "ho"}],
+    }
+    unknown = [
+        {"conv_id": "e", "messages": []}, {"conv_id": "f", "messages": None}, {"conv_id": "g", "messages": ["x"]}, {"foo": 1},
+        {"conv_id": "h", "messages": "text"},
+    ]
+    rows = [json.dumps(r) for records in [*known.values(), unknown] for r in records] + ["no json", None]
+    turns, unmatched = chat.canonical_turns_of_records(spark.createDataFrame([(r,) for r in rows], "record string"), "record")
+    assert conversations_of(turns) == {
+        "a": [(0, "user", "hi"), (1, "assistant", "ho")], "b": [(0, "user", ""), (1, "assistant", "ho")],
+        "c": [(0, "", "hi"), (1, "assistant", "ho")], "d": [(0, "user", "hi"), (1, "assistant", "ho")],
+    }
+    left = [r.record for r in unmatched.collect()]
+    assert sorted(left, key=str) == sorted([*map(json.dumps, unknown), "no json", None], key=str)
+
+
 def test_unknown_schema_fails(spark):
     with pytest.raises(ValueError, match="fingerprint"):
         chat.canonical_turns(spark.createDataFrame([(1,)], "foo int"))
