@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
-    byte_bpe, chat_format, fingerprints, line_dedup, mixing, ngram_join, pii, quality, sharding, toxicity,
+    byte_bpe, chat_format, filter_audit, fingerprints, line_dedup, mixing, ngram_join, pii, quality, sharding, toxicity,
+    vector_codes,
 )
+from bazaarlens.llm.sql import OP11_SQL, OP12_SQL
 from bazaarlens.llm.tables import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +74,14 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_with_next(corpus(spark, folder))
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.compressed(corpus(spark, folder, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.cells(corpus(spark, folder), corpus(spark, folder, "labels")))
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_chat_format": op2_chat_format,
@@ -83,6 +93,8 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 _DRAW = "(('0x' || substr(md5({key}), 1, 13))::BIGINT)"
@@ -164,4 +176,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op5_line_dedup": OP5_SQL,
     "op6_mixing": OP6_SQL,
+    "op11_vector_codes": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
