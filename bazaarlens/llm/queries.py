@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import (
-    byte_bpe, chat_format, filter_audit, fingerprints, line_dedup, mixing, ngram_join, pii, quality, sharding, toxicity,
-    vector_codes,
+    byte_bpe, chat_format, filter_audit, fingerprints, line_dedup, mixing, ngram_join, pii, quality, sharding,
+    sketch_dedup, toxicity, vector_codes,
 )
 from bazaarlens.llm.sql import OP11_SQL, OP12_SQL
 from bazaarlens.llm.tables import corpus
@@ -82,6 +82,10 @@ def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.audit(filter_audit.cells(corpus(spark, folder), corpus(spark, folder, "labels")))
 
 
+def op13_sketch_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return sketch_dedup.linked_components(corpus(spark, folder)).drop("text_key")
+
+
 QUERIES: dict[str, Query] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_chat_format": op2_chat_format,
@@ -95,6 +99,7 @@ QUERIES: dict[str, Query] = {
     "op10_fingerprints": op10_fingerprints,
     "op11_vector_codes": op11_vector_codes,
     "op12_filter_audit": op12_filter_audit,
+    "op13_sketch_dedup": op13_sketch_dedup,
 }
 
 _DRAW = "(('0x' || substr(md5({key}), 1, 13))::BIGINT)"

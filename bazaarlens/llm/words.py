@@ -109,13 +109,13 @@ def window_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mixed(total)
 
 
-def shingle_set(raw: bytes) -> np.ndarray:
-    """The distinct five-word shingles of a text, ascending.
+def shingle_set(raw: bytes, size: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct shingles of so many words of a text, ascending.
 
-    A text of one to four words has its whole sequence as the only shingle, a text without words none.
+    A text with fewer words has its whole sequence as the only shingle, a text without words none.
     """
     words = word_hashes(raw, fold_case=True)
-    if 0 < len(words) < SHINGLE_WORDS:
+    if 0 < len(words) < size:
         return window_hashes(words, len(words)) ^ _U(len(words))
-    hashes = np.sort(window_hashes(words))
+    hashes = np.sort(window_hashes(words, size))
     return hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))] if len(hashes) else hashes
