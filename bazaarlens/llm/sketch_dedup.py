@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -142,7 +142,7 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(key)))
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _postings(batches: Iterator[pa.RecordBatch], mates: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """(key, member, size, lost): a retained value and a set that has it, or how many values a set has lost here.
 
     Rows of the second kind have the set as key, which spreads them.
@@ -154,7 +154,7 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(key, kind="stable")
         key, member, size = key[order], member[order], size[order]
         starts, lengths = _runs(key)
-        beyond = np.arange(len(key)) - np.repeat(starts, lengths) > MATES
+        beyond = np.arange(len(key)) - np.repeat(starts, lengths) > mates
         names, lost = np.unique(member[beyond], return_counts=True)
         none = np.zeros(len(names), np.int64)
         keep = ~beyond
@@ -169,14 +169,14 @@ def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch.column(2).flatten().to_numpy(zero_copy_only=False), np.repeat(batch.column(0).to_numpy(), lengths),
             np.repeat(batch.column(1).to_numpy(), lengths),
         ))
-        if sum(len(h[0]) for h in held) >= HELD:
+        if sum(len(h[0]) for h in held) >= at_once:
             yield cut()
             held = []
     if held:
         yield cut()
 
 
-def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sharing(batches: Iterator[pa.RecordBatch], mates: int) -> Iterator[pa.RecordBatch]:
     """(a, b, must, lost): pairs of sets in a list that are similar in size; a set and how many values it lost, b null.
 
     Rows come sorted by key. What is held is one batch and the last list of it, as long as that is short.
@@ -192,7 +192,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(key: np.ndarray, member: np.ndarray, size: np.ndarray, pairs: list, lost: list):
         starts, lengths = _runs(key)
-        for n in np.unique(lengths[(lengths > 1) & (lengths <= MATES)]).tolist():
+        for n in np.unique(lengths[(lengths > 1) & (lengths <= mates)]).tolist():
             first = starts[lengths == n]
             for i in range(1, n):
                 for j in range(i):
@@ -201,7 +201,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     a, b = member[x[alike]], member[y[alike]]
                     must = must_share(np.maximum(size[x[alike]], size[y[alike]]))
                     pairs.append((np.minimum(a, b), np.maximum(a, b), must))
-        long = np.repeat(lengths > MATES, lengths)
+        long = np.repeat(lengths > mates, lengths)
         if long.any():
             lost.append((member[long], np.ones(int(long.sum()), np.int64)))
 
@@ -221,7 +221,7 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows[0]):
             costly = None
             last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            if len(rows[0]) - last > MATES:
+            if len(rows[0]) - last > mates:
                 costly, last = int(rows[0][-1]), len(rows[0])
             settled(*[x[:last] for x in rows], pairs, lost)
             held = [x[last:] for x in rows]
@@ -235,12 +235,13 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written(pairs, lost)
 
 
-def shared_values(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_values(sets: DataFrame, mates: int = MATES, at_once: int = HELD) -> tuple[DataFrame, DataFrame]:
     """Pairs of sets (a, b, shared, must), and how many values each set lost (member, lost)."""
+    postings, sharing = partial(_postings, mates=mates, at_once=at_once), partial(_sharing, mates=mates)
     found = stored(
-        sets.select("set_id", "size", "sketch").mapInArrow(_postings, "key bigint, member bigint, size bigint, lost bigint")
+        sets.select("set_id", "size", "sketch").mapInArrow(postings, "key bigint, member bigint, size bigint, lost bigint")
         .repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_sharing, "a bigint, b bigint, must bigint, lost bigint")
+        .mapInArrow(sharing, "a bigint, b bigint, must bigint, lost bigint")
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("must").alias("must"), F.sum("lost").alias("lost")),
         "shared-values",
     )
@@ -393,7 +394,7 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame) -> DataFrame:
+def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of members of a list that no links connect yet and that their bitmaps do not rule out."""
     bits = crowded.select("set_id", "sketch").mapInArrow(_parities, "set_id bigint, bits binary")
     known = stored(
@@ -406,7 +407,7 @@ def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame) ->
         rooted.groupBy("value", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
         .where("least <> most").select("value", "band"), "open-lists",
     )
-    blocks = F.ceil(F.col("mates") / F.lit(BLOCK)).cast("bigint")
+    blocks = F.ceil(F.col("mates") / F.lit(block)).cast("bigint")
     dealt = (
         rooted.join(several, ["value", "band"], "left_semi").join(known.select("member", "bits"), "member")
         .withColumn("block", F.pmod(F.xxhash64("member"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
@@ -421,13 +422,16 @@ def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame) ->
 
 # --- the operator ---
 
-def linked_components(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept of every document."""
+def linked_components(docs: DataFrame, mates: int = MATES, at_once: int = HELD, block: int = BLOCK) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and kept of every document.
+
+    The limits decide what is done in which step; the result does not depend on them.
+    """
     every = stored(sketches(docs), "sketches")
     sets = stored(every.where("set_id IS NOT NULL").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.any_value("size").alias("size"), F.any_value("sketch").alias("sketch"),
     ), "sets")
-    shared, lost = shared_values(sets)
+    shared, lost = shared_values(sets, mates, at_once)
     lost_a, lost_b = lost.toDF("a", "lost_a"), lost.toDF("b", "lost_b")
     spared = F.least(F.coalesce("lost_a", F.lit(0)), F.coalesce("lost_b", F.lit(0)))
     met = shared.join(lost_a, "a", "left").join(lost_b, "b", "left").where(F.col("shared") >= F.col("must") - spared)
@@ -438,7 +442,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     )
     lists = stored(rare_lists(crowded), "lists")
     links = stored(verified(likely(met, sets).union(likely(central_pairs(lists), sets)), docs, sets), "links")
-    further = unconnected_pairs(lists, components(links), crowded)
+    further = unconnected_pairs(lists, components(links), crowded, block)
     links = stored(links.union(verified(likely(further, sets), docs, sets)).distinct(), "all-links")
     return _named(every, sets, components(links))
 
