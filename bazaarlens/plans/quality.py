@@ -418,14 +418,17 @@ def _facts(tables: Tables) -> tuple[dict[str, list[Column]], list[tuple[str, str
     keys, the keys it refers to, or the fact that a predicate is true for the row.
     """
     facts: dict[str, list[Column]] = {}
+    added: set[tuple] = set()
     wanted: list[tuple[str, str, str]] = []
 
     def add(table: str, topic: str, role: str, keys: tuple[str, ...], when: Column | None = None) -> None:
+        facts.setdefault(table, [])
+        if (table, topic, role, keys) in added:
+            return
+        added.add((table, topic, role, keys))
         known = [F.col(k).cast("string") for k in keys] + [F.lit(None).cast("string")] * (2 - len(keys))
         row = F.struct(F.lit(topic).alias("topic"), F.lit(role).alias("role"), *[k.alias(f"k{i}") for i, k in enumerate(known)])
-        column = row if when is None else F.when(when, row)
-        if not any(column._jc.toString() == other._jc.toString() for other in facts.setdefault(table, [])):
-            facts[table].append(column)
+        facts[table].append(row if when is None else F.when(when, row))
 
     for name in (*EXPECT_NO_ROWS, *EXPECT_ZERO):
         check = SUITE[name]

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from bazaarlens.operators.checks import duplicate_keys
 from bazaarlens.schemas import FREE_TEXT_TABLES, KEYS, SCHEMAS, TEXT_LIMITS
+from bazaarlens.sources.records import read_records
 
 CORRUPT = "_corrupt"
 REASON = "reject_reason"
@@ -57,17 +58,33 @@ def read_csv(spark: SparkSession, table: str, path: str) -> Load:
 
 def _text_rows(spark: SparkSession, table: str, path: str) -> DataFrame:
     text = T.StructType([T.StructField(name, T.StringType()) for name in [*SCHEMAS[table].names, CORRUPT]])
-    # A file that may hold line breaks inside quotes cannot be split between tasks; only free-text
-    # tables pay for that. Write Parquet once and query that.
+    if table in FREE_TEXT_TABLES:
+        return parsed(read_records(spark, path), text)
     return (
         spark.read.schema(text)
-        .options(**CSV_DIALECT, multiLine=table in FREE_TEXT_TABLES)
+        .options(**CSV_DIALECT)
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", CORRUPT)
         .csv(path)
     )
 
 
+def parsed(records: DataFrame, schema: T.StructType) -> DataFrame:
+    """The columns of records (text, crlf), with Spark's parser; the schema's ``_corrupt`` takes lines that do not fit.
+
+    As with Spark's reader, line breaks inside values are normal ones, and lines that do not fit are kept as they are.
+    """
+    options = {k: str(v) for k, v in CSV_DIALECT.items() if k != "header"}
+    options |= {"mode": "PERMISSIVE", "multiLine": "true", "columnNameOfCorruptRecord": CORRUPT}
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    text = F.when(F.col("crlf"), F.replace("text", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("text"))
+    row = F.from_csv(text, columns, options).alias("row")
+    return records.select(row, "text").select(*[
+        F.when(F.col("row")[c].isNotNull(), F.col("text")).alias(c) if c == CORRUPT else F.col("row")[c].alias(c)
+        for c in schema.names
+    ])
+
+
 def read_all_csv(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, Load]:
     return {table: read_csv(spark, table, path) for table, path in paths.items()}
 
@@ -87,9 +104,10 @@ def enforce(
         reason = F.when(fault, F.lit(text)).otherwise(reason)
     judged = df.withColumn(REASON, reason)
     whole = judged.where(F.col(REASON).isNull()).drop(REASON)
-    # The few repeated keys are shuffled apart from the count, so that the joins' own shuffle follows and
-    # adaptive execution can split the rows of a key that fills much of the table.
-    repeated = duplicate_keys(whole, *key).repartition("row_count").select(*key)
+    # The repeated keys are dealt anew by all columns of the key as one, so that the joins' own shuffle follows and adaptive
+    # execution can split the rows of a key that fills much of the table. Dealt by their counts, nearly all would
+    # meet in one task, since most repeated keys occur twice.
+    repeated = duplicate_keys(whole, *key).repartition(F.struct(*key)).select(*key)
     rejected = judged.where(F.col(REASON).isNotNull()).unionByName(
         whole.join(repeated, list(key), "left_semi").withColumn(REASON, F.lit("repeated key"))
     )

@@ -20,6 +20,8 @@ def spark(tmp_path_factory):
         # Compiling each plan takes longer than running it on so few rows.
         "spark.sql.codegen.wholeStage": "false",
     })
+    # Some sources fold lines in Python workers, which import the package.
+    session.sparkContext.environment["PYTHONPATH"] = str(Path(__file__).resolve().parents[1])
     yield session
     session.stop()
 

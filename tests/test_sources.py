@@ -1,13 +1,17 @@
+import random
 import re
 from datetime import datetime
 from decimal import Decimal
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bazaarlens.schemas import SCHEMAS
-from bazaarlens.session import work_path
-from bazaarlens.sources import files, sinks
+from bazaarlens.operators.checks import duplicate_keys
+from bazaarlens.session import clear_work, work_path
+from bazaarlens.sources import files, records, sinks, versions
 
 HEADER = ",".join(SCHEMAS["reviews"].names)
 DAY = "2018-01-01 00:00:00"
@@ -81,14 +85,142 @@ def test_enforce_separates_nulls_and_repeated_keys(make_tables):
     ]
 
 
-def test_preview_and_replace(spark, tmp_path):
+def test_repeated_keys_of_a_table_loaded_twice_are_spread(spark):
+    """Nearly all keys that repeat occur twice; dealt by their count they would meet in one task."""
+    from bazaarlens.operators import checks
+
+    once = spark.range(4000).select(F.col("id").cast("string").alias("review_id"), F.lit("o").alias("order_id"), F.lit(5).alias("review_score"))
+    dealt = []
+
+    def spied(df, *key):
+        found = checks.duplicate_keys(df, *key)
+        dealt.append(found)
+        return found
+
+    original, files.duplicate_keys = files.duplicate_keys, spied
+    try:
+        load = files.enforce(once.union(once), ["review_id"], ["review_id", "order_id"])
+    finally:
+        files.duplicate_keys = original
+    assert original is duplicate_keys and load.accepted.count() == 0 and load.rejected.count() == 8000
+    spread = dealt[0].repartition(4, F.struct("review_id", "order_id")).groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 2 * 1000
+    plan = load.accepted._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [struct(review_id" in plan and "RepartitionByExpression [row_count" not in plan
+
+
+def test_preview(spark):
     df = spark.range(20).withColumnRenamed("id", "k")
-    path = str(tmp_path / "t")
-    sinks.replace_table(df.limit(3), path)
-    assert sinks.replace_table(df, path).count() == 20
     assert rows_of(files.preview(df, ("k",))) == [(i,) for i in range(5)]
 
 
+# --- records ---
+
+RECORD = T.StructType([T.StructField(c, T.StringType()) for c in ("a", "b", "c", files.CORRUPT)])
+
+TORTURE = (
+    'a,b,c\n1,"two\nlines",3\n"quoted ""twice"", and\n\n\nempty lines",,""\n\nplain,stray"quote,x\n"after"tail,"",y\n'
+    '" padded ", "not quoted\n1,2\n1,2,3,4\n"é\n🙂","\n",",\n,"\n\\N,"\\N",back\\slash\n"""\n""","a"" ""b","""c"""\nlast,"never closed\n,x'
+)
+
+
+def by_one_task(spark, path):
+    reader = spark.read.schema(RECORD).options(**files.CSV_DIALECT, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord=files.CORRUPT)
+    return sorted(rows_of(reader.csv(path)), key=str)
+
+
+def by_many_tasks(spark, path, size):
+    keys = {"spark.sql.files.maxPartitionBytes": str(size), "spark.sql.files.openCostInBytes": "1"}
+    for key, value in keys.items():
+        spark.conf.set(key, value)
+    try:
+        found = records.read_records(spark, path)
+        return sorted(rows_of(files.parsed(found, RECORD)), key=str), spark.read.text(path, lineSep="\n").rdd.getNumPartitions()
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+
+
+@pytest.mark.parametrize("size", [7, 33, 10_000])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_are_those_of_a_reader_in_one_task(spark, tmp_path, size, end):
+    (tmp_path / "t.csv").write_bytes(TORTURE.replace("\n", end).encode())
+    (tmp_path / "empty.csv").write_bytes(b"")
+    (tmp_path / "header.csv").write_bytes(b"a,b,c")
+    found, tasks = by_many_tasks(spark, str(tmp_path), size)
+    assert found == by_one_task(spark, str(tmp_path)) and len(found) == 11
+    assert tasks > 20 or size > 7
+
+
+def test_a_record_over_many_splits_and_splits_without_quotes(spark, tmp_path):
+    rng = random.Random(8)
+    lines = ["a,b,c"]
+    for i in range(60):
+        lines += [f'{i},"{chr(10).join("x" * rng.randint(0, 9) for _ in range(rng.choice((1, 2, 40))))}",z']
+        lines += [f"{i},plain,{rng.randint(0, 9)}"] * rng.choice((0, 1, 30))
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    found, tasks = by_many_tasks(spark, str(tmp_path), 50)
+    assert found == by_one_task(spark, str(tmp_path)) and tasks > 50
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_records(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    pieces = ["a", "b", " ", ",", '""', "\n", "é"]
+
+    def field():
+        return rng.choice([
+            "".join(rng.choice("ab ") for _ in range(rng.randint(0, 6))), "a" + rng.choice(("", '"', 'b"a"')),
+            '"' + "".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) + '"', '"ab"' + rng.choice(("", "a", ' "')),
+        ])
+
+    for n in range(3):
+        rows = ["a,b,c"] + [",".join(field() for _ in range(rng.choice((3, 3, 3, 2, 4)))) for _ in range(40)]
+        (tmp_path / f"{n}.csv").write_text("\n".join(rows) + rng.choice(("", "\n")))
+    assert by_many_tasks(spark, str(tmp_path), rng.choice((40, 150)))[0] == by_one_task(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("line,outside,inside", [
+    ("", False, True), ("a,b", False, True), ('"a,b', True, False), ('a"b', False, False), ('"a""', True, False),
+    ('"a"b"c', False, False), ('","', False, True), ('a,"b"",c', True, False), ('""', False, True), ('"', True, False),
+])
+def test_how_a_line_ends(line, outside, inside):
+    assert (records.ends_inside(line, False), records.ends_inside(line, True)) == (outside, inside)
+
+
+# --- versions ---
+
+def test_replaced_tables(spark, tmp_path):
+    df = spark.range(20).withColumnRenamed("id", "k")
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        versions.read_table(spark, path)
+    first = versions.replace_table(df.limit(3), path)
+    assert versions.replace_table(df, path).count() == 20 and first.count() == 3
+    # By something that reads the table itself.
+    assert versions.replace_table(versions.read_table(spark, path).where("k < 5"), path).count() == 5
+    assert len(versions.drop_superseded(spark, path)) == 2
+    assert versions.read_table(spark, path).count() == 5 and versions.drop_superseded(spark, str(tmp_path / "none")) == []
+
+
+def test_a_write_that_fails_leaves_the_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions.replace_table(spark.range(10), path)
+    failing = spark.range(0, 100, 1, 4).select(F.when(F.col("id") < 90, F.col("id")).otherwise(F.raise_error(F.lit("midway")).cast("bigint")).alias("id"))
+    with pytest.raises(Exception, match="midway"):
+        versions.replace_table(failing, path)
+    assert sorted(rows_of(versions.read_table(spark, path))) == [(i,) for i in range(10)]
+    assert versions.last_commit(spark, path).version == 1
+
+
+def test_versions_without_parts(spark, tmp_path):
+    path = str(tmp_path / "t")
+    versions.commit(spark, path, {"a": versions.Part("data/x", "1"), "b": versions.Part(None, "2")})
+    assert versions.last_commit(spark, path).parts == {"a": versions.Part("data/x", "1"), "b": versions.Part(None, "2")}
+    versions.commit(spark, path, {})
+    assert versions.last_commit(spark, path) == versions.Commit(2, {})
+
+
 def test_tables_written_and_read_back_prune_months(spark, tmp_path, make_tables):
     from bazaarlens.plans import marts, quality
     from bazaarlens.plans.scope import ReportWindow
@@ -103,7 +235,12 @@ def test_tables_written_and_read_back_prune_months(spark, tmp_path, make_tables)
     stored = files.parquet_tables(spark, str(tmp_path))
     assert rows_of(marts.monthly_revenue(stored)) == rows_of(marts.monthly_revenue(tables))
     january = marts.monthly_revenue(stored, ReportWindow(datetime(2017, 1, 1), datetime(2017, 1, 31)))
-    plan = january._jdf.queryExecution().executedPlan().toString()
+    # Spark shortens what a plan says about a scan, and ids of columns grow longer with every query of the session.
+    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    try:
+        plan = january._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(r"PartitionFilters: \[[^]]*purchase_month[^]]*<= 2017-01", plan), plan
     assert rows_of(january, "total_revenue") == [(Decimal("5.00"),)]
     assert quality.SUITE["c11_orders_purge_undelivered"](stored).columns == SCHEMAS["orders"].names
@@ -139,16 +276,95 @@ def test_rejected_lines_are_kept_and_counted(spark, tmp_path, make_tables):
     assert counts["order_payments_rejected"] == 2 and counts["reviews_rejected"] == 0
 
 
-def test_views_and_stored_fact(spark, tmp_path, make_tables):
-    tables = make_tables(
-        customers=[{"customer_id": "c"}],
-        orders=[{"order_id": "1", "customer_id": "c", "order_status": "shipped", "order_purchase_timestamp": "2017-02-03 00:00:00"}],
-        order_payments=[{"order_id": "1", "payment_value": "5.00"}],
+def marketplace(make_tables, months=(1, 2, 3), score=5, payment="5.00", state="SP"):
+    ids = [str(m) for m in months]
+    return make_tables(
+        customers=[{"customer_id": "c", "customer_state": state}], sellers=[{"seller_id": "s", "seller_state": "RJ"}],
+        products=[{"product_id": "p", "product_category_name": "x"}],
+        orders=[{"order_id": m, "customer_id": "c", "order_status": "shipped", "order_purchase_timestamp": f"2017-0{m}-03 00:00:00"} for m in ids],
+        order_items=[{"order_id": m, "order_item_id": 1, "product_id": "p", "seller_id": "s", "price": "1.00"} for m in ids],
+        order_payments=[{"order_id": m, "payment_value": payment if m == "2" else "5.00"} for m in ids],
+        reviews=[{"review_id": m, "order_id": m, "review_score": score if m == "3" else 5} for m in ids],
     )
+
+
+def files_of(path):
+    return {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+
+
+def test_only_changed_months_are_written_anew(spark, tmp_path, make_tables):
+    from bazaarlens.plans import marts
+    from bazaarlens.plans.scope import ReportWindow
+
+    window, path = ReportWindow(), tmp_path / "fact"
+
+    def refreshed(tables):
+        before = files_of(path)
+        fact, months = sinks.refresh_order_fact(tables, window, str(path))
+        assert sorted(rows_of(fact), key=str) == sorted(rows_of(marts.order_fact(tables, window)), key=str)
+        after = files_of(path)
+        assert all(after[name] == time for name, time in before.items())
+        fresh = {re.search(r"purchase_month=([\d-]+)", name)[1] for name in after.keys() - before.keys() if "purchase_month" in name}
+        return months, sorted(fresh)
+
+    january, february, march = months = ["2017-01", "2017-02", "2017-03"]
+    assert refreshed(marketplace(make_tables)) == (months, months)
+    assert refreshed(marketplace(make_tables)) == ([], [])
+    assert refreshed(marketplace(make_tables, payment="7.00")) == ([february], [february])
+    assert refreshed(marketplace(make_tables, payment="7.00", score=1)) == ([march], [march])
+    assert refreshed(marketplace(make_tables, months=(1, 3), score=1)) == ([], [])
+    assert refreshed(marketplace(make_tables, months=(1, 3, 4), score=1)) == (["2017-04"], ["2017-04"])
+    # A lookup concerns every month; a month whose orders have no payments any more has no rows.
+    assert refreshed(marketplace(make_tables, months=(1, 3), score=1, state="RJ")) == ([january, march], [january, march])
+    unpaid = marketplace(make_tables, months=(1, 3), score=1, state="RJ")
+    unpaid["order_payments"] = unpaid["order_payments"].where("order_id <> '1'")
+    assert refreshed(unpaid) == ([january], [])
+    assert refreshed(make_tables()) == ([], []) and refreshed(unpaid)[0] == [january, march]
+
+
+def test_a_refresh_that_fails_leaves_the_fact(spark, tmp_path, make_tables):
+    from bazaarlens.plans.scope import ReportWindow
+
+    path = str(tmp_path / "fact")
+    fact, _ = sinks.refresh_order_fact(marketplace(make_tables), ReportWindow(), path)
+    expected, known = sorted(rows_of(fact), key=str), versions.last_commit(spark, path)
+    broken = marketplace(make_tables, payment="9.00")
+    broken["customers"] = broken["customers"].withColumn("customer_state", F.raise_error(F.lit("midway")))
+    with pytest.raises(Exception, match="midway"):
+        sinks.refresh_order_fact(broken, ReportWindow(), path)
+    assert versions.last_commit(spark, path) == known and sorted(rows_of(fact), key=str) == expected
+
+
+def test_views_of_a_session(spark, tmp_path, make_tables):
+    tables = marketplace(make_tables, months=(2,))
     views = sinks.publish_views(tables, fact_path=str(tmp_path / "fact"))
-    assert set(views) == set(sinks.VIEWS) and len(views) == 6
-    assert (tmp_path / "fact" / "purchase_month=2017-02").is_dir()
-    assert spark.table("v_order_fact").count() == 1 and spark.table("v_monthly_revenue").count() == 1
+    try:
+        assert set(views) == set(sinks.VIEWS) and len(views) == 6
+        assert spark.table("v_order_fact").count() == 1 and spark.table("v_monthly_revenue").count() == 1
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+
+
+def test_views_of_the_catalog_are_read_by_other_sessions(spark, tmp_path, make_tables):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS shop LOCATION 'file://{tmp_path}/shop'")
+    try:
+        tables = marketplace(make_tables)
+        names = sinks.publish_catalog(tables, str(tmp_path / "marts"), database="shop")
+        assert names == [f"shop.{name}" for name in sinks.VIEWS]
+        other = spark.newSession()
+        assert {name: other.table(name).count() for name in names}["shop.v_order_fact"] == 3
+        for name, mart in sinks.VIEWS.items():
+            assert sorted(rows_of(other.table(f"shop.{name}")), key=str) == sorted(rows_of(mart(tables)), key=str)
+        changed = marketplace(make_tables, payment="8.00")
+        sinks.publish_catalog(changed, str(tmp_path / "marts"), database="shop")
+        assert other.table("shop.v_order_fact").where("payment_value = 8").count() == 1
+        assert other.table("shop.v_order_fact").count() == 3
+        assert "2017-02" in other.sql("SHOW CREATE TABLE shop.v_order_fact").first()[0]
+        sinks.publish_catalog(make_tables(), str(tmp_path / "marts"), database="shop")
+        assert other.table("shop.v_order_fact").count() == 0
+    finally:
+        spark.sql("DROP DATABASE shop CASCADE")
 
 
 def test_result_csv_is_written_as_published(spark, tmp_path):
@@ -165,6 +381,15 @@ def test_result_csv_is_written_as_published(spark, tmp_path):
     assert sorted(rows_of(sinks.read_result_csv(spark, path, df.schema)), key=str) == sorted(rows, key=str)
 
 
+def test_texts_of_a_result_are_read_back_as_they_were(spark, tmp_path):
+    """The text NULL, empty text and no text; separators, quotes, line breaks and what looks like a field inside a text."""
+    texts = ["NULL", "", None, "a,NULL,b", 'x","NULL', '"', '""', "two\nlines,NULL\n", "NULLS", " NULL ", "\r\n", ",", "null"]
+    df = spark.createDataFrame([(i, t, i if t else None) for i, t in enumerate(texts)], "k int, t string, n int")
+    path = str(tmp_path / "r")
+    sinks.write_result_csv(df.repartition(2), path)
+    assert sorted(rows_of(sinks.read_result_csv(spark, path, df.schema))) == sorted(rows_of(df))
+
+
 class Session:
     """The two settings ``work_path`` reads."""
 
@@ -179,6 +404,20 @@ def test_work_path_follows_the_session():
     without = Session("spark://host:7077", **{"spark.sql.warehouse.dir": "hdfs://store/warehouse"})
     first, second = work_path(without, "x"), work_path(without, "x")
     assert first != second and first.startswith("hdfs://store/warehouse/work/x-")
+    local = {"spark.sql.warehouse.dir": "file:/home/me/spark-warehouse"}
+    assert work_path(Session("local[4]", **local), "x").startswith("file:/home/me/spark-warehouse/work/x-")
+    for warehouse in ("file:/home/me/spark-warehouse", "/home/me/spark-warehouse", "file:///x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_path(Session("yarn", **{"spark.sql.warehouse.dir": warehouse}), "x")
+
+
+def test_work_is_cleared(spark, tmp_path, monkeypatch):
+    from bazaarlens import session
+
+    monkeypatch.setattr(session, "_used", [])
+    path = work_path(spark, "x")
+    spark.range(1000).write.parquet(path)
+    assert clear_work(spark) == 1 and spark.read.parquet(path).count() == 0 and clear_work(spark) == 0
 
 
 @pytest.mark.parametrize("table", sorted(SCHEMAS))
