@@ -12,7 +12,8 @@ k, an estimate of the Jaccard similarity. Linked sets share at least T = ``LEAST
 2. The sets that lost more ("crowded") are indexed by their rarest values, one more than they may have apart, with rare as
    counted among themselves; two sets that share T values share one of these. Lists are cut by size, since linked sets
    have similar sizes. The members of a list are first compared with the most crowded one, which connects groups of near
-   copies; then members that are not yet connected are compared in blocks by parity bitmaps of their sketches.
+   copies; then members that are not yet connected are compared in blocks by parity bitmaps of their sketches and, where
+   these allow a link, of finer ones with ``FINE`` values, which are the whole sets of most documents.
 
 Candidates pass the estimate from both sketches and are then verified on the whole sets. Equal sets count as one. No
 list or candidate is dropped, capped or sampled. A list's members are cut to ``MATES`` + 1 in each task before they are shuffled, and
@@ -56,8 +57,10 @@ HELD = 1 << 19
 SIZE_STEP = 1.18
 #: Members of a list that are compared with each other in one task.
 BLOCK = 4096
-#: Bits of the parity bitmap of a sketch.
-BITS = 512
+#: Values of the finer sketches of crowded sets.
+FINE = 512
+#: Bits of a parity bitmap per value of the sketch.
+BITS_PER_VALUE = 8
 
 _U = np.uint64
 _PAD = _U((1 << 64) - 1)
@@ -74,6 +77,7 @@ def least_shared(k: int, percent: int = PERCENT, missed: float = MISSED) -> int:
 
 
 LEAST_SHARED = least_shared(K)
+LEAST_SHARED_FINE = least_shared(FINE)
 
 
 def must_share(sizes: np.ndarray) -> np.ndarray:
@@ -337,27 +341,38 @@ def central_pairs(lists: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def parity_bits(sketch: np.ndarray) -> bytes:
-    """For each residue of the values modulo ``BITS``, whether an odd number of them has it."""
-    return np.packbits(np.bincount((sketch & _U(BITS - 1)).astype(np.int64), minlength=BITS) & 1).tobytes()
+def parity_bits(shingles: np.ndarray, k: int) -> bytes:
+    """For each residue of the k smallest values, whether an odd number of them has it."""
+    width = BITS_PER_VALUE * k
+    return np.packbits(np.bincount((shingles[:k] & _U(width - 1)).astype(np.int64), minlength=width) & 1).tobytes()
+
+
+def most_apart(one: np.ndarray, other: int, k: int, least: int) -> np.ndarray:
+    """In how many values the sketches of linked sets of these sizes differ at most."""
+    exact = (one + other) * (100 - PERCENT) // (100 + PERCENT)
+    return np.where(np.maximum(one, other) <= k, exact, np.minimum(one, k) + min(other, k) - 2 * least)
 
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        bits = [parity_bits(batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(_U)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary())], ["set_id", "bits"])
+        sets = [batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(_U) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0), *[pa.array([parity_bits(s, k) for s in sets], pa.binary()) for k in (K, FINE)],
+        ], ["set_id", "bits", "fine"])
+
+
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(len(column), -1)
 
 
 def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of a block that are not connected and whose bitmaps allow a link.
 
-    Rows: value, band, low, high, block, member, role, root, size, bits; sorted by the first four. The rows of one
+    Rows: value, band, low, high, block, member, role, root, size, bits, fine; sorted by the first four. The rows of one
     pair of blocks are held, at most about twice a block.
     """
-    def compared(rows: list[np.ndarray], bits: np.ndarray) -> pa.RecordBatch | None:
-        low, high, block, member, role, root, size = rows
-        kept = np.minimum(size, K)
-        must = must_share(size)
+    def compared(rows: list[np.ndarray]) -> pa.RecordBatch | None:
+        low, high, block, member, role, root, size, bits, fine = rows
         left, right = [], []
         for i in range(len(member) - 1):
             later = slice(i + 1, None)
@@ -366,9 +381,10 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if low[0] != high[0]:
                 use &= block[later] != block[i]
             at = np.flatnonzero(use) + i + 1
+            for marks, k, least in ((bits, K, LEAST_SHARED), (fine, FINE, LEAST_SHARED_FINE)):
+                apart = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64)
+                at = at[apart <= most_apart(size[at], int(size[i]), k, least)]
             if len(at):
-                apart = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
-                at = at[apart <= kept[at] + kept[i] - 2 * np.maximum(must[at], must[i])]
                 left.append(np.minimum(member[at], member[i]))
                 right.append(np.maximum(member[at], member[i]))
         if left:
@@ -379,28 +395,25 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [c.to_numpy() for c in batch.columns[:9]]
-        bits = np.frombuffer(b"".join(batch.column(9).to_pylist()), _U).reshape(batch.num_rows, -1)
-        rows.append(bits)
+        rows = [*[c.to_numpy() for c in batch.columns[:9]], *map(_words, batch.columns[9:])]
         if held:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         new = reduce(np.logical_or, [c[1:] != c[:-1] for c in rows[:4]], np.zeros(len(rows[0]) - 1, bool))
         edges = [0, *(np.flatnonzero(new) + 1).tolist()]
         for a, b in zip(edges, edges[1:], strict=False):
-            if b - a > 1 and (found := compared([c[a:b] for c in rows[2:9]], rows[9][a:b])) is not None:
+            if b - a > 1 and (found := compared([c[a:b] for c in rows[2:]])) is not None:
                 yield found
         held = [c[edges[-1]:] for c in rows]
-    if held and len(held[0]) > 1 and (found := compared(held[2:9], held[9])) is not None:
+    if held and len(held[0]) > 1 and (found := compared(held[2:])) is not None:
         yield found
 
 
-def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame, block: int = BLOCK) -> DataFrame:
+def unconnected_pairs(lists: DataFrame, roots: DataFrame, whole: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of members of a list that no links connect yet and that their bitmaps do not rule out."""
-    bits = crowded.select("set_id", "sketch").mapInArrow(_parities, "set_id bigint, bits binary")
-    known = stored(
-        bits.join(roots, "set_id", "left").select(F.col("set_id").alias("member"), F.coalesce("root", "set_id").alias("root"), "bits"),
-        "sketch-bits",
-    )
+    bits = whole.mapInArrow(_parities, "set_id bigint, bits binary, fine binary")
+    known = stored(bits.join(roots, "set_id", "left").select(
+        F.col("set_id").alias("member"), F.coalesce("root", "set_id").alias("root"), "bits", "fine",
+    ), "sketch-bits")
     rooted = stored(lists.select("value", "band", "mates", "member", "role", "size").join(known.select("member", "root"), "member"), "rooted")
     # A list whose members are all connected is done.
     several = stored(
@@ -409,11 +422,11 @@ def unconnected_pairs(lists: DataFrame, roots: DataFrame, crowded: DataFrame, bl
     )
     blocks = F.ceil(F.col("mates") / F.lit(block)).cast("bigint")
     dealt = (
-        rooted.join(several, ["value", "band"], "left_semi").join(known.select("member", "bits"), "member")
+        rooted.join(several, ["value", "band"], "left_semi").join(known.drop("root"), "member")
         .withColumn("block", F.pmod(F.xxhash64("member"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
             "value", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-            "member", "role", "root", "size", "bits",
+            "member", "role", "root", "size", "bits", "fine",
         )
     )
     order = ["value", "band", "low", "high"]
@@ -442,7 +455,8 @@ def linked_components(docs: DataFrame, mates: int = MATES, at_once: int = HELD,
     )
     lists = stored(rare_lists(crowded), "lists")
     links = stored(verified(likely(met, sets).union(likely(central_pairs(lists), sets)), docs, sets), "links")
-    further = unconnected_pairs(lists, components(links), crowded, block)
+    whole = whole_sets(docs, sets, crowded.select("set_id"))
+    further = unconnected_pairs(lists, components(links), whole, block)
     links = stored(links.union(verified(likely(further, sets), docs, sets)).distinct(), "all-links")
     return _named(every, sets, components(links))
 

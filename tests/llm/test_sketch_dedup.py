@@ -100,6 +100,22 @@ def test_the_least_number_of_shared_values():
     assert all(a <= b for a, b in pairwise(sketch_dedup.must_share(np.arange(1, 200)).tolist()))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for size in (20, 64, 200, 512, 3000):
+        for _ in range(40):
+            common = rng.integers(0, 2**63, size, dtype=np.uint64)
+            own = [rng.integers(0, 2**63, int(size * rng.uniform(0, 0.1)), dtype=np.uint64) for _ in range(2)]
+            a, b = (np.unique(np.concatenate((common, x))) for x in own)
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared < 85 * (len(a) + len(b) - shared):
+                continue
+            for k, least in ((sketch_dedup.K, sketch_dedup.LEAST_SHARED), (sketch_dedup.FINE, sketch_dedup.LEAST_SHARED_FINE)):
+                one, other = (np.frombuffer(sketch_dedup.parity_bits(x, k), np.uint64) for x in (a, b))
+                apart = np.bitwise_count(one ^ other).sum()
+                assert apart <= sketch_dedup.most_apart(np.array([len(a)]), len(b), k, least)[0]
+
+
 def test_odd_rows(odd_docs, no_docs, make_docs):
     result = sketch_dedup.linked_components(odd_docs).collect()
     assert len(result) == odd_docs.count()
