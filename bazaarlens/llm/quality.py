@@ -37,7 +37,7 @@ _BLANK = b" \t\n\x0b\x0c\r"
 #: Letters by how they are judged: scripts without capitals have UNCASED ones, those without spaces between words UNSPACED ones.
 OTHER, LOWER, UPPER, UNCASED, UNSPACED = range(5)
 #: Thai to Burmese, Khmer, Tai, Balinese, kana and Han, Yi, Javanese and further Burmese, compatibility and rare Han.
-_WITHOUT_SPACES = (
+UNSPACED_SCRIPTS = (
     (0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007),
     (0x3031, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAA7F),
     (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x1B000, 0x1B16F), (0x20000, 0x323AF),
@@ -52,7 +52,7 @@ def _letter_kinds() -> np.ndarray:
         category = unicodedata.category(chr(code))
         if category[0] == "L":
             kinds[code] = {"Ll": LOWER, "Lu": UPPER}.get(category, UNCASED)
-    for first, last in _WITHOUT_SPACES:
+    for first, last in UNSPACED_SCRIPTS:
         part = kinds[first:last + 1]
         part[part == UNCASED] = UNSPACED
     return kinds

@@ -3,7 +3,8 @@
 A word scores the log-odds of toxic against other documents, learned from labelled ones. Counts of a word are few, so
 they are smoothed by a Dirichlet prior centred on what is known of its first letters: the word, then its first
 six, five and four letters, then no preference. A word's score is lowered by one standard error and a
-fixed cost, which makes ordinary words negative.
+fixed cost, which makes ordinary words negative. In scripts without spaces between words, two neighbouring letters
+count as a word.
 
 One linear scan per text finds every maximal scoring segment: a run of words none of whose extensions or
 parts scores higher. Segment scores S follow an extreme-value law in texts without toxic passages: in a text of n
@@ -12,32 +13,31 @@ labelled clean texts, K comes from their best segments. A document's evidence is
 -log(p) over its significant segments, and a logistic curve fitted to the labelled documents
 turns it into a score.
 
-All statistics cover every labelled document that may be learned from; repeated
-texts of one label count once. Nodes are counted and smoothed where they are; the driver and the workers hold sixteen bytes
-for every node that changes a word's score, however many there are, and the histograms' fixed number of bins.
+All statistics cover every labelled document that may be learned from; repeated texts of one label count once. Nodes are
+counted and smoothed as a table, and every one that changes a word's score is kept, however few texts have it. A table of up to
+``MOST_SENT`` nodes is sent to the workers; a larger one is joined with the distinct words of the texts. Both give
+the same scores. Besides, the driver holds histograms with a fixed number of bins.
 
-Defined results: a null or empty text has no words and the lowest evidence, 0; labels of one doc_id are combined by maximum, null ones
-are no labels; without labels of both classes every score is 0; repeated rows get equal scores; an empty table gives no rows.
+Defined results: a null or empty text has no words and the lowest evidence, 0; bytes that are not UTF-8 are no letters; long texts are
+scanned whole; labels of one doc_id are combined by maximum, null ones are no labels; without labels of both classes every score is
+0; repeated rows get equal scores; of segments with equal scores none contains another; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
-import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bazaarlens.llm.tables import raw_texts, stored
+from bazaarlens.llm.tables import stored
+from bazaarlens.llm.word_nodes import PREFIXES, NodeScores, Units, by_row, chunks, distinct_nodes
 
-PREFIXES = (4, 5, 6)
-#: Toxic documents that must hold a node.
-LEAST_TOXIC = 3
 PRIOR = 2.0
 WORD_COST = 1.0
 #: A segment whose chance is below this is significant.
@@ -48,18 +48,10 @@ MOST_EVIDENCE = 300
 PREDICT_FROM = 0.7
 FOLDS = 3
 HELD_OUT_FOLD = 1
-CACHED_WORDS = 200_000
+#: Nodes, at sixteen bytes each, that are sent to the workers rather than joined.
+MOST_SENT = 2_000_000
 
-_WORD = re.compile(r"[^\W\d_]+")
-
-
-def words_of(raw: bytes) -> list[str]:
-    return _WORD.findall(raw.decode().lower())
-
-
-def nodes_of(word: str) -> list[str]:
-    """What is known of a word, from its first letters to the word itself, marked by a final stop."""
-    return [word[:n] for n in PREFIXES if len(word) > n] + [word + "."]
+_U = np.uint64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -68,17 +60,17 @@ def held_out(doc_id: Column) -> Column:
 
 # --- word model ---
 
-def _distinct_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, yes, no): the toxic and the clean documents of a batch that hold a node."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, level, parent, yes, no): the toxic and the clean documents of a batch that hold a node."""
     for batch in batches:
-        counts: dict[str, list[int]] = {}
-        for raw, toxic in zip(raw_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            for node in {node for word in set(words_of(raw)) for node in nodes_of(word)}:
-                counts.setdefault(node, [0, 0])[toxic] += 1
+        row, key, level, parent = distinct_nodes(batch.column(0))
+        toxic = batch.column(1).to_numpy()[row.astype(np.int64)]
+        distinct, first, place = np.unique(key, return_index=True, return_inverse=True)
+        yes = np.bincount(place, weights=toxic, minlength=len(distinct)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([
-            pa.array(list(counts), pa.string()), pa.array([n[1] for n in counts.values()], pa.int64()),
-            pa.array([n[0] for n in counts.values()], pa.int64()),
-        ], ["node", "yes", "no"])
+            pa.array(distinct.view(np.int64)), pa.array(level[first].astype(np.int32)), pa.array(parent[first].view(np.int64)),
+            pa.array(yes), pa.array(np.bincount(place, minlength=len(distinct)) - yes),
+        ], ["key", "level", "parent", "yes", "no"])
 
 
 def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,119 +90,140 @@ def training_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def node_key(node: str) -> int:
-    return int.from_bytes(hashlib.blake2b(node.encode(), digest_size=8).digest(), "little", signed=True)
-
-
-class NodeScores:
-    """Scores by the 64-bit hash of a node."""
-
-    def __init__(self, keys: np.ndarray, scores: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.scores = keys[order], scores[order]
-
-    def get(self, node: str) -> float | None:
-        key = np.int64(node_key(node))
-        at = int(self.keys.searchsorted(key))
-        return float(self.scores[at]) if at < len(self.keys) and self.keys[at] == key else None
-
-
 @dataclass(frozen=True)
 class WordModel:
-    scores: Mapping[str, float] | NodeScores
+    """The nodes that change a score (key, score), and how many there are."""
 
-    def score(self, word: str) -> float:
-        """The score of the most specific node that is known; 0 before the cost if none is."""
-        for node in reversed(nodes_of(word)):
-            found = self.scores.get(node)
-            if found is not None:
-                return found - WORD_COST
-        return -WORD_COST
+    nodes: DataFrame
+    size: int
+    most_sent: int = MOST_SENT
 
 
-class _Cached(dict):
-    def __init__(self, model: WordModel):
-        super().__init__()
-        self.model = model
+def node_counts(texts: DataFrame) -> DataFrame:
+    """key, level, parent, and the toxic and the clean texts that have each node."""
+    return stored(
+        texts.where("toxic IN (0, 1)").select("text", F.col("toxic").cast("bigint"))
+        .mapInArrow(_counted, "key bigint, level int, parent bigint, yes bigint, no bigint")
+        .groupBy("key", "level", "parent").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")), "node-counts",
+    )
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        score = self[word] = self.model.score(word)
-        return score
 
+def _smoothed(nodes: DataFrame, balance: float) -> DataFrame:
+    """key, odds, score and above (the parent's score) of nodes (key, yes, no, prior, above).
 
-def word_model(texts: DataFrame) -> WordModel | None:
-    """Scores of the nodes that toxic documents hold; None without documents of both classes."""
+    Log-odds under the prior of the node above, less one standard error towards 0.
+    """
+    share = 1 / (1 + F.exp(-F.col("prior")))
+    yes, no = F.col("yes") + PRIOR * share, F.col("no") * balance + PRIOR * (1 - share)
+    error = F.sqrt(1 / F.col("y") + 1 / F.greatest("n", F.lit(0.5)))
+    return (
+        nodes.select("key", "above", yes.alias("y"), no.alias("n"))
+        .withColumn("odds", F.log(F.col("y") / F.col("n")))
+        .select("key", "above", "odds", (F.signum("odds") * F.greatest(F.lit(0.0), F.abs("odds") - error)).alias("score"))
+    )
+
+
+def word_model(texts: DataFrame, most_sent: int = MOST_SENT) -> WordModel | None:
+    """Scores of all nodes that change a word's score; None without texts of both classes."""
     totals = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not totals.get(1) or not totals.get(0):
         return None
-
     balance = totals[1] / totals[0]
+    counts = node_counts(texts)
+    # From the shortest prefixes to whole words; a node's parent is on one of the levels before.
+    done: DataFrame | None = None
+    for level in range(len(PREFIXES) + 1):
+        here = counts.where(F.col("level") == level)
+        if done is None:
+            nodes = here.withColumns({"prior": F.lit(0.0), "above": F.lit(0.0)})
+        else:
+            known = done.select(F.col("key").alias("parent"), F.col("odds").alias("prior"), F.col("score").alias("above"))
+            nodes = here.join(known, "parent", "left").fillna(0.0, ["prior", "above"])
+        level_scores = stored(_smoothed(nodes, balance), "node-scores")
+        done = level_scores if done is None else done.unionAll(level_scores)
+    # A word takes the score of its longest known node, so one that scores as its parent does is left out.
+    nodes = stored(done.where("score <> above").select("key", "score"), "nodes")
+    return WordModel(nodes, nodes.count(), most_sent)
+
+
+@lru_cache(maxsize=2)
+def _table(sent) -> NodeScores:
+    keys, scores = sent.value
+    return NodeScores(keys.view(_U), scores)
+
+
+def word_scores(
+    docs: DataFrame, columns: list[str], model: WordModel,
+    rows: Callable[[pa.RecordBatch, Iterator[np.ndarray]], pa.RecordBatch], schema: str,
+) -> DataFrame:
+    """What ``rows`` makes of batches of the columns and of the scores of each text's words, in order."""
+    def measure(table: NodeScores) -> Callable[[Units], np.ndarray]:
+        return lambda units: table.of_words(units) - WORD_COST
+
+    if model.size <= model.most_sent:
+        found = model.nodes.toArrow()
+        sent = docs.sparkSession.sparkContext.broadcast((found.column("key").to_numpy(), found.column("score").to_numpy()))
+
+        def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield rows(batch, by_row(batch.column(len(columns)), measure(_table(sent))))
+
+        return docs.select(*columns, "text").mapInArrow(of_batches, schema)
+
+    def of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def scores(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            text, keys, values = (batch.column(len(columns) + i) for i in range(3))
+            for i in range(batch.num_rows):
+                known = [np.array(c[i].as_py() or [], kind) for c, kind in ((keys, np.int64), (values, float))]
+                yield from by_row(text.slice(i, 1), measure(NodeScores(known[0].view(_U), known[1])))
 
-    def scored_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, score) of the nodes that change a score; the rows of a stem follow each other."""
-        def finished():
-            scores = telling(smoothed(toxic, clean, balance))
-            return pa.RecordBatch.from_arrays([
-                pa.array(map(node_key, scores), pa.int64()), pa.array(scores.values(), pa.float64()),
-            ], ["key", "score"])
-
-        toxic, clean, current = {}, {}, None
         for batch in batches:
-            for stem, node, yes, no in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if stem != current:
-                    if toxic:
-                        yield finished()
-                    toxic, clean, current = {}, {}, stem
-                toxic[node], clean[node] = yes, no
-        if toxic:
-            yield finished()
-
-    counted = (
-        texts.where("toxic IN (0, 1)").select("text", "toxic")
-        .mapInArrow(_distinct_nodes, "node string, yes bigint, no bigint").groupBy("node")
-        .agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where(F.col("yes") >= LEAST_TOXIC)
-    )
-    # What a node's prior comes from begins with the same letters.
-    stemmed = counted.select(F.substring("node", 1, PREFIXES[0]).alias("stem"), "node", "yes", "no")
-    found = (
-        stemmed.repartition("stem").sortWithinPartitions("stem")
-        .mapInArrow(scored_nodes, "key bigint, score double").toArrow()
-    )
-    return WordModel(NodeScores(found.column("key").to_numpy(), found.column("score").to_numpy()))
-
+            yield rows(batch, scores(batch))
 
-def telling(scores: dict[str, float]) -> dict[str, float]:
-    """The nodes whose score differs from what a word would take without them; no word's score changes."""
-    kept: dict[str, float] = {}
-    for node in sorted(scores, key=_depth):
-        if scores[node] != next((kept[a] for a in reversed(_above(node)) if a in kept), 0.0):
-            kept[node] = scores[node]
-    return kept
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    known = scores_by_join(docs.select(digest.alias("digest"), "text").dropDuplicates(["digest"]), model.nodes)
+    inputs = [F.col(c).alias(f"in_{i}") for i, c in enumerate(columns)]
+    joined = docs.select(*inputs, "text", digest.alias("digest")).join(known, "digest", "left")
+    return joined.select(
+        *[F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)], "text", "keys", "scores",
+    ).mapInArrow(of_rows, schema)
 
 
-def _depth(node: str) -> tuple[bool, int]:
-    return node.endswith("."), len(node)
-
-
-def _above(node: str) -> list[str]:
-    return nodes_of(node[:-1])[:-1] if node.endswith(".") else [node[:n] for n in PREFIXES if n < len(node)]
-
-
-def smoothed(toxic: dict[str, int], clean: dict[str, int], balance: float) -> dict[str, float]:
-    """Log-odds per node under the prior of the node above it, less one standard error towards 0."""
-    odds: dict[str, float] = {}
-    scores: dict[str, float] = {}
-    for node in sorted(toxic, key=_depth):
-        prior = next((odds[a] for a in reversed(_above(node)) if a in odds), 0.0)
-        share = 1 / (1 + math.exp(-prior))
-        yes = toxic[node] + PRIOR * share
-        no = clean.get(node, 0) * balance + PRIOR * (1 - share)
-        odds[node] = math.log(yes / no)
-        error = math.sqrt(1 / yes + 1 / max(no, 0.5))
-        scores[node] = math.copysign(max(0.0, abs(odds[node]) - error), odds[node])
-    return scores
+def _distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, word, node_0 ...): each word of a text and its nodes, the longest first, null where there is none."""
+    names = ["digest", "word", *[f"node_{i}" for i in range(len(PREFIXES) + 1)]]
+    for batch in batches:
+        for pieces in chunks(batch.column(1)):
+            units = Units([text for _, text in pieces])
+            row = np.repeat(np.array([at for at, _ in pieces]), np.diff(units.edges))
+            nodes = [pa.array(units.keys.view(np.int64))]
+            for size in reversed(PREFIXES):
+                longer = units.lengths > size
+                keys = np.zeros(len(longer), _U)
+                keys[longer] = units.prefix_keys(np.flatnonzero(longer), size)
+                nodes.append(pa.array(keys.view(np.int64), mask=~longer))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), nodes[0], *nodes], names)
+
+
+def scores_by_join(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """digest, keys and scores: the distinct words of each text (digest, text) that a node gives a score.
+
+    The nodes meet the vocabulary, of which each word is one row, and then the words of the texts; both sides of that join are
+    plain shuffles, in which Spark can split a word that most texts have.
+    """
+    levels = [f"node_{i}" for i in range(len(PREFIXES) + 1)]
+    words = stored(texts.mapInArrow(
+        _distinct_words, "digest string, word bigint, " + ", ".join(f"{c} bigint" for c in levels),
+    ).distinct(), "text-words")
+    known = words.select("word", *levels).distinct()
+    for c in levels:
+        known = known.join(nodes.select(F.col("key").alias(c), F.col("score").alias(f"score_{c}")), c, "left")
+    known = stored(
+        known.select("word", F.coalesce(*[f"score_{c}" for c in levels]).alias("score")).where("score IS NOT NULL"), "word-scores",
+    )
+    return words.select("digest", "word").join(known, "word").groupBy("digest").agg(
+        F.collect_list("word").alias("keys"), F.collect_list("score").alias("scores"),
+    )
 
 
 # --- segments ---
@@ -218,12 +231,18 @@ def smoothed(toxic: dict[str, int], clean: dict[str, int], balance: float) -> di
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """(start, end, score) of all maximal scoring runs, by the linear scan of Ruzzo and Tompa.
 
-    Runs of negative scores only move the running total, so the scan visits the positive ones.
+    Neighbouring positive scores are always in one run, and negative ones only move the running total, so the scan
+    visits the stretches of positive scores.
     """
+    positive = np.concatenate(([False], scores > 0, [False]))
+    edges = np.flatnonzero(positive[1:] != positive[:-1])
+    if not len(edges):
+        return []
     totals = np.concatenate(([0.0], np.cumsum(scores)))
+    at_edges = totals[edges].tolist()
+    edges = edges.tolist()
     found: list[list[float]] = []  # start, end, total before, total after, nearest earlier run with a lower start total
-    for at in np.flatnonzero(scores > 0).tolist():
-        start, end, before, after = at, at + 1, float(totals[at]), float(totals[at + 1])
+    for start, end, before, after in zip(edges[::2], edges[1::2], at_edges[::2], at_edges[1::2], strict=True):
         link = len(found) - 1
         while True:
             while link >= 0 and found[link][2] >= before:
@@ -237,52 +256,52 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, after - before) for s, e, before, after, _ in found]
 
 
-def scanned(docs: DataFrame, model: WordModel, columns: list[str]) -> DataFrame:
-    """The columns, the number of words, the best score, and the scores of the segments of each text."""
-    kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
+def _kinds(docs: DataFrame, columns: list[str]) -> str:
+    kinds = dict(docs.dtypes)
+    return "".join(f"{c} {kinds[c]}, " for c in columns)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Cached(model)
-        for batch in batches:
-            sizes, best, segments = [], [], []
-            for raw in raw_texts(batch.column(len(columns))):
-                words = words_of(raw)
-                scores = np.fromiter(map(known.__getitem__, words), float, len(words))
-                runs = [score for _, _, score in maximal_segments(scores)]
-                sizes.append(len(words))
-                best.append(max(runs, default=float(scores.max()) if len(scores) else None))
-                segments.append(runs)
-            yield pa.RecordBatch.from_arrays([
-                *batch.columns[:len(columns)], pa.array(sizes, pa.int64()), pa.array(best, pa.float64()),
-                pa.array(segments, pa.list_(pa.float64())),
-            ], [*columns, "n_words", "best", "segments"])
-
-    return docs.select(*columns, "text").mapInArrow(
-        scan, "".join(f"{c} {kinds[c]}, " for c in columns) + "n_words bigint, best double, segments array<double>",
-    )
+
+def scanned(docs: DataFrame, model: WordModel, columns: list[str], histogram: bool = False) -> DataFrame:
+    """The columns, the number of words, the best score, and the scores of the segments of each text.
+
+    With ``histogram`` the text's word scores too, as bins and the words in each.
+    """
+    def rows(batch: pa.RecordBatch, texts: Iterator[np.ndarray]) -> pa.RecordBatch:
+        sizes, best, segments, bins, words = [], [], [], [], []
+        for scores in texts:
+            runs = [score for _, _, score in maximal_segments(scores)]
+            sizes.append(len(scores))
+            best.append(max(runs, default=float(scores.max()) if len(scores) else None))
+            segments.append(runs)
+            if histogram:
+                values, numbers = np.unique(np.round(scores * BINS_PER_UNIT).astype(np.int64), return_counts=True)
+                bins.append(values)
+                words.append(numbers)
+        found = [pa.array(sizes, pa.int64()), pa.array(best, pa.float64()), pa.array(segments, pa.list_(pa.float64()))]
+        found += [pa.array(x, pa.list_(pa.int64())) for x in (bins, words)] if histogram else []
+        return pa.RecordBatch.from_arrays([*batch.columns[:len(columns)], *found], names)
+
+    names = [*columns, "n_words", "best", "segments", *(["bins", "words"] if histogram else [])]
+    schema = _kinds(docs, columns) + "n_words bigint, best double, segments array<double>"
+    return word_scores(docs, columns, model, rows, schema + (", bins array<bigint>, words array<bigint>" if histogram else ""))
 
 
 def passages(docs: DataFrame, model: WordModel, law: ExtremeValues) -> DataFrame:
     """doc_id, start and stop (words), score of every significant passage."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Cached(model)
-        for batch in batches:
-            ids, rows = [], []
-            for i, raw in enumerate(raw_texts(batch.column(1))):
-                words = words_of(raw)
-                for start, stop, score in maximal_segments(np.fromiter(map(known.__getitem__, words), float, len(words))):
-                    if law.chance(score, len(words)) < SIGNIFICANT:
-                        ids.append(i)
-                        rows.append((start, stop, score))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(ids, pa.int64())), pa.array(columns[0], pa.int64()),
-                pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
-            ], ["doc_id", "start", "stop", "score"])
-
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, start bigint, stop bigint, score double")
+    def rows(batch: pa.RecordBatch, texts: Iterator[np.ndarray]) -> pa.RecordBatch:
+        ids, found = [], []
+        for i, scores in enumerate(texts):
+            for start, stop, score in maximal_segments(scores):
+                if law.chance(score, len(scores)) < SIGNIFICANT:
+                    ids.append(i)
+                    found.append((start, stop, score))
+        columns = list(zip(*found, strict=True)) or [()] * 3
+        return pa.RecordBatch.from_arrays([
+            batch.column(0).take(pa.array(ids, pa.int64())), pa.array(columns[0], pa.int64()),
+            pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()),
+        ], ["doc_id", "start", "stop", "score"])
+
+    return word_scores(docs, ["doc_id"], model, rows, _kinds(docs, ["doc_id"]) + "start bigint, stop bigint, score double")
 
 
 # --- calibration ---
@@ -321,30 +340,17 @@ def rate_of(scores: np.ndarray, counts: np.ndarray) -> float:
     return high
 
 
-def extreme_values(clean: DataFrame, model: WordModel) -> ExtremeValues:
-    """The law's parameters from the word scores and the best segments of clean texts."""
-    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Cached(model)
-        for batch in batches:
-            bins: dict[int, int] = {}
-            for raw in raw_texts(batch.column(0)):
-                words = words_of(raw)
-                scores = np.fromiter(map(known.__getitem__, words), float, len(words))
-                values, numbers = np.unique(np.round(scores * BINS_PER_UNIT).astype(np.int64), return_counts=True)
-                for value, number in zip(values.tolist(), numbers.tolist(), strict=True):
-                    bins[value] = bins.get(value, 0) + number
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(bins), pa.int64()), pa.array(list(bins.values()), pa.int64())], ["bin", "words"],
-            )
-
-    rows = clean.select("text").mapInArrow(histogram, "bin bigint, words bigint").groupBy("bin").agg(F.sum("words").alias("words")).collect()
+def extreme_values(clean: DataFrame) -> ExtremeValues:
+    """The law's parameters from the word scores and the best segments of scanned clean texts, with histograms."""
+    rows = clean.select(F.explode(F.arrays_zip("bins", "words")).alias("part")).groupBy("part.bins").agg(
+        F.sum("part.words").alias("number"),
+    ).collect()
     if not rows:
         return ExtremeValues(1.0, 0.0)
-    bins, counts = np.array([r["bin"] for r in rows]), np.array([r["words"] for r in rows], float)
+    bins, counts = np.array([r["bins"] for r in rows]), np.array([r["number"] for r in rows], float)
     rate = rate_of(bins / BINS_PER_UNIT, counts)
-    best = scanned(clean.withColumn("part", F.lit(0)), model, ["part"]).where("n_words > 0")
     # The mean of the standard extreme-value law is Euler's constant.
-    mean = best.agg(F.avg(F.lit(rate) * F.col("best") - F.log("n_words")).alias("mean")).first()["mean"]
+    mean = clean.where("n_words > 0").agg(F.avg(F.lit(rate) * F.col("best") - F.log("n_words")).alias("mean")).first()["mean"]
     return ExtremeValues(rate, (mean or 0.0) - 0.5772156649015329)
 
 
@@ -369,14 +375,17 @@ class ToxicityModel:
     offset: float
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> ToxicityModel | None:
+    """What is learned from the labelled documents; None without both classes."""
     texts = stored(training_texts(docs, labels), "labelled-texts")
-    words = word_model(texts)
+    words = word_model(texts, most_sent)
     if words is None:
         return None
-    law = extreme_values(texts.where("toxic = 0").select("text"), words)
+    # One scan serves the law of chance and the curve.
+    scans = stored(scanned(texts, words, ["toxic"], histogram=True), "labelled-scans")
+    law = extreme_values(scans.where("toxic = 0"))
     evidence = law.evidence(F.col("segments"), F.col("n_words"))
-    bins = scanned(texts, words, ["toxic"]).select(
+    bins = scans.select(
         "toxic", F.round(F.least(evidence, F.lit(float(MOST_EVIDENCE))) * BINS_PER_UNIT).cast("int").alias("bin"),
     ).groupBy("bin").agg(
         F.sum((F.col("toxic") == 1).cast("int")).alias("toxic"), F.sum((F.col("toxic") != 1).cast("int")).alias("clean"),

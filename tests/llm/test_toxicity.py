@@ -1,12 +1,16 @@
 import itertools
+import math
+import re
+import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-import zlib
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import toxicity
+from bazaarlens.llm import toxicity, word_nodes
+from bazaarlens.llm.quality import UNSPACED_SCRIPTS
 
 from .conftest import DATA
 
@@ -42,11 +46,145 @@ def test_segment_scan_is_linear():
     assert len(toxicity.maximal_segments(np.tile([1.0, -2.0], 200_000))) == 200_000
 
 
-def test_prefixes_carry_over_to_unseen_words():
-    scores = toxicity.smoothed({"nast": 40, "nasty.": 30, "the.": 50}, {"the.": 500}, 0.1)
-    model = toxicity.WordModel(scores)
-    assert model.score("nasty") > 1 and model.score("nastily") > 1
-    assert model.score("the") < 0 and model.score("other") == -toxicity.WORD_COST
+# --- the method in plain Python, word by word ---
+
+def plain_words(text):
+    """Runs of letters; pairs of neighbours in scripts without spaces."""
+    def unspaced(c):
+        return any(low <= ord(c) <= high for low, high in UNSPACED_SCRIPTS)
+
+    words = []
+    for run in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for kind, part in itertools.groupby(run, unspaced):
+            part = "".join(part)
+            words += [part[i:i + 2] for i in range(max(1, len(part) - 1))] if kind else [part]
+    return words
+
+
+def plain_nodes(word):
+    return [word[:n] for n in (4, 5, 6) if len(word) > n] + [word + "."]
+
+
+def plain_scores(texts):
+    """word -> score, from (text, toxic)."""
+    counts = {1: Counter(), 0: Counter()}
+    for text, toxic in texts:
+        counts[toxic].update({n for w in plain_words(text) for n in plain_nodes(w)})
+    totals = Counter(toxic for _, toxic in texts)
+    balance = totals[1] / totals[0]
+    scores = {}
+
+    def odds_and_score(chain):
+        odds, score = 0.0, 0.0
+        for node in chain:
+            if not counts[1][node] and not counts[0][node]:
+                break
+            share = 1 / (1 + math.exp(-odds))
+            yes, no = counts[1][node] + 2 * share, counts[0][node] * balance + 2 * (1 - share)
+            odds = math.log(yes / no)
+            score = math.copysign(max(0.0, abs(odds) - math.sqrt(1 / yes + 1 / max(no, 0.5))), odds)
+        return score
+
+    def score(word):
+        if word not in scores:
+            scores[word] = odds_and_score(plain_nodes(word)) - 1.0
+        return scores[word]
+
+    return score
+
+
+def plain_result(docs, labels):
+    """doc_id -> score, from (doc_id, text) without repeated texts and doc_id -> toxic."""
+    known = [(text, labels[i]) for i, text in docs if i in labels and zlib.crc32(str(i).encode()) % 3 != 1]
+    score = plain_scores(known)
+
+    def scan(text):
+        scores = [score(w) for w in plain_words(text)]
+        runs = [sum(scores[a:b]) for a, b in brute_segments(scores)]
+        return scores, runs, max(runs, default=max(scores, default=None))
+
+    clean = [scan(text) for text, toxic in known if not toxic]
+    bins = Counter(round(x * 20) / 20 for scores, _, _ in clean for x in scores)
+    number = sum(bins.values())
+    low, high = 0.0, 1.0
+    excess = lambda rate: sum(n / number * math.exp(rate * x) for x, n in bins.items()) - 1
+    if not any(x > 0 for x in bins):
+        rate = 1.0
+    else:
+        while excess(high) < 0:
+            low, high = high, 2 * high
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (low, middle) if excess(middle) >= 0 else (middle, high)
+        rate = high
+    log_k = sum(rate * best - math.log(len(scores)) for scores, _, best in clean if scores) / sum(bool(s) for s, _, _ in clean) - np.euler_gamma
+
+    def evidence(text):
+        scores, runs, _ = scan(text)
+        chances = [-math.expm1(-math.exp(log_k + math.log(len(scores)) - rate * run)) for run in runs]
+        return min(300.0, sum(-math.log(max(p, 1e-300)) for p in chances if p < 0.05))
+
+    points = [(round(evidence(text) * 20) / 20, toxic) for text, toxic in known]
+    x, y = np.array([[e, 1.0] for e, _ in points]), np.array([float(t) for _, t in points])
+    w = np.zeros(2)
+    for _ in range(20_000):  # small steps uphill, to the same optimum
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
+        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
+        w += 0.2 * step
+        if np.abs(step).max() < 1e-10:
+            break
+    return {i: 1 / (1 + math.exp(-(w[0] * evidence(text) + w[1]))) for i, text in docs}
+
+
+def word_score(model, words):
+    found = model.nodes.toArrow()
+    table = word_nodes.NodeScores(found.column("key").to_numpy().view(np.uint64), found.column("score").to_numpy())
+    return {w: float(table.of_words(word_nodes.Units([w]))[0]) - toxicity.WORD_COST for w in words}
+
+
+def test_words_of_many_texts():
+    texts = ["The Quick-brown fox_2 jumps", "", "ÉTÉ déjà İstanbul", "漢字かな交じり文 and 東 京", "a1b2c3 __ ", "ภาษาไทย x", "word " * 40]
+    units = word_nodes.Units([t.lower() for t in texts])
+    joined = "\n".join(t.lower() for t in texts)
+    for i, text in enumerate(texts):
+        at = slice(units.edges[i], units.edges[i + 1])
+        assert [joined[a:b] for a, b in zip(units.starts[at], units.ends[at])] == plain_words(text), text
+    words = [w for t in texts for w in plain_words(t)]
+    assert len(set(units.keys.tolist())) == len(set(words))
+
+
+def test_long_texts_are_cut_between_words(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"word{chr(97 + k)}" for k in rng.integers(0, 26, n)) for n in (3, 400, 0, 90, 1)] + [None]
+    column = pa.array(texts, pa.string())
+
+    def lengths():
+        return [list(map(int, x)) for x in word_nodes.by_row(column, lambda u: u.keys % np.uint64(10**9))]
+
+    def nodes():
+        return sorted(zip(*[x.tolist() for x in word_nodes.distinct_nodes(column)]))
+
+    whole, whole_nodes = lengths(), nodes()
+    monkeypatch.setattr(word_nodes, "CHUNK", 60)
+    assert lengths() == whole and [len(x) for x in whole] == [3, 400, 0, 90, 1, 0] and nodes() == whole_nodes
+
+
+def test_looking_up_nodes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 2, 1000):
+        keys = np.unique(np.concatenate((rng.integers(0, 2**64, n, dtype=np.uint64), np.array([0, 2**64 - 2], np.uint64)[:n])))
+        table = word_nodes.NodeScores(keys[::-1].copy(), np.arange(len(keys))[::-1].astype(float))
+        assert table.find(keys).tolist() == list(range(len(keys)))
+        assert np.isnan(table.find(np.array([5, 2**63, 2**64 - 3], np.uint64))).all()
+
+
+def test_prefixes_carry_over_to_unseen_words(spark):
+    rows = [("nasty the", 1)] * 40 + [("the end", 0)] * 60
+    model = toxicity.word_model(spark.createDataFrame(rows, "text string, toxic int"))
+    scores = word_score(model, ["nasty", "nastily", "the", "other", "nast"])
+    assert scores["nasty"] > 1 and scores["nastily"] > 1 and scores["the"] <= -1
+    assert scores["other"] == scores["nast"] == -toxicity.WORD_COST
 
 
 def test_rare_toxic_words_count_beside_many_ordinary_ones(spark):
@@ -54,30 +192,19 @@ def test_rare_toxic_words_count_beside_many_ordinary_ones(spark):
     letters = "abcdefghijklmnopqrst"
     ordinary = " ".join("".join(w) for w in itertools.islice(itertools.product(letters, repeat=4), 60_000))
     rows = [(f"{ordinary} zzzz" if i < 3 else ordinary, 1) for i in range(5)] + [(f"{ordinary} {i}", 0) for i in range(5)]
-    model = toxicity.word_model(spark.createDataFrame(rows, "text string, toxic int"))
-    assert model.score("zzzz") > -toxicity.WORD_COST
-    assert model.score("aaaa") == model.score("zzzy") == -toxicity.WORD_COST
+    scores = word_score(toxicity.word_model(spark.createDataFrame(rows, "text string, toxic int")), ["zzzz", "aaaa", "zzzy"])
+    assert scores["zzzz"] > -toxicity.WORD_COST and scores["aaaa"] == scores["zzzy"] == -toxicity.WORD_COST
 
 
-def test_nodes_left_out_change_no_score(spark, corpus_docs):
+def test_words_score_as_word_by_word(spark, corpus_docs):
+    """All words of the given texts, also those of a single one, and none that the table leaves out changes."""
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
-    texts = toxicity.training_texts(corpus_docs, labels).collect()
-    toxic, clean = (
-        Counter(n for r in texts if r.toxic == label for n in {n for w in toxicity.words_of(r.text.encode()) for n in toxicity.nodes_of(w)})
-        for label in (1, 0)
-    )
-    totals = Counter(r.toxic for r in texts)
-    known = {n: k for n, k in toxic.items() if k >= toxicity.LEAST_TOXIC}
-    whole = toxicity.WordModel(toxicity.smoothed(known, clean, totals[1] / totals[0]))
-    model = toxicity.word_model(spark.createDataFrame(texts))
-    words = {w for r in texts for w in toxicity.words_of(r.text.encode())}
-    assert len(words) > 1000 and all(model.score(w) == whole.score(w) for w in words)
-
-
-def test_rate_solves_its_equation():
-    scores, counts = np.array([-1.0, 2.0]), np.array([9.0, 1.0])
-    rate = toxicity.rate_of(scores, counts)
-    assert 0.9 * np.exp(-rate) + 0.1 * np.exp(2 * rate) == pytest.approx(1)
+    texts = [(r.text, r.toxic) for r in toxicity.training_texts(corpus_docs, labels).collect()]
+    score = plain_scores(texts)
+    words = {w for text, _ in texts for w in plain_words(text)}
+    model = toxicity.word_model(spark.createDataFrame(texts, "text string, toxic int"))
+    found = word_score(model, words)
+    assert len(words) > 1000 and all(found[w] == pytest.approx(score(w), abs=1e-9) for w in words)
 
 
 @pytest.fixture(scope="module")
@@ -94,6 +221,26 @@ def labelled(make_docs, spark):
     return make_docs(rows), spark.createDataFrame(marks, "doc_id bigint, toxic int"), dict(marks)
 
 
+@pytest.mark.parametrize("most_sent", [0, toxicity.MOST_SENT])
+def test_scores_are_those_of_the_method_in_plain_python(labelled, make_docs, most_sent):
+    """Whether the nodes are sent or joined; texts with scripts without spaces and unknown words among them."""
+    docs, labels, marks = labelled
+    rows = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    further = {9001: "stupidly 漢字かな moronic stupidest", 9002: "", 9003: "unknown words only", 9004: "Stupidly! MORONIC? stupids"}
+    model = toxicity.fit(docs, labels, most_sent)
+    assert (model.words.size > most_sent) == (most_sent == 0)
+    found = {r.doc_id: r.score for r in toxicity.scored(docs.select("doc_id", "text").unionAll(make_docs(list(further.items())).select("doc_id", "text")), model).collect()}
+    expected = plain_result(sorted(rows.items()) + sorted(further.items()), marks)
+    assert found.keys() == expected.keys()
+    assert max(abs(found[i] - expected[i]) for i in found) < 1e-6
+
+
+def test_rate_solves_its_equation():
+    scores, counts = np.array([-1.0, 2.0]), np.array([9.0, 1.0])
+    rate = toxicity.rate_of(scores, counts)
+    assert 0.9 * np.exp(-rate) + 0.1 * np.exp(2 * rate) == pytest.approx(1)
+
+
 def test_held_out_accuracy(labelled):
     docs, labels, marks = labelled
     rows = toxicity.scored(docs, toxicity.fit(docs, labels)).collect()
@@ -122,6 +269,14 @@ def test_passages_lie_on_toxic_words(labelled):
         assert any(w.startswith(("stupid", "moron")) for w in texts[r.doc_id][r.start:r.stop])
 
 
+def test_bytes_that_are_no_text(spark, labelled):
+    docs, labels, _ = labelled
+    model = toxicity.fit(docs, labels)
+    broken = spark.sql("SELECT 1 AS doc_id, cast(unhex('73747570696420FF20E282') AS string) AS text")
+    row, = toxicity.scored(broken, model).collect()
+    assert row.doc_id == 1 and 0 <= row.score <= 1
+
+
 def test_odd_rows(odd_docs, no_docs, labelled, spark):
     docs, labels, _ = labelled
     model = toxicity.fit(docs, labels)
