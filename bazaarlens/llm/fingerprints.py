@@ -3,8 +3,9 @@
 The five-word shingles of a text are hashed once. The high bits of a hash name a bin, the rest is its value, and a
 bin holds its smallest value. Bins that stay empty borrow from a filled one by optimal densification: a
 fixed sequence of hash draws per bin, the first filled bin it names. Only the low bits of each bin are
-kept, packed, as a hex string. Two fingerprints agree in a bin by chance with probability 2**-BITS, and the
-likeness corrects for that.
+kept, packed, as a hex string, after the value is mixed with the bin's number: bins that borrowed the same value then
+agree or not independently of each other. Two fingerprints agree in a bin by chance with probability 2**-BITS, and
+the likeness corrects for that.
 
 ``successors`` gives each document the next one by ascending doc_id without sorting the corpus in one
 task: ids are cut into ranges at quantiles, and the first document of a range is also sent to the range
@@ -13,7 +14,7 @@ before it.
 Defined results: a null or empty text, or one of white space only, has no shingles and the fingerprint
 "" (likeness 1 to another such, 0 to any other); a text of one to four words has one shingle; repeated rows follow each other by
 text, so that the next document of a repeated row is its copy; null ids come first; the only row of a table is its own next
-document; an empty table gives no rows.
+document; bytes that are not UTF-8 are characters of their own (U+FFFD) in edited texts; long texts are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,6 +47,12 @@ def _draws(bins: int, attempt_block: int, block: int = 64) -> np.ndarray:
     return (seeds % np.uint64(bins)).astype(np.int64)
 
 
+@functools.lru_cache(maxsize=4)
+def _bin_marks(bins: int) -> np.ndarray:
+    """A number for each bin, so that one value has other low bits in each."""
+    return mixed(np.arange(1, bins + 1, dtype=np.uint64) << np.uint64(40))
+
+
 def bin_minima(shingles: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The smallest hash in each bin, empty bins filled by optimal densification; needs one shingle at least.
 
@@ -72,7 +79,7 @@ def fingerprint(raw: bytes, bins: int = BINS, bits: int = BITS) -> str:
     shingles = shingle_set(raw)
     if not len(shingles):
         return ""
-    low = (mixed(bin_minima(shingles, bins)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    low = (mixed(bin_minima(shingles, bins) ^ _bin_marks(bins)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
     unpacked = (low[:, None] >> np.arange(bits - 1, -1, -1, dtype=np.uint8)) & 1
     return np.packbits(unpacked.ravel()).tobytes().hex()
 
@@ -175,7 +182,7 @@ def compare_with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             extras = batch.column(3).to_pylist()
             ranges_here = batch.column(2).to_pylist()
             for i, raw in enumerate(raw_texts(batch.column(1))):
-                text = raw.decode()
+                text = raw.decode(errors="replace")
                 now = (batch.column(0).slice(i, 1), text, fingerprint(raw), ranges_here[i])
                 if last is not None and last[3] == now[3]:
                     change = edited(last[1], text)

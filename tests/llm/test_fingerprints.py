@@ -68,3 +68,48 @@ def test_odd_rows(odd_docs, no_docs, make_docs):
     assert alone[1][5] == 1.0
     assert fp.likeness("", "") == 1.0 and fp.likeness("", fp.fingerprint(b"a")) == 0.0
     assert fp.fingerprints(odd_docs).count() == odd_docs.count()
+
+
+def splitmix(value):
+    value &= (1 << 64) - 1
+    value = ((value ^ (value >> 30)) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
+    value = ((value ^ (value >> 27)) * 0x94D049BB133111EB) & (1 << 64) - 1
+    return value ^ (value >> 31)
+
+
+def plain_fingerprint(shingles):
+    """Bin by bin: the smallest hash of the bin, or of the first filled one that the bin's draws name."""
+    filled = {}
+    for value in shingles:
+        filled[value >> 56] = min(value, filled.get(value >> 56, value))
+    digits = []
+    for place in range(256):
+        donor, attempt = place, 0
+        while donor not in filled:
+            donor = splitmix((place << 32) + attempt + 1) % 256
+            attempt += 1
+        digits.append(f"{splitmix(filled[donor] ^ splitmix(place + 1 << 40)) & 15:x}")
+    return "".join(digits)
+
+
+def test_fingerprints_bin_by_bin():
+    rng = random.Random(6)
+    for n in (1, 3, 5, 8, 60, 900, 5000):
+        raw = " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)).encode()
+        assert fp.fingerprint(raw) == plain_fingerprint(shingle_set(raw).tolist())
+
+
+def test_different_short_texts_are_not_alike():
+    """A text of up to five words has one shingle, which fills all bins."""
+    rng = random.Random(7)
+    for n in range(1, 11):
+        prints = [fp.fingerprint(" ".join(f"w{k}x{rng.randrange(10**9)}" for k in range(n)).encode()) for _ in range(4000)]
+        assert len(set(prints)) == 4000
+        found = [fp.likeness(a, b) for a, b in zip(prints[::2], prints[1::2])]
+        assert max(found) < 0.3 and sum(found) / len(found) < 0.01, n
+
+
+def test_bytes_that_are_no_text(spark):
+    broken = spark.sql("SELECT 1 AS doc_id, cast(unhex('6120FF20E28220622063') AS string) AS text UNION ALL SELECT 2, 'a b c d e'")
+    rows = {r.doc_id: r for r in fp.compare_with_next(broken).collect()}
+    assert len(rows) == 2 and rows[1].n_chars == 9 and rows[1].near_next < 0.3
