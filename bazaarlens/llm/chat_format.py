@@ -2,8 +2,14 @@
 
 A layout is recognised by its schema fingerprint: the hash of its nested field paths. Each known layout
 has a declarative mapping from its fields to canonical turns (conv_id, conv_key, turn, role, text). Tables are mapped by
-the fingerprint of their schema; columns of JSON records by the fingerprint of each record, so one
-column may mix layouts. Fields that no layout names do not change a fingerprint.
+the fingerprint of their schema; columns of JSON records by the fingerprint of each record's own paths, so one
+column may mix layouts. Fields that no layout names do not change a fingerprint. Besides its own fields, every layout of
+whole conversations takes a ``system`` text, which becomes the first turn, and a ``history`` of earlier turns, as pairs or as
+turns, which come next. A text may be a list of text parts.
+
+No text is lost without a trace: a JSON record with a text that its layout has no place for (a second answer of a preference
+pair, a part that is an image's address) stays in ``unmatched`` as a whole, unless the field is one of ``METADATA``.
+``unmapped_columns`` names the columns of a table that its layout leaves out.
 
 conv_key names a conversation: its id as text, or for a record without id a hash of its turns and a number
 among the records with the same turns. conv_id is the id where it is a whole number, else null.
@@ -14,13 +20,15 @@ with the span of it that a model is trained on (the assistant's text), so a conv
 over tasks until something has to read it as a whole.
 
 Defined results: a null text or role is empty; turns with equal numbers follow each other by role and text, a null
-number first; repeated rows are repeated turns; turns in rows with a null conv_id are a conversation of their own; an empty
-table has no turns; a record that gives no turns, of no known layout for instance, stays in ``unmatched``.
+number first; repeated rows are repeated turns; turns in rows with a null conv_id are a conversation of their own; turn numbers
+that are no numbers are null; long texts are whole; an empty table has no turns; a record that gives no turns, of no known layout
+for instance, stays in ``unmatched``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -35,6 +43,13 @@ ROLES = {
     "chatbot": "assistant",
 }
 
+#: Fields of a record that say something about it and are no part of what was said.
+METADATA = (
+    "id", "conv_id", "conversation_id", "uuid", "type", "name", "model", "source", "dataset", "split", "category", "tags",
+    "lang", "language", "license", "url", "created_at", "timestamp", "weight", "score", "n",
+)
+SYSTEM, HISTORY = "system", "history"
+
 
 # --- layouts ---
 
@@ -105,25 +120,65 @@ def _text(value: Column) -> Column:
     return F.coalesce(value.cast("string"), F.lit(""))
 
 
-def _said(layout: Layout, get) -> Column:
-    """The array of a record's turns (turn, role, text) by its layout's mapping; ``get`` makes a column of a path."""
-    if layout.row:
-        turn, role, text = layout.row
-        return F.array(F.struct(
-            get(turn).try_cast("bigint").alias("turn"), _text(get(role)).alias("role"), _text(get(text)).alias("text"),
-        ))
-    if layout.turns:
-        return F.transform(get(layout.turns), lambda t, i: F.struct(
-            i.cast("bigint").alias("turn"), _role(t[layout.role]).alias("role"), _text(t[layout.text]).alias("text"),
-        ))
+def _numbered(turns: Column) -> Column:
+    """Turns (role, text) with their place as number."""
+    return F.transform(turns, lambda t, i: F.struct(i.cast("bigint").alias("turn"), t["role"].alias("role"), t["text"].alias("text")))
+
+
+def _turn(role: Column, text: Column) -> Column:
+    return F.struct(role.alias("role"), text.alias("text"))
+
+
+def _parts(layout: Layout, get) -> Column:
+    """The turns (role, text) of a layout with parts; ``get`` gives the text of a path."""
     return F.array(*[
-        F.struct(F.lit(i).cast("bigint").alias("turn"), F.lit(role).alias("role"), F.concat_ws("\n\n", *[
-            F.when(_text(get(p)) != "", _text(get(p))) for p in paths
-        ]).alias("text"))
-        for i, (role, paths) in enumerate(layout.parts)
+        _turn(F.lit(role), F.concat_ws("\n\n", *[F.when(get(p) != "", get(p)) for p in paths])) for role, paths in layout.parts
     ])
 
 
+def _said(layout: Layout, df: DataFrame) -> Column:
+    """The array of a row's turns (turn, role, text) by its layout's mapping."""
+    said = F.transform(layout.turns, lambda t: _turn(_role(t[layout.role]), _text(t[layout.text]))) if layout.turns else (
+        _parts(layout, lambda path: _text(F.col(path))))
+    kinds = dict(df.dtypes)
+    before = []
+    if kinds.get(SYSTEM) == "string":
+        before.append(F.when(_text(F.col(SYSTEM)) != "", F.array(_turn(F.lit("system"), F.col(SYSTEM)))))
+    if _pairs(kinds):
+        before.append(F.flatten(F.transform(HISTORY, lambda pair: F.transform(pair, lambda t, i: _turn(_speaker(i), _text(t))))))
+    elif _past(df):
+        role, text = _past(df)
+        before.append(F.transform(HISTORY, lambda t: _turn(_role(t[role]), _text(t[text]))))
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    return _numbered(F.concat(*[F.coalesce(x, none) for x in (*before, said)])) if before else _numbered(said)
+
+
+def _speaker(place: Column) -> Column:
+    return F.when(place % 2 == 0, F.lit("user")).otherwise(F.lit("assistant"))
+
+
+def _pairs(kinds: dict[str, str]) -> bool:
+    return kinds.get(HISTORY) == "array<array<string>>"
+
+
+def _past(df: DataFrame) -> tuple[str, str] | None:
+    """The fields of the turns of a table's history, if it has one."""
+    kind = df.schema[HISTORY].dataType if HISTORY in df.columns else None
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+        return next(((x.role, x.text) for x in LAYOUTS if x.turns and {x.role, x.text} <= set(kind.elementType.names)), None)
+    return None
+
+
+def unmapped_columns(df: DataFrame) -> list[str]:
+    """The columns of a table with text that its layout leaves out, but for metadata."""
+    layout = recognised(field_paths(df.schema))
+    named = {p.split("[]")[0].split(".")[0] for p in layout.paths} if layout else set()
+    if layout and not layout.row:
+        named |= {SYSTEM} if dict(df.dtypes).get(SYSTEM) == "string" else set()
+        named |= {HISTORY} if _pairs(dict(df.dtypes)) or _past(df) else set()
+    return [c for c, kind in df.dtypes if "string" in kind and c not in named and c not in METADATA]
+
+
 def _turns(records: DataFrame) -> DataFrame:
     """The turns of records (id, said); each record without id is a conversation of its own."""
     # Equal records are counted before they are numbered, so that one with many copies leaves each task as one row.
@@ -145,67 +200,129 @@ def canonical_turns(df: DataFrame) -> DataFrame:
     if layout.row:
         turn, role, text = layout.row
         return df.select(
-            key.try_cast("bigint").alias("conv_id"), key.alias("conv_key"), F.col(turn).cast("bigint").alias("turn"),
+            key.try_cast("bigint").alias("conv_id"), key.alias("conv_key"), F.col(turn).try_cast("bigint").alias("turn"),
             _text(F.col(role)).alias("role"), _text(F.col(text)).alias("text"),
         )
-    return _turns(df.select(key.alias("id"), _said(layout, F.col).alias("said")))
+    return _turns(df.select(key.alias("id"), _said(layout, df).alias("said")))
 
 
-def _record_type(layout: Layout) -> T.StructType:
-    """The type that a record of a layout is read as."""
-    fields = [T.StructField("conv_id", T.StringType())]
-    if layout.turns:
-        element = T.StructType([T.StructField(layout.role, T.StringType()), T.StructField(layout.text, T.StringType())])
-        return T.StructType([*fields, T.StructField(layout.turns, T.ArrayType(element))])
-    return T.StructType([*fields, *[T.StructField(p, T.StringType()) for p in layout.paths if p != "conv_id"]])
+# --- JSON records ---
 
+class Unmapped(Exception):
+    """A record has text that its layout has no place for."""
 
-def record_fingerprint(record: Column, layouts: Sequence[Layout] = LAYOUTS) -> Column:
-    """The fingerprint of the layout that a JSON record has, null if none.
 
-    The schema of a record lists its fields by name at each level. A path that a layout names is there if
-    the schema shows it, so the paths present are hashed, layout by layout, like those of a table.
-    """
-    parsed = F.try_parse_json(record)
-    found = F.lit(None).cast("string")
-    for layout in reversed(layouts):
-        present = [
-            F.when(_has(parsed, path), F.lit(path)) for path in sorted(layout.paths)
-        ]
-        digest = F.substring(F.sha2(F.concat_ws("\n", *present), 256), 1, 16)
-        found = F.when(digest == layout.fingerprint, F.lit(layout.fingerprint)).otherwise(found)
-    return found
-
-
-def _has(parsed: Column, path: str) -> Column:
-    """Whether a record has a path; a field of array elements is there if any element has it."""
-    if "[]." not in path:
-        return F.try_variant_get(parsed, "$." + path, "variant").isNotNull()
-    array, field = path.split("[].")
-    elements = F.try_variant_get(parsed, "$." + array, "array<variant>")
-    return F.coalesce(
-        F.exists(elements, lambda e: F.try_variant_get(e, "$." + field, "variant").isNotNull()), F.lit(False),
-    )
+def _node_paths(value, stem: str = "") -> set[str]:
+    """The paths of all nodes of a JSON value; [] stands for the elements of an array."""
+    if isinstance(value, dict):
+        parts = [(f"{stem}.{k}" if stem else k, v) for k, v in value.items()]
+    else:
+        parts = [(f"{stem}[]", v) for v in value] if isinstance(value, list) else []
+    return {p for p, _ in parts}.union(*[_node_paths(v, p) for p, v in parts])
+
+
+def _has_text(value) -> bool:
+    if isinstance(value, dict | list):
+        return any(map(_has_text, value.values() if isinstance(value, dict) else value))
+    return isinstance(value, str) and value != ""
+
+
+def _record_text(value) -> str:
+    """A text, or the text parts of a list between blank lines."""
+    if value is None or isinstance(value, str):
+        return value or ""
+    if isinstance(value, list):
+        parts = [part.get("text") if isinstance(part, dict) else part for part in value]
+        if all(isinstance(part, str) for part in parts):
+            return "\n\n".join(parts)
+    if isinstance(value, list | dict):
+        raise Unmapped
+    return json.dumps(value)
+
+
+def _leave_no_text(record: dict, named: Sequence[str]) -> None:
+    if any(_has_text(v) for k, v in record.items() if k not in named and k not in METADATA):
+        raise Unmapped
+
+
+def _canonical_role(name: str) -> str:
+    return ROLES.get(name.lower(), name)
+
+
+def _listed_turns(elements, role: str, text: str) -> list[tuple[str, str]]:
+    if not isinstance(elements, list) or not all(isinstance(e, dict) for e in elements):
+        raise Unmapped
+    for e in elements:
+        _leave_no_text(e, (role, text))
+    return [(_canonical_role(_record_text(e.get(role))), _record_text(e.get(text))) for e in elements]
+
+
+def _earlier_turns(history) -> list[tuple[str, str]]:
+    if not history:
+        return []
+    if isinstance(history, list) and all(isinstance(pair, list) for pair in history):
+        return [(("user", "assistant")[i % 2], _record_text(t)) for pair in history for i, t in enumerate(pair)]
+    for layout in LAYOUTS:
+        if layout.turns and isinstance(history, list) and any(isinstance(e, dict) and layout.text in e for e in history):
+            return _listed_turns(history, layout.role, layout.text)
+    raise Unmapped
+
+
+def record_turns(record: dict, layouts: Sequence[Layout] = LAYOUTS) -> tuple[Layout, list[tuple[str, str]]]:
+    """The layout of a record and its turns (role, text) by the layout's mapping; fails if text would be lost."""
+    layout = recognised(sorted(_node_paths(record)), layouts)
+    if layout is None:
+        raise Unmapped
+    named = {p.split("[]")[0] for p in layout.paths}
+    if layout.row:
+        _leave_no_text(record, named)
+        return layout, [(_record_text(record.get(layout.row[1])), _record_text(record.get(layout.row[2])))]
+    _leave_no_text(record, {*named, SYSTEM, HISTORY})
+    system = _record_text(record.get(SYSTEM))
+    turns = [("system", system)] if system else []
+    turns += _earlier_turns(record.get(HISTORY))
+    if layout.turns:
+        return layout, turns + _listed_turns(record[layout.turns], layout.role, layout.text)
+    texts = {p: _record_text(record.get(p)) for p in layout.paths}
+    return layout, turns + [(role, "\n\n".join(texts[p] for p in paths if texts[p])) for role, paths in layout.parts]
+
+
+def _mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(record, id, place, one_turn, turns): turns null for a record that gives none, place the number of a turn row."""
+    turn = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
+    for batch in batches:
+        rows = []
+        for text in batch.column(0).to_pylist():
+            row = (text, None, None, False, None)
+            try:
+                record = json.loads(text) if text else None
+                if isinstance(record, dict):
+                    layout, turns = record_turns(record)
+                    name = record.get("conv_id")
+                    name = name if name is None or isinstance(name, str) else json.dumps(name)
+                    place = str(record.get(layout.row[0])) if layout.row else None
+                    said = [{"role": r, "text": t} for r, t in turns]
+                    row = (text if not said else None, name, place, bool(layout.row), said or None)
+            except (ValueError, RecursionError, Unmapped):
+                pass
+            rows.append(row)
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), turn]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["record", "id", "place", "one_turn", "turns"])
 
 
 def canonical_turns_of_records(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     """The turns of a column of JSON records in mixed layouts, and the records that give none."""
-    key, said, rows = F.lit(None).cast("string"), F.lit(None), []
-    for name, layout in BY_FINGERPRINT.items():
-        read = F.from_json("record", _record_type(layout))
-        here = F.col("layout_key") == name
-        key = F.when(here, read["conv_id"]).otherwise(key)
-        said = F.when(here, _said(layout, lambda path, read=read: read[path])).otherwise(said)
-        rows += [name] if layout.row else []
-    marked = df.select(F.col(column).alias("record")).withColumn("layout_key", record_fingerprint(F.col("record")))
-    mapped = marked.select("record", "layout_key", key.alias("id"), said.alias("said"))
-    matched = F.coalesce(F.size("said") > 0, F.lit(False))
-    one_turn = F.col("layout_key").isin(rows)
-    single = mapped.where(matched & one_turn).select("id", F.explode("said").alias("said")).select(
-        F.col("id").try_cast("bigint").alias("conv_id"), F.col("id").alias("conv_key"), "said.turn", "said.role", "said.text",
+    mapped = df.select(F.col(column).cast("string").alias("record")).mapInArrow(
+        _mapped, "record string, id string, place string, one_turn boolean, turns array<struct<role:string,text:string>>",
+    )
+    said = mapped.where("turns IS NOT NULL")
+    single = said.where("one_turn").select("id", "place", F.explode("turns").alias("said")).select(
+        F.col("id").try_cast("bigint").alias("conv_id"), F.col("id").alias("conv_key"), F.col("place").try_cast("bigint").alias("turn"),
+        "said.role", "said.text",
     )
-    whole = _turns(mapped.where(matched & ~one_turn).select("id", "said"))
-    return whole.unionAll(single), mapped.where(~matched).select("record")
+    whole = _turns(said.where("NOT one_turn").select("id", _numbered(F.col("turns")).alias("said")))
+    return whole.unionAll(single), mapped.where("turns IS NULL").select("record")
 
 
 # --- template ---

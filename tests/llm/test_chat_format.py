@@ -67,7 +67,7 @@ RECORDS = {
     "instruction": {"conv_id": 4, "instruction": "hi", "output": "ho"},
     "instruction_input": {"conv_id": 5, "instruction": "hi", "input": None, "output": "ho", "x": {"y": [1]}},
     "prompt_completion": {"conv_id": 6, "prompt": "hi", "completion": "ho"},
-    "prompt_response": {"conv_id": 7, "prompt": "hi", "response": "ho", "text": "other"},
+    "prompt_response": {"conv_id": 7, "prompt": "hi", "response": "ho", "text": ""},
     "question_answer": {"conv_id": 8, "question": "hi", "answer": "ho"},
 }
 
@@ -144,6 +144,64 @@ def test_every_record_is_in_turns_or_unmatched(spark):
     assert sorted(left, key=str) == sorted([*map(json.dumps, unknown), "no json", None], key=str)
 
 
+def test_every_text_is_in_turns_or_unmatched(spark):
+    """System texts, histories and lists of parts are mapped; what a layout has no place for keeps its record out."""
+    parts = [{"type": "text", "text": "one"}, {"type": "text", "text": "two"}]
+    known = {
+        "a": ({"system": "be kind", "instruction": "hi", "output": "ho"}, [("system", "be kind"), ("user", "hi"), ("assistant", "ho")]),
+        "b": ({"prompt": "and?", "completion": "ho", "history": [["q1", "a1"], ["q2", "a2"]]},
+              [("user", "q1"), ("assistant", "a1"), ("user", "q2"), ("assistant", "a2"), ("user", "and?"), ("assistant", "ho")]),
+        "c": ({"question": "hi", "answer": "ho", "system": "s", "history": [{"role": "human", "content": "q"}, {"role": "assistant", "content": "a"}]},
+              [("system", "s"), ("user", "q"), ("assistant", "a"), ("user", "hi"), ("assistant", "ho")]),
+        "d": ({"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": ["x", "y"]}]}, [("user", "one\n\ntwo"), ("assistant", "x\n\ny")]),
+        "e": ({"conversations": [{"from": "human", "value": "hi"}], "system": "s", "model": "m"}, [("system", "s"), ("user", "hi")]),
+        "f": ({"prompt": "hi", "response": "ho", "system": None, "history": [], "x": 3, "note": ""}, [("user", "hi"), ("assistant", "ho")]),
+        "g": ({"prompt": parts, "completion": "é" * 200_000}, [("user", "one\n\ntwo"), ("assistant", "é" * 200_000)]),
+        "h": ({"messages": [{"role": "user", "content": None, "name": "n"}]}, [("user", "")]),
+    }
+    unknown = [
+        {"prompt": "hi", "chosen": "ho", "rejected": "no"}, {"prompt": "hi", "response": "ho", "chosen": "x"},
+        {"messages": [{"role": "user", "content": [{"type": "image_url", "image_url": "http://x"}]}]},
+        {"messages": [{"role": "user", "content": "hi", "thought": "secret"}]}, {"messages": [{"role": "user", "content": "hi"}, "loose"]},
+        {"instruction": "hi", "output": {"deep": "text"}}, {"prompt": "hi", "completion": "ho", "history": "text"},
+        {"prompt": "hi", "completion": "ho", "history": [["q", {"a": 1}]]}, {"prompt": "hi", "completion": "ho", "extra": {"a": ["text"]}},
+        {"conv_id": 1, "turn": 0, "role": "user", "text": "hi", "system": "s"}, {"prompt": "hi", "completion": "ho", "system": {"a": 1}},
+    ]
+    rows = [json.dumps({"conv_id": i, **r}) for i, (r, _) in known.items()] + [json.dumps(r) for r in unknown]
+    turns, unmatched = chat.canonical_turns_of_records(spark.createDataFrame([(r,) for r in rows], "record string"), "record")
+    found = conversations_of(turns)
+    assert {k: [t[1:] for t in v] for k, v in found.items()} == {i: said for i, (_, said) in known.items()}
+    assert all([t[0] for t in v] == list(range(len(v))) for v in found.values())
+    assert sorted(r.record for r in unmatched.collect()) == sorted(map(json.dumps, unknown))
+
+
+def test_tables_with_system_and_history(spark):
+    pairs = spark.createDataFrame(
+        [("s", "hi", "ho", [["q", "a"]], "x"), (None, "hi", "ho", None, "x"), ("", "hi", "ho", [], "x")],
+        "system string, prompt string, completion string, history array<array<string>>, comment string",
+    )
+    said = sorted([t[1:] for t in v] for v in conversations_of(chat.canonical_turns(pairs)).values())
+    pair = [("user", "hi"), ("assistant", "ho")]
+    assert said == sorted([[("system", "s"), ("user", "q"), ("assistant", "a"), *pair], pair, pair])
+    assert chat.unmapped_columns(pairs) == ["comment"]
+    turns = spark.createDataFrame(
+        [(1, "hi", "ho", [("human", "q")])], "conv_id int, question string, answer string, history array<struct<from:string,value:string>>",
+    )
+    assert conversations_of(chat.canonical_turns(turns)) == {"1": [(0, "user", "q"), (1, "user", "hi"), (2, "assistant", "ho")]}
+    assert chat.unmapped_columns(turns) == []
+
+
+def test_turn_numbers_that_are_none(spark):
+    table = spark.createDataFrame([(1, "x", "user", "hi"), (1, "2", "assistant", "ho")], "conv_id int, turn string, role string, text string")
+    assert [(r.turn, r.text) for r in chat.canonical_turns(table).orderBy("turn").collect()] == [(None, "hi"), (2, "ho")]
+
+
+def test_a_very_long_turn(spark):
+    said = "long <|im_end|> text 🙂 " * 200_000
+    turns = [(1, 0, "user", said), (1, 1, "assistant", said)]
+    assert digested(spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")) == expected(turns)
+
+
 def test_unknown_schema_fails(spark):
     with pytest.raises(ValueError, match="fingerprint"):
         chat.canonical_turns(spark.createDataFrame([(1,)], "foo int"))
