@@ -1,7 +1,9 @@
 """Personal data by weak supervision: labelers vote on spans, EM weighs them, a classifier decides.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers; what they find always counts. Wider
-patterns propose further spans. On each span labelers of three sorts vote yes, no or nothing: patterns, gazetteers
+patterns propose further spans and leave the decision to what follows: addresses whose @ and dots are written out, in brackets
+or as words, in any case and length; runs of hexadecimal groups, compressed ones too; card numbers and national phone numbers
+in many groupings, which dates, times, amounts and order numbers look like as well. On each span labelers of three sorts vote yes, no or nothing: patterns, gazetteers
 (top-level domains, issuer prefixes, calling codes) and context words before the span. Expectation-maximisation
 over the counts of vote combinations estimates how reliable each labeler is, without labelled data; its
 posteriors train a logistic span classifier, which decides on the proposed spans.
@@ -9,12 +11,14 @@ posteriors train a logistic span classifier, which decides on the proposed spans
 A span's votes and shape are one small number, so the corpus is reduced to the counts of these numbers (at most
 MOST_CODES rows) before anything reaches the driver. Texts are scanned once.
 
-Defined results: a null or empty text has no spans; offsets are code points, the end is exclusive; of equal rows each gets
-the same spans; an empty table gives no rows.
+Defined results: a null or empty text has no spans; offsets are code points, the end is exclusive, and bytes that are not
+UTF-8 count as one each or as few as Python's decoder makes of them; long texts are scanned whole; spans that start together come in the
+order of the kinds; of equal rows each gets the same spans; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import re
 from collections.abc import Iterator
 
@@ -53,16 +57,36 @@ _EMAIL_HEAD = re.compile(r"[A-Za-z0-9._%+-]*")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+# An @ written out: in brackets, or as a word if a dot follows that is written out too.
+_DOT = r"(?:[ \t]?[(\[{<][ \t]?dot[ \t]?[)\]}>][ \t]?|[ \t]dot[ \t]|\.)"
+_AT = re.compile(
+    r"[ \t]?[(\[{<][ \t]?at[ \t]?[)\]}>][ \t]?|[ \t]at[ \t](?=[a-z0-9-]+(?:[ \t]?[(\[{<][ \t]?dot\b|[ \t]dot[ \t]))", re.IGNORECASE,
+)
+_WRITTEN_TAIL = re.compile(rf"[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)+", re.IGNORECASE)
+_WRITTEN_HEAD = re.compile(r"[\w.+-]*")
 _WIDE = {
-    "email": re.compile(
-        r"(?<![\w.+-])[A-Za-z0-9][\w.+-]{0,63}(?: ?\(at\) ?| ?\[at\] ?)[A-Za-z0-9-]{1,63}"
-        r"(?:(?: ?\(dot\) ?| ?\[dot\] ?|\.)[A-Za-z0-9-]{1,63}){1,5}"
-    ),
-    "ip": re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])"),
+    "ip": re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])"),
     "card": re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[ ./-]?[0-9]{4}){3}(?![0-9A-Za-z])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+])(?:00[0-9]{1,3}[ .-]?)?\(?0?[0-9]{2,4}\)?[ ./-][0-9]{3}[ ./-][0-9]{4}(?![0-9A-Za-z])"),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z+.,:/-])(?:00[0-9]{1,3}[ .-]?)?\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,8}){1,5}(?![0-9A-Za-z:]|[.,/-][0-9])"
+    ),
 }
 
+# --- fixed values: how national phone numbers are grouped, and what other numbers look like ---
+NATIONAL_PHONES = re.compile(
+    r"\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}"  # North America
+    r"|0[1-9](?:[ .-][0-9]{2}){4}"  # France
+    r"|\(?0[0-9]{2,4}\)?[ -][0-9]{3,4}[ -][0-9]{3,4}|0[0-9]{4}[ -][0-9]{6}"  # United Kingdom
+    r"|\(?0[0-9]{2,5}\)?[ /-][0-9]{5,8}"  # Germany
+    r"|[6-9][0-9]{2}(?:[ .-][0-9]{3}){2}|[6-9][0-9]{2}(?:[ .-][0-9]{2}){3}"  # Spain
+    r"|00[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{2,8}){1,4}"  # with the international prefix
+)
+OTHER_NUMBERS = re.compile(
+    r"[0-9]{4}[-/.][0-9]{2}[-/.][0-9]{2}(?:[ -][0-9]{2,8})?|[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2,4}(?:[ -][0-9]{2,4})*"  # dates
+    r"|[1-9][0-9]{0,2}(?:[ .]000)+|[1-9][0-9](?:[ .][0-9]{3})+|[0-9]{2,}[.][0-9]{2,}"  # amounts
+    r"|(?:[0-9]{4}[ -]){3,4}[0-9]{1,4}"  # cards
+)
+
 
 def luhn(digits: str) -> bool:
     total = sum(map(int, digits[-1::-2])) + sum(sum(divmod(2 * int(d), 10)) for d in digits[-2::-2])
@@ -87,17 +111,34 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, done))
 
 
-def _head(text: str, done: int, at: int) -> int:
+def _head(text: str, done: int, at: int, pattern: re.Pattern = _EMAIL_HEAD) -> int:
     """Characters before an @ that may belong to an address, taken in steps that double."""
     step = 256
     while True:
         start = max(done, at - step)
-        head = _EMAIL_HEAD.match(text[start:at][::-1]).end()
+        head = pattern.match(text[start:at][::-1]).end()
         if head < at - start or start == done:
             return head
         step *= 2
 
 
+def written_emails(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with the @ written out, found from each mark outwards, whatever their length."""
+    done = 0
+    mark = _AT.search(text)
+    while mark:
+        tail = _WRITTEN_TAIL.match(text, mark.end())
+        after = max(mark.start() + 1, mark.end() - 1)
+        if tail:
+            head = _head(text, done, mark.start(), _WRITTEN_HEAD)
+            start = mark.start() - head
+            start += len(text[start:mark.start()]) - len(text[start:mark.start()].lstrip(".+-_"))
+            if start < mark.start():
+                after = done = tail.end()
+                yield start, done
+        mark = _AT.search(text, after)
+
+
 def base_spans(text: str) -> Iterator[tuple[int, int, int]]:
     """(kind, start, end) of the base patterns' matches that pass their checks."""
     for start, end in emails(text):
@@ -119,12 +160,11 @@ def proposed_spans(text: str, base: list[tuple[int, int, int]]) -> Iterator[tupl
     starts = [start for start, _ in taken]
     reach = np.maximum.accumulate([end for _, end in taken]).tolist() if taken else []
     for kind, name in enumerate(KINDS):
-        if name == "email" and "(at)" not in text and "[at]" not in text:
-            continue
-        for m in _WIDE[name].finditer(text):
-            before = int(np.searchsorted(starts, m.end())) - 1  # spans that start before the match ends
-            if before < 0 or reach[before] <= m.start():
-                yield kind, m.start(), m.end()
+        spans = written_emails(text) if name == "email" else (m.span() for m in _WIDE[name].finditer(text))
+        for start, end in spans:
+            before = int(np.searchsorted(starts, end)) - 1  # spans that start before the match ends
+            if before < 0 or reach[before] <= start:
+                yield kind, start, end
 
 
 # --- labelers ---
@@ -135,12 +175,21 @@ LABELERS = ("base_pattern", "checked_format", "gazetteer", "context", "counter_c
 MOST_CODES = len(KINDS) * 2 * 3 ** len(LABELERS)
 
 
+def _is_address(span: str) -> bool:
+    if ":" not in span:
+        return all(len(p) <= 3 for p in span.split("."))
+    try:
+        return ipaddress.IPv6Address(span) is not None
+    except ValueError:
+        return False
+
+
 def _format_vote(name: str, span: str) -> int:
     digits = _digits(span)
     if name == "card":
         return YES if luhn(digits) else NO
     if name == "ip":
-        return YES if ":" in span or all(len(p) <= 3 for p in span.split(".")) else NO
+        return YES if _is_address(span) else NO
     if name == "phone":
         return YES if 9 <= len(digits) <= 15 else NO
     return NOTHING
@@ -155,7 +204,11 @@ def _gazetteer_vote(name: str, span: str) -> int:
         return YES if digits.startswith(ISSUER_PREFIXES) else NO
     if name == "phone" and span[:1] == "+":
         return YES if any(digits[:n] in CALLING_CODES for n in (1, 2)) else NO
+    if name == "phone":
+        return NO if OTHER_NUMBERS.fullmatch(span) else YES if NATIONAL_PHONES.fullmatch(span) else NO
     if name == "ip":
+        if ":" in span:  # addresses that are handed out begin with these digits
+            return YES if span.lower().startswith(("2", "fc", "fd", "fe80")) else NO
         return NO if digits.startswith("0") or span.startswith(("127.", "255.")) else NOTHING
     return NOTHING
 
@@ -167,7 +220,9 @@ def _shape_vote(name: str, span: str) -> int:
     if name == "card":
         return YES if len(marks) <= 1 and len(_digits(span)) in (15, 16) else NO
     if name == "phone":
-        return YES if len(marks) >= 2 else NOTHING
+        return NO if span.count(".") >= 2 and " " in span else YES if len(marks) >= 2 or span.startswith(("0", "(")) else NOTHING
+    if name == "ip" and ":" in span:
+        return YES if span.count(":") >= 2 and any(c in "abcdefABCDEF" for c in span) else NO
     return NOTHING
 
 
@@ -276,7 +331,7 @@ def scanned(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [
-                [dict(zip(("start", "kind", "stop", "code"), c, strict=True)) for c in candidates(raw.decode())]
+                [dict(zip(("start", "kind", "stop", "code"), c, strict=True)) for c in candidates(raw.decode(errors="replace"))]
                 for raw in raw_texts(batch.column(1))
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(span))], ["doc_id", "spans"])
