@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of ``documents``; the last
 one returns token counts and digests. ``run`` writes each stage's result as Parquet below
 ``spark.checkpoint.dir`` and hands the next stage what it reads from there.
+
+Defined results: documents with a null or empty text, or with fewer than ten words, go in the first stage, also with null ids;
+long texts pass whole; repeated rows count as copies of which one stays; of a group of near copies the smallest doc_id stays, and
+of rows with that doc_id the one whose text hash is smallest; columns beside ``text`` pass as they are, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
