@@ -17,20 +17,24 @@ Work is allocated by cost, in rounds that are exact together:
 
 Candidates pass a parity bitmap, which bounds the difference of two sets from below, and are then verified
 on the whole sets. Sets that are equal count as one. Links are contracted to components by joins. No step drops, caps or
-samples candidates, and none emits the pairs of a group that is connected already.
+samples candidates, and none emits the pairs of a group that is connected already. Of a subset that many sets of a task share,
+the task sends on as many members as show that it is costly and marks the others itself, so a passage in most
+documents reaches the task of its subset as a few rows from each.
 
 Defined results: a null or empty text, or one without words, has no shingles and is linked with nothing, not
 even another such; fewer than five words are one shingle; repeated rows are linked by their equal text; a null
-doc_id takes part, but never names a component unless the component has no other id; an empty table gives no rows.
+doc_id takes part, but never names a component unless the component has no other id; long texts are whole, their sets in one
+row each; of equal doc_ids any may stand for a set; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache, partial, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +52,14 @@ MATES = 20
 #: Every such segment of a band may be raised to one deletion. Fewer raised segments mean fewer deletions to index,
 #: more of them mean fewer sets for the last round; sets that lack a few segments need a few raised ones.
 RAISED = 3
+#: Rows that a task holds to cut the members of costly subsets.
+HELD = 1 << 17
 #: Members of a subset that are compared with each other in one task.
 BLOCK = 4096
 
+#: Added to the kind of rows that are marks.
+MARK = 4
+
 _U = np.uint64
 _SALTS = tuple(map(_U, (0xA0761D6478BD642F, 0xE7037ED1A0B428DB)))
 
@@ -204,11 +213,38 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def _subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, member) of each segment subset; of equal sets in a task, only the first."""
+def _cut(held: list[tuple[np.ndarray, ...]], mates: int) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Rows (key, member, ...) by key with no more members of a key than show that it is costly, and the rest."""
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    key = columns[0][order]
+    # A key is long where the row so many places on has it too.
+    beyond = np.zeros(len(key), bool)
+    beyond[mates + 1:] = key[mates + 1:] == key[:-mates - 1]
+    if not beyond.any():
+        return columns, [c[:0] for c in columns]
+    kept, rest = order[~beyond], order[beyond]
+    return [c[kept] for c in columns], [c[rest] for c in columns]
+
+
+def _subset_rows(batches: Iterator[pa.RecordBatch], mates: int, at_once: int) -> Iterator[pa.RecordBatch]:
+    """(key, member, costly) of each segment subset; of equal sets in a task, only the first.
+
+    A row with ``costly`` is a mark already, of that key, and has its member as key, which spreads these rows.
+    """
     seen: set[int] = set()
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        (key, member), (costly, marked) = _cut(held, mates)
+        none = np.arange(len(key) + len(marked)) < len(key)
+        return _batch([
+            pa.array(np.concatenate((key, marked))), pa.array(np.concatenate((member, marked))),
+            pa.array(np.concatenate((key, costly)), mask=none),
+        ], ["key", "member", "costly"], [None] * 3)
+
     for batch in batches:
-        keys, members = [], []
         for raw in raw_texts(batch.column(0)):
             shingles = shingle_set(raw)
             if not len(shingles) or (name := set_id(shingles)) in seen:
@@ -218,15 +254,30 @@ def _subset_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for role in (0, 1):
                 cut = Cut(shingles, sums, role)
                 if cut.exists:
-                    keys.append(cut.subset_keys())
-                    members.append(np.full(len(keys[-1]), name + role, np.int64))
-        if keys:
-            yield _batch([pa.array(np.concatenate(keys)), pa.array(np.concatenate(members))], ["key", "member"], [None] * 2)
+                    keys = cut.subset_keys()
+                    held.append((keys, np.full(len(keys), name + role, np.int64)))
+                    size += len(keys)
+            if size >= at_once:
+                yield sent()
+                held, size = [], 0
+    if held:
+        yield sent()
 
 
-def _deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _deletion_rows(batches: Iterator[pa.RecordBatch], mates: int, at_once: int) -> Iterator[pa.RecordBatch]:
     """(key, member, segment, kind) of raised segments: kind 1 a subset of two or more, 2 one without an element,
-    0 a subset of one element, which others may reach by a deletion."""
+    0 a subset of one element, which others may reach by a deletion. Rows with ``MARK`` added to their kind are marks
+    already, and have their member as key."""
+    held: list[tuple[np.ndarray, ...]] = []
+    size = 0
+
+    def sent() -> pa.RecordBatch:
+        (key, member, segment, kind), (_, marked, its_segment, its_kind) = _cut(held, mates)
+        return _batch([
+            pa.array(np.concatenate(c))
+            for c in ((key, marked), (member, marked), (segment, its_segment), (kind, its_kind + MARK))
+        ], ["key", "member", "segment", "kind"], [None] * 4)
+
     for batch in batches:
         for name, role_0, role_1, shingles in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
@@ -240,11 +291,16 @@ def _deletion_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 segments, deletions = cut.deletion_keys()
                 raised = cut.filled[cut.filled % RAISED == 0]
                 kinds = np.concatenate(((cut.counts[raised] > 1).astype(np.int64), np.full(len(segments), 2)))
-                yield _batch([
-                    pa.array(np.concatenate((cut.keys(raised, cut.sums[raised]), deletions))),
-                    pa.array(np.full(len(kinds), name + role, np.int64)),
-                    pa.array(np.concatenate((raised, segments)).astype(np.int64)), pa.array(kinds),
-                ], ["key", "member", "segment", "kind"], [None] * 4)
+                held.append((
+                    np.concatenate((cut.keys(raised, cut.sums[raised]), deletions)), np.full(len(kinds), name + role, np.int64),
+                    np.concatenate((raised, segments)).astype(np.int64), kinds,
+                ))
+                size += len(kinds)
+            if size >= at_once:
+                yield sent()
+                held, size = [], 0
+    if held:
+        yield sent()
 
 
 def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
@@ -255,8 +311,9 @@ def _arrays(column: pa.Array) -> Iterator[np.ndarray]:
 
 # --- candidates ---
 
-def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of members with a key in common; of a key with too many, its members as marks.
+def _mates(batches: Iterator[pa.RecordBatch], mates: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of members with a key in common; of a key with too many, its members as marks, with their segment or,
+    where rows have none, the key. Rows that are marks already are passed on.
 
     Rows come sorted by key and member. What is held is one batch and the rows of its last key, as long as those are
     few. Pairs of two sets from the band above the key's band are left to their own band, pairs of
@@ -299,13 +356,13 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.diff(np.append(starts, len(key)))
             held = []
             if not final:
-                if sizes[-1] > MATES:
+                if sizes[-1] > mates:
                     costly, last_member = int(key[-1]), int(member[-1])
                 else:
                     at = starts[-1]
                     held = [key[at:], member[at:], segment[at:], kind[at:]]
                     starts, sizes = starts[:-1], sizes[:-1]
-            for size in np.unique(sizes[(sizes > 1) & (sizes <= MATES)]).tolist():
+            for size in np.unique(sizes[(sizes > 1) & (sizes <= mates)]).tolist():
                 first = starts[sizes == size]
                 for i in range(size):
                     for j in range(i):
@@ -313,11 +370,22 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         use = ((a & b & 1) == 0) & ((kind[first + i] < 2) | (kind[first + j] < 2)) & ((a | 1) != (b | 1))
                         a, b = a[use] & ~1, b[use] & ~1
                         pairs.append((np.minimum(a, b), np.maximum(a, b)))
-            for at, size in zip(starts[sizes > MATES].tolist(), sizes[sizes > MATES].tolist(), strict=True):
+            for at, size in zip(starts[sizes > mates].tolist(), sizes[sizes > mates].tolist(), strict=True):
                 marks.append((member[at:at + size], segment[at:at + size], kind[at:at + size]))
         return pairs, marks
 
     for batch in batches:
+        if batch.num_columns == 3:
+            marked = pc.is_valid(batch.column(2))
+        else:
+            marked = pc.greater_equal(batch.column(3), MARK)
+        if pc.any(marked).as_py():
+            of = batch.filter(marked)
+            segment, kind = of.column(2).to_numpy(), of.column(3).to_numpy() - MARK if of.num_columns == 4 else np.zeros(len(of), np.int64)
+            yield out([], [(of.column(1).to_numpy(), segment, kind)])
+            batch = batch.filter(pc.invert(marked))
+        if batch.num_columns == 3:
+            batch = batch.select([0, 1])
         key = batch.column(0).to_numpy()
         # Most keys have one member. Those inside the batch go at once; the first and the last may go on outside.
         same = key[1:] == key[:-1]
@@ -325,7 +393,7 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep[1:-1] = same[:-1] | same[1:]
         at = keep.nonzero()[0]
         rows = [key[at], *[c.to_numpy()[at] for c in batch.columns[1:]]]
-        rows += [np.zeros(len(at), np.int64)] * (4 - len(rows))
+        rows += [rows[0], np.zeros(len(at), np.int64)] if len(rows) == 2 else []
         if held:
             rows = [np.concatenate((h, r)) for h, r in zip(held, rows, strict=True)]
             held = []
@@ -338,11 +406,11 @@ def _mates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(pairs, marks)
 
 
-def mates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def mates(rows: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs (a, b) of sets, a < b, and the marks (member, segment, kind) of costly keys."""
     found = stored(
         rows.repartition("key").sortWithinPartitions("key", "member")
-        .mapInArrow(_mates, "a bigint, b bigint, segment bigint, kind bigint"), "mates",
+        .mapInArrow(partial(_mates, mates=most), "a bigint, b bigint, segment bigint, kind bigint"), "mates",
     )
     pairs = found.where(F.col("b").isNotNull()).select("a", "b").distinct()
     return pairs, found.where(F.col("b").isNull()).select(F.col("a").alias("member"), "segment", "kind")
@@ -510,7 +578,8 @@ def rare_subsets(left: DataFrame, whole: DataFrame) -> DataFrame:
         whole.join(left, "set_id").select("set_id", "left_0", "left_1", "shingles")
         .mapInArrow(_prefix_source, "key bigint, member bigint, keep bigint"), "segments",
     )
-    counts = keys.groupBy("key").agg(F.count(F.lit(1)).alias("mates"))
+    # Stored, so that the join is of two plain shuffles, in which Spark can split a hot subset.
+    counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("mates")), "mates-counts")
     in_order = Window.partitionBy("member").orderBy("mates", "key")
     ranked = keys.join(counts, "key").withColumn("place", F.row_number().over(in_order))
     return ranked.where("place <= keep AND mates > 1").select("key", "member", "mates")
@@ -519,7 +588,7 @@ def rare_subsets(left: DataFrame, whole: DataFrame) -> DataFrame:
 def central_pairs(rare: DataFrame, degrees: DataFrame) -> DataFrame:
     """Each member of a subset with the subset's member of the highest degree (share of costly segments)."""
     graded = rare.join(degrees, "member")
-    centers = graded.groupBy("key").agg(F.max(F.struct("degree", "member"))["member"].alias("center"))
+    centers = stored(graded.groupBy("key").agg(F.max(F.struct("degree", "member"))["member"].alias("center")), "centers")
     a, b = _set_of(F.col("member")), _set_of(F.col("center"))
     return (
         rare.join(centers, "key").where(a != b)
@@ -527,7 +596,7 @@ def central_pairs(rare: DataFrame, degrees: DataFrame) -> DataFrame:
     )
 
 
-def unconnected_pairs(rare: DataFrame, roots: DataFrame, whole: DataFrame) -> DataFrame:
+def unconnected_pairs(rare: DataFrame, roots: DataFrame, whole: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of members of a subset that are not connected yet and that their bitmaps do not rule out."""
     sets = rare.select(_set_of(F.col("member")).alias("set_id")).distinct()
     fine = whole.join(sets, "set_id", "left_semi").mapInArrow(_fine_bits, "set_id bigint, size bigint, bits binary")
@@ -535,7 +604,7 @@ def unconnected_pairs(rare: DataFrame, roots: DataFrame, whole: DataFrame) -> Da
         fine.join(roots, "set_id", "left")
         .select("set_id", F.coalesce("root", "set_id").alias("root"), "size", "bits"), "fine-bits",
     )
-    blocks = F.ceil(F.col("mates") / F.lit(BLOCK)).cast("int")
+    blocks = F.ceil(F.col("mates") / F.lit(block)).cast("int")
     dealt = (
         rare.withColumn("set_id", _set_of(F.col("member"))).join(known, "set_id")
         .withColumn("block", F.pmod(F.xxhash64("member"), blocks).cast("int"))
@@ -553,9 +622,11 @@ def unconnected_pairs(rare: DataFrame, roots: DataFrame, whole: DataFrame) -> Da
 
 # --- the join ---
 
-def linked_components(docs: DataFrame) -> DataFrame:
+def linked_components(docs: DataFrame, most: int = MATES, at_once: int = HELD, block: int = BLOCK) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, component_key for every document.
 
+    The limits decide what is done in which round; the result does not depend on them.
+
     component_id is the smallest doc_id that can be reached by links, the document's own included.
     component_key names the component by its content, and is null for documents without words.
     """
@@ -565,8 +636,12 @@ def linked_components(docs: DataFrame) -> DataFrame:
         *[F.any_value(c).alias(c) for c in ("size", "slack_0", "slack_1", "reserve_0", "reserve_1", "bits")],
     )
     # Round 1: segment subsets.
-    pairs, marks = mates(docs.select("text").mapInArrow(_subset_rows, "key bigint, member bigint"))
-    lost = marks.groupBy(_set_of(F.col("member")).alias("set_id")).agg(
+    limits = {"mates": most, "at_once": at_once}
+    pairs, marks = mates(
+        docs.select("text").mapInArrow(partial(_subset_rows, **limits), "key bigint, member bigint, costly bigint"), most,
+    )
+    # The copies of a set in several tasks mark the same subsets.
+    lost = marks.select("member", "segment").distinct().groupBy(_set_of(F.col("member")).alias("set_id")).agg(
         *[F.sum((_role(F.col("member")) == r).cast("bigint")).alias(f"lost_{r}") for r in (0, 1)],
     )
     short = [F.coalesce(f"lost_{r}", F.lit(0)) > F.col(f"slack_{r}") for r in (0, 1)]
@@ -594,7 +669,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     # Round 2: one-deletion neighbourhoods of the sets that lost too many segments.
     near, near_marks = mates(
         whole.join(unsafe, "set_id").select("set_id", "unsafe_0", "unsafe_1", "shingles")
-        .mapInArrow(_deletion_rows, "key bigint, member bigint, segment bigint, kind bigint"),
+        .mapInArrow(partial(_deletion_rows, **limits), "key bigint, member bigint, segment bigint, kind bigint"), most,
     )
     # A raised segment counts twice if none of its keys is costly; what round 1 has lost stays lost.
     spoiled = near_marks.where("kind > 0").groupBy("member", "segment").agg(F.lit(1).alias("costly")).groupBy(
@@ -614,7 +689,7 @@ def linked_components(docs: DataFrame) -> DataFrame:
     degrees = left.withColumn("role", roles).select((F.col("set_id") + F.col("role")).alias("member"), "degree")
     candidates = reduce(DataFrame.union, [likely, possible(near, sets), central_pairs(rare, degrees)])
     links = stored(verified(candidates.distinct(), whole), "links")
-    further = unconnected_pairs(rare, components(links), whole)
+    further = unconnected_pairs(rare, components(links), whole, block)
     links = stored(links.union(verified(further, whole)).distinct(), "all-links")
     return _named(every, sets, components(links))
 

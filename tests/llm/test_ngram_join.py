@@ -34,8 +34,8 @@ def brute(rows):
     return {doc_id: (len(sets[i]), least[find(i)]) for i, (doc_id, _) in enumerate(rows)}
 
 
-def found(docs):
-    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(docs).collect()}
+def found(docs, **limits):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.linked_components(docs, **limits).collect()}
 
 
 def near_copies(rng, base, n, changes):
@@ -46,11 +46,10 @@ def near_copies(rng, base, n, changes):
         yield " ".join(words)
 
 
-@pytest.mark.parametrize("mates", [2, 20])
-def test_components_are_those_of_all_pairs(make_docs, monkeypatch, mates):
+@pytest.mark.parametrize("limits", [{"most": 2, "at_once": 700, "block": 8}, {"most": 4}, {}])
+def test_components_are_those_of_all_pairs(make_docs, limits):
     """Groups near the threshold, shared passages, copies and short texts; with few mates every round has work."""
-    monkeypatch.setattr(ngram_join, "MATES", mates)
-    rng = random.Random(mates)
+    rng = random.Random(len(limits))
     texts = []
     for size, n, changes in ((120, 40, 6), (60, 25, 3), (30, 20, 1), (300, 12, 12), (9, 12, 1)):
         texts += near_copies(rng, [f"b{size}w{i}" for i in range(size)], n, changes)
@@ -60,7 +59,7 @@ def test_components_are_those_of_all_pairs(make_docs, monkeypatch, mates):
     texts += [" ".join(rng.choice("abcd") for _ in range(rng.randint(1, 9))) for _ in range(60)]
     rng.shuffle(texts)
     rows = list(enumerate(texts, start=100))
-    assert found(make_docs(rows)) == brute(rows)
+    assert found(make_docs(rows), **limits) == brute(rows)
 
 
 def test_given_documents(corpus_docs):
@@ -90,18 +89,34 @@ def test_one_of_each_group_stays(odd_docs, make_docs, no_docs):
     assert ngram_join.representatives(two_texts).count() == 1
 
 
-def test_blocks_of_a_large_subset(make_docs, monkeypatch):
-    monkeypatch.setattr(ngram_join, "MATES", 2)
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+def test_blocks_of_a_large_subset(make_docs):
     rng = random.Random(9)
     rows = list(enumerate(near_copies(rng, [f"w{i}" for i in range(80)], 50, 5)))
-    assert found(make_docs(rows)) == brute(rows)
+    assert found(make_docs(rows), most=2, block=4) == brute(rows)
+
+
+def test_a_subset_that_all_sets_share_leaves_each_task_short(make_docs):
+    """A passage in every document: its subsets reach their task as a few rows from each task, and all members are marked."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join(passage + [f"own{k}x{i}" for i in range(55)]) for k in range(400)]
+    rows = list(enumerate(texts + texts[:50]))
+    docs = make_docs(rows).repartition(4)
+    from functools import partial
+    sent = docs.select("text").mapInArrow(
+        partial(ngram_join._subset_rows, mates=5, at_once=1 << 19), "key bigint, member bigint, costly bigint",
+    )
+    most = sent.where("costly IS NULL").groupBy("key").count().agg(F.max("count")).first()[0]
+    marked = sent.where("costly IS NOT NULL")
+    assert most <= 6 * 4 and marked.count() > 1000
+    assert marked.where("key <> member").count() == 0
+    near = [(1000 + k, texts[k] + " " + rng.choice("xyz")) for k in range(0, 400, 9)]
+    assert found(make_docs(rows + near), most=5) == brute(rows + near)
 
 
 @pytest.mark.parametrize("null_ids", [False, True])
 def test_repeated_rows_do_not_crowd_out_subsets(make_docs, monkeypatch, null_ids):
     """Every set is whole once, and gets as many different subsets, however often its rows occur."""
-    monkeypatch.setattr(ngram_join, "MATES", 2)
     rng = random.Random(5)
     texts = list(near_copies(rng, [f"w{i}" for i in range(120)], 40, 3))
     rows = [(None if null_ids else i, text) for i, text in enumerate(texts)]
@@ -117,7 +132,7 @@ def test_repeated_rows_do_not_crowd_out_subsets(make_docs, monkeypatch, null_ids
     monkeypatch.setattr(ngram_join, "rare_subsets", spied)
 
     def groups(rows):
-        found = ngram_join.linked_components(make_docs(rows)).select("text_key", "component_key").distinct().collect()
+        found = ngram_join.linked_components(make_docs(rows), most=2).select("text_key", "component_key").distinct().collect()
         return {r.text_key: r.component_key for r in found}
 
     assert groups(rows * 3) == groups(rows)
