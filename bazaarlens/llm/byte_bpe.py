@@ -12,7 +12,8 @@ Texts are split by the tokenizer's pattern first. Pieces repeat, so their ids ar
 bounded size that a task gives back when it ends; a worker keeps the vocabulary alone.
 
 Defined results: a null text is encoded as the empty one, which has no tokens; rows stay as many as they
-were; lone surrogates cannot occur in a table's strings.
+were, repeated ones with equal ids; bytes that are not UTF-8 are encoded as the U+FFFD that Python's decoder puts in their place;
+long texts are encoded whole; of tokens that fit, the longest compatible one is unique, so there are no ties.
 """
 
 from __future__ import annotations
@@ -205,7 +206,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         bpe = _loaded(path, pattern)
         for batch in batches:
             for part in _slices(batch):
-                ids = [bpe.encode(raw.decode()) for raw in raw_texts(part.column(1))]
+                ids = [bpe.encode(raw.decode(errors="replace")) for raw in raw_texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
         bpe.forget()
 
@@ -221,7 +222,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for raw in raw_texts(batch.column(1)):
-                ids = bpe.encode(raw.decode())
+                ids = bpe.encode(raw.decode(errors="replace"))
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids)).hexdigest())

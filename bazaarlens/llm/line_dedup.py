@@ -11,7 +11,8 @@ are compared by 64-bit hash, and equal lines of one document count as one site.
 
 Defined results: a null text stays null; a null site is a site of its own; an empty text has no line;
 documents of equal doc_id and equal text are the same occurrence, of equal doc_id and different text are
-not; a document that loses all its lines gets an empty text; an empty table gives no rows.
+not; a document that loses all its lines gets an empty text; long texts are split into lines like others, and a line is grouped by a hash
+of it; of rows that tie for a line's first occurrence, all keep it; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ rows is reduced before it is shuffled and its documents never meet in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source
 without words has target and rate 0; repeated rows (equal doc_id) share a draw, and a null doc_id has one
-draw as well; an empty table gives an empty mix.
+draw as well; long texts are counted whole; sources that reach their limit at the same level come by code point; an empty
+table gives an empty mix. Each document draws for itself, so small sources miss their target by more than large ones.
 """
 
 from __future__ import annotations

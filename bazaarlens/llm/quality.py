@@ -8,7 +8,8 @@ The order decides how much work is done and which rule is named, never which doc
 Features are computed once per document and only when a rule asks for them.
 
 Defined results: a null text counts as empty; a document with fewer than ten words is rejected; repeated rows
-get equal results; an empty table gives no rows, and the rules then run in the order given.
+get equal results; long texts are judged whole; rules with equal rejections per cost run in the order given; bytes that are not
+UTF-8 are no letters; an empty table gives no rows, and the rules then run in the order given.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ class TextFeatures:
             lower = int(np.count_nonzero((self.data >= 97) & (self.data <= 122)))
             return np.array([0, lower, upper, 0, 0])
         kinds = _letter_kinds()
-        codes = np.frombuffer(self.raw.decode().encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(self.raw.decode(errors="replace").encode("utf-32-le"), np.uint32)
         counts = np.bincount(kinds[np.minimum(codes, len(kinds) - 1)], minlength=5)
         counts[OTHER] = 0
         return counts

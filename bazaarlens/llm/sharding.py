@@ -10,7 +10,8 @@ Slots number the documents of a shard without gaps. They are counted in two step
 of a shard and over the buckets, so that no task sorts a whole shard.
 
 Defined results: a null text has size 1 and checksum 0, as the empty text; a null doc_id is a key of its own;
-repeated rows go to the same shard and get slots of their own; an empty table gives no rows.
+repeated rows go to the same shard and get slots of their own, in any order; long texts only count by their size; equal draws go to the
+first child; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -76,3 +76,10 @@ def test_caches_are_bounded(both, monkeypatch):
     assert both[0].encode(text) == both[1].encode_ordinary(text)
     both[0].encode("again")
     assert len(both[0].pieces) <= 11
+
+
+def test_bytes_that_are_no_text(spark):
+    broken = spark.sql("SELECT 1 AS doc_id, cast(unhex('61FF20E28262') AS string) AS text")
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    row, = byte_bpe.round_trip(broken, path, public_tokenizers.PATTERN).collect()
+    assert row.decoded_sha256 == hashlib.sha256("a� �b".encode()).hexdigest()

@@ -93,3 +93,9 @@ def test_odd_rows(odd_docs, no_docs):
     kept = quality.keep(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() == sum(r.kept for r in rows)
     assert quality.keep(no_docs).count() == 0 and quality.judge(no_docs).count() == 0
+
+
+def test_bytes_that_are_no_text(spark):
+    broken = spark.sql("SELECT 1 AS doc_id, concat(repeat('some words ', 20), cast(unhex('FFE282') AS string)) AS text")
+    row, = quality.judge(broken).collect()
+    assert row.n_words == 41
