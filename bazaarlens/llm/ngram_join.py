@@ -500,7 +500,7 @@ def components(links: DataFrame) -> DataFrame:
 # --- the costly rest ---
 
 def _prefix_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, member, keep, size) for every segment of the sets that are left, and their parity bits."""
+    """(key, member, spare) for every segment of the sets that are left: how many fewer to keep than there are, negative."""
     for batch in batches:
         for name, role_0, role_1, shingles in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
@@ -512,8 +512,8 @@ def _prefix_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 if wanted and cut.exists:
                     keys, n = cut.all_keys(), cut.segments
                     yield _batch([
-                        pa.array(keys), pa.array(np.full(n, name + role, np.int64)), pa.array(np.full(n, cut.apart + 1)),
-                    ], ["key", "member", "keep"], [None] * 3)
+                        pa.array(keys), pa.array(np.full(n, name + role, np.int64)), pa.array(np.full(n, cut.apart + 1 - n)),
+                    ], ["key", "member", "spare"], [None] * 3)
 
 
 def _fine_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -576,13 +576,16 @@ def rare_subsets(left: DataFrame, whole: DataFrame) -> DataFrame:
     """
     keys = stored(
         whole.join(left, "set_id").select("set_id", "left_0", "left_1", "shingles")
-        .mapInArrow(_prefix_source, "key bigint, member bigint, keep bigint"), "segments",
+        .mapInArrow(_prefix_source, "key bigint, member bigint, spare bigint"), "segments",
     )
     # Stored, so that the join is of two plain shuffles, in which Spark can split a hot subset.
-    counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("mates")), "mates-counts")
-    in_order = Window.partitionBy("member").orderBy("mates", "key")
-    ranked = keys.join(counts, "key").withColumn("place", F.row_number().over(in_order))
-    return ranked.where("place <= keep AND mates > 1").select("key", "member", "mates")
+    counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "mates-counts")
+    # Subsets of one member come first in the order and lead nowhere, so they only take places: as many as are not joined.
+    in_order, of_member = Window.partitionBy("member").orderBy("mates", "key"), Window.partitionBy("member")
+    ranked = keys.join(counts, "key").withColumns({
+        "place": F.row_number().over(in_order), "shared": F.count(F.lit(1)).over(of_member),
+    })
+    return ranked.where("place - shared <= spare").select("key", "member", "mates")
 
 
 def central_pairs(rare: DataFrame, degrees: DataFrame) -> DataFrame:
