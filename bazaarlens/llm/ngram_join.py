@@ -11,9 +11,11 @@ Work is allocated by cost, in rounds that are exact together:
    Losing segments is fine as long as more than H are left ("slack"), for one set of a pair at least.
 2. Sets that lost too many are indexed by their one-deletion neighbourhoods too, in a third of the segments (the
    same for all sets): a segment whose subset may differ by one element counts twice.
-3. Sets for which that is not enough either, as in large groups of near copies, take their H + 1 rarest segment
-   subsets, empty ones included, whatever these cost. Here the members of a subset are first linked to the
-   most central one, and only pairs that are not yet connected are compared, in blocks.
+3. Sets for which that is not enough either, as in large groups of near copies, are compared through their first H + 1
+   segment subsets, whatever these cost, in an order common to all: first those that are not costly, whose pairs round 1
+   has seen and which only take places, then costly ones from the rarest on, then, if a set has no more, empty ones.
+   Here the members of a subset are first linked to the most central one, and only pairs that are not yet connected are
+   compared, in blocks.
 
 Candidates pass a parity bitmap, which bounds the difference of two sets from below, and are then verified
 on the whole sets. Sets that are equal count as one. Links are contracted to components by joins. No step drops, caps or
@@ -128,8 +130,9 @@ class Cut:
         """A key for each segment subset that is not empty."""
         return self.keys(self.filled, self.sums[self.filled])
 
-    def all_keys(self) -> np.ndarray:
-        return self.keys(np.arange(self.segments), self.sums)
+    def empty_keys(self) -> np.ndarray:
+        empty = (self.counts == 0).nonzero()[0]
+        return self.keys(empty, self.sums[empty])
 
     def deletion_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """For each element of a raised segment of two or more, its segment and the key of the subset without it."""
@@ -499,8 +502,8 @@ def components(links: DataFrame) -> DataFrame:
 
 # --- the costly rest ---
 
-def _prefix_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, member, spare) for every segment of the sets that are left: how many fewer to keep than there are, negative."""
+def _empty_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, member, slack) for every empty segment of sets whose other segments are too few."""
     for batch in batches:
         for name, role_0, role_1, shingles in zip(
             batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
@@ -508,12 +511,12 @@ def _prefix_source(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         ):
             sums = running_sums(shingles)
             for role, wanted in ((0, role_0), (1, role_1)):
-                cut = Cut(shingles, sums, role)
-                if wanted and cut.exists:
-                    keys, n = cut.all_keys(), cut.segments
+                if wanted:
+                    cut = Cut(shingles, sums, role)
+                    keys = cut.empty_keys()
                     yield _batch([
-                        pa.array(keys), pa.array(np.full(n, name + role, np.int64)), pa.array(np.full(n, cut.apart + 1 - n)),
-                    ], ["key", "member", "spare"], [None] * 3)
+                        pa.array(keys), pa.array(np.full(len(keys), name + role, np.int64)), pa.array(np.full(len(keys), cut.slack)),
+                    ], ["key", "member", "slack"], [None] * 3)
 
 
 def _fine_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -568,24 +571,39 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield written(compared(group))
 
 
-def rare_subsets(left: DataFrame, whole: DataFrame) -> DataFrame:
-    """(key, member, mates) of the rarest segment subsets of each member, one more than it may differ in.
+def left_members(left: DataFrame) -> DataFrame:
+    """(member, degree, slack) of the sets and roles that are left."""
+    roles = F.array(*[
+        F.struct(F.lit(r).alias("role"), F.col(f"left_{r}").alias("left"), F.col(f"slack_{r}").alias("slack")) for r in (0, 1)
+    ])
+    return left.select("set_id", "degree", F.explode(roles).alias("of")).where("of.left").select(
+        (F.col("set_id") + F.col("of.role")).alias("member"), "degree", "of.slack",
+    )
+
+
+def rare_subsets(left: DataFrame, costly: DataFrame, whole: DataFrame) -> DataFrame:
+    """(key, member, mates) of the costly or empty subsets among the first of each member, one more than it may differ in.
 
-    Two members with at most H differing segments share one of their H + 1 first segments in any common order; the
-    order is by how many members have a subset, so that what must be compared is as little as possible.
+    Two members with at most H differing segments have their first common subset among the H + 1 first ones of either, in
+    any common order. Subsets that are not costly come first and lead to pairs that are known; the others are ordered
+    by how many members have them, so that what must be compared is as little as possible. Empty ones come last and
+    are listed for members with H or fewer others only: of a pair with one that has more, a common one is not empty.
     """
-    keys = stored(
-        whole.join(left, "set_id").select("set_id", "left_0", "left_1", "shingles")
-        .mapInArrow(_prefix_source, "key bigint, member bigint, spare bigint"), "segments",
+    bare = left.select("set_id", *[(F.col(f"left_{r}") & (F.col(f"slack_{r}") < 0)).alias(f"bare_{r}") for r in (0, 1)])
+    empty = whole.join(bare.where("bare_0 OR bare_1"), "set_id").select("set_id", "bare_0", "bare_1", "shingles").mapInArrow(
+        _empty_rows, "key bigint, member bigint, slack bigint",
     )
+    listed = costly.join(left_members(left), "member").select("key", "member", "slack", F.lit(0).alias("empty"))
+    keys = stored(listed.union(empty.withColumn("empty", F.lit(1))), "segments")
     # Stored, so that the join is of two plain shuffles, in which Spark can split a hot subset.
     counts = stored(keys.groupBy("key").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"), "mates-counts")
-    # Subsets of one member come first in the order and lead nowhere, so they only take places: as many as are not joined.
-    in_order, of_member = Window.partitionBy("member").orderBy("mates", "key"), Window.partitionBy("member")
+    # Costly subsets that only one of the members left has come first among the costly ones and lead nowhere. A member takes
+    # as many as it has costly ones less its slack, so without those: as many as are joined, less its slack.
+    in_order, of_member = Window.partitionBy("member").orderBy("empty", "mates", "key"), Window.partitionBy("member")
     ranked = keys.join(counts, "key").withColumns({
-        "place": F.row_number().over(in_order), "shared": F.count(F.lit(1)).over(of_member),
+        "place": F.row_number().over(in_order), "shared": F.sum(1 - F.col("empty")).over(of_member),
     })
-    return ranked.where("place - shared <= spare").select("key", "member", "mates")
+    return ranked.where("place <= shared - slack").select("key", "member", "mates")
 
 
 def central_pairs(rare: DataFrame, degrees: DataFrame) -> DataFrame:
@@ -644,7 +662,8 @@ def linked_components(docs: DataFrame, most: int = MATES, at_once: int = HELD, b
         docs.select("text").mapInArrow(partial(_subset_rows, **limits), "key bigint, member bigint, costly bigint"), most,
     )
     # The copies of a set in several tasks mark the same subsets.
-    lost = marks.select("member", "segment").distinct().groupBy(_set_of(F.col("member")).alias("set_id")).agg(
+    costly = stored(marks.select("member", F.col("segment").alias("key")).distinct(), "costly")
+    lost = costly.groupBy(_set_of(F.col("member")).alias("set_id")).agg(
         *[F.sum((_role(F.col("member")) == r).cast("bigint")).alias(f"lost_{r}") for r in (0, 1)],
     )
     short = [F.coalesce(f"lost_{r}", F.lit(0)) > F.col(f"slack_{r}") for r in (0, 1)]
@@ -653,7 +672,7 @@ def linked_components(docs: DataFrame, most: int = MATES, at_once: int = HELD, b
         .withColumns({f"unsafe_{r}": F.coalesce(short[r], F.lit(False)) for r in (0, 1)})
         .where("unsafe_0 OR unsafe_1")
         .select(
-            "set_id", "size", "unsafe_0", "unsafe_1", "reserve_0", "reserve_1",
+            "set_id", "size", "unsafe_0", "unsafe_1", "slack_0", "slack_1", "reserve_0", "reserve_1",
             *[F.coalesce(f"lost_{r}", F.lit(0)).alias(f"lost_{r}") for r in (0, 1)],
             (F.coalesce("lost_0", F.lit(0)) / F.col("size")).alias("degree"),
         ), "unsafe",
@@ -679,17 +698,16 @@ def linked_components(docs: DataFrame, most: int = MATES, at_once: int = HELD, b
         _set_of(F.col("member")).alias("set_id"),
     ).agg(*[F.count_if(_role(F.col("member")) == r).alias(f"spoiled_{r}") for r in (0, 1)])
     left = stored(
-        unsafe.join(spoiled, "set_id", "left").select("set_id", "degree", *[
+        unsafe.join(spoiled, "set_id", "left").select("set_id", "degree", "slack_0", "slack_1", *[
             (F.col(f"unsafe_{r}") & (
                 F.col(f"lost_{r}") + F.coalesce(f"spoiled_{r}", F.lit(0)) > F.col(f"reserve_{r}")
             )).alias(f"left_{r}")
             for r in (0, 1)
         ]).where("left_0 OR left_1"), "left",
     )
-    # Round 3: the rarest subsets of what is left, first to the central members, then what is unconnected.
-    rare = stored(rare_subsets(left, whole), "rare")
-    roles = F.explode(F.array(F.lit(0), F.lit(1)))
-    degrees = left.withColumn("role", roles).select((F.col("set_id") + F.col("role")).alias("member"), "degree")
+    # Round 3: the rarest costly subsets of what is left, first to the central members, then what is unconnected.
+    rare = stored(rare_subsets(left, costly, whole), "rare")
+    degrees = left_members(left).select("member", "degree")
     candidates = reduce(DataFrame.union, [likely, possible(near, sets), central_pairs(rare, degrees)])
     links = stored(verified(candidates.distinct(), whole), "links")
     further = unconnected_pairs(rare, components(links), whole, block)

@@ -114,6 +114,18 @@ def test_a_subset_that_all_sets_share_leaves_each_task_short(make_docs):
     assert found(make_docs(rows + near), most=5) == brute(rows + near)
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_short_texts_meet_in_empty_subsets_too(make_docs, most):
+    """Sets of few shingles have fewer subsets than they may differ in, and link with sets that have more."""
+    rng = random.Random(most)
+    texts = []
+    for size in (8, 10, 12, 15, 19):
+        texts += near_copies(rng, [f"s{i}" for i in range(size)], 25, 1)
+        texts += [" ".join([*(f"s{i}" for i in range(size)), *(f"end{k}x{i}" for i in range(k % 4))]) for k in range(15)]
+    rows = list(enumerate(texts))
+    assert found(make_docs(rows), most=most) == brute(rows)
+
+
 @pytest.mark.parametrize("null_ids", [False, True])
 def test_repeated_rows_do_not_crowd_out_subsets(make_docs, monkeypatch, null_ids):
     """Every set is whole once, and gets as many different subsets, however often its rows occur."""
@@ -123,8 +135,8 @@ def test_repeated_rows_do_not_crowd_out_subsets(make_docs, monkeypatch, null_ids
     seen = []
     original = ngram_join.rare_subsets
 
-    def spied(left, whole):
-        rare = original(left, whole)
+    def spied(left, costly, whole):
+        rare = original(left, costly, whole)
         for df, keys in ((whole, ["set_id"]), (rare, ["key", "member"])):
             seen.append((df.count(), df.select(*keys).distinct().count()))
         return rare
