@@ -13,7 +13,9 @@ k, an estimate of the Jaccard similarity. Linked sets share at least T = ``LEAST
    counted among themselves; two sets that share T values share one of these. Lists are cut by size, since linked sets
    have similar sizes. The members of a list are first compared with the most crowded one, which connects groups of near
    copies; then members that are not yet connected are compared in blocks by parity bitmaps of their sketches and, where
-   these allow a link, of finer ones with ``FINE`` values, which are the whole sets of most documents.
+   these allow a link, of finer ones with ``FINE`` values, which are the whole sets of most documents. Each block first names
+   only as many pairs as would connect its members (a forest, fewer than it has members), and these are verified. All pairs are
+   named after that, but only of members that the links found so far leave apart.
 
 Candidates pass the estimate from both sketches and are then verified on the whole sets. Equal sets count as one. No
 list or candidate is dropped, capped or sampled. A list's members are cut to ``MATES`` + 1 in each task before they are shuffled, and
@@ -301,9 +303,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, by their whole sets."""
     chosen = stored(pairs.select("a", "b").distinct(), "likely-pairs")
     ends = chosen.select(F.col("a").alias("set_id")).union(chosen.select("b"))
-    whole = stored(whole_sets(docs, sets, ends), "whole-sets")
+    return linked(chosen, stored(whole_sets(docs, sets, ends), "whole-sets"))
+
+
+def linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are links, with the whole sets at hand."""
     a, b = whole.toDF("a", "shingles_a"), whole.toDF("b", "shingles_b")
-    return chosen.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(
         _verified, "a bigint, b bigint",
     )
 
@@ -365,14 +371,16 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), _U).reshape(len(column), -1)
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _unconnected(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of a block that are not connected and whose bitmaps allow a link.
 
+    With ``forest``, members of a pair count as connected from then on, so that a block gives fewer pairs than it has rows.
     Rows: value, band, low, high, block, member, role, root, size, bits, fine; sorted by the first four. The rows of one
     pair of blocks are held, at most about twice a block.
     """
     def compared(rows: list[np.ndarray]) -> pa.RecordBatch | None:
         low, high, block, member, role, root, size, bits, fine = rows
+        root = root.copy()
         left, right = [], []
         for i in range(len(member) - 1):
             later = slice(i + 1, None)
@@ -383,7 +391,13 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.flatnonzero(use) + i + 1
             for marks, k, least in ((bits, K, LEAST_SHARED), (fine, FINE, LEAST_SHARED_FINE)):
                 apart = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64)
-                at = at[apart <= most_apart(size[at], int(size[i]), k, least)]
+                allowed = apart <= most_apart(size[at], int(size[i]), k, least)
+                at, apart = at[allowed], apart[allowed]
+            if forest and len(at):
+                at = at[np.argsort(apart, kind="stable")]  # the closest of each group, the likeliest link
+                groups, first = np.unique(root[at], return_index=True)
+                at = at[first]
+                root[np.isin(root, groups)] = root[i]
             if len(at):
                 left.append(np.minimum(member[at], member[i]))
                 right.append(np.maximum(member[at], member[i]))
@@ -408,21 +422,47 @@ def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found
 
 
-def unconnected_pairs(lists: DataFrame, roots: DataFrame, whole: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs of members of a list that no links connect yet and that their bitmaps do not rule out."""
-    bits = whole.mapInArrow(_parities, "set_id bigint, bits binary, fine binary")
-    known = stored(bits.join(roots, "set_id", "left").select(
-        F.col("set_id").alias("member"), F.coalesce("root", "set_id").alias("root"), "bits", "fine",
-    ), "sketch-bits")
-    rooted = stored(lists.select("value", "band", "mates", "member", "role", "size").join(known.select("member", "root"), "member"), "rooted")
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(set_id, root) of every linked set after further links, which are contracted on their own."""
+    of_a, of_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+    between = stored(links.join(of_a, "a", "left").join(of_b, "b", "left").select(
+        F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"),
+    ).where("a <> b").distinct(), "further-links")
+    if between.isEmpty():
+        return roots
+    further = components(between)
+    moved = roots.join(further.toDF("root", "to"), "root", "left").select("set_id", F.coalesce("to", "root").alias("root"))
+    return stored(moved.union(further.join(roots, "set_id", "left_anti").select("set_id", "root")), "merged-roots")
+
+
+def sketch_bits(whole: DataFrame) -> DataFrame:
+    """(member, bits, fine): the bitmaps of whole sets."""
+    return whole.mapInArrow(_parities, "set_id bigint, bits binary, fine binary").withColumnRenamed("set_id", "member")
+
+
+def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists with members that no links connect yet, with the root of each member."""
+    of_member = roots.select(F.col("set_id").alias("member"), F.col("root"))
+    rooted = stored(
+        lists.select("value", "band", "mates", "member", "role", "size").join(of_member, "member", "left")
+        .withColumn("root", F.coalesce("root", "member")), "rooted",
+    )
     # A list whose members are all connected is done.
     several = stored(
         rooted.groupBy("value", "band").agg(F.min("root").alias("least"), F.max("root").alias("most"))
-        .where("least <> most").select("value", "band"), "open-lists",
+        .where("least <> most").select("value", "band"), "open-values",
     )
+    return rooted.join(several, ["value", "band"], "left_semi")
+
+
+def unconnected_pairs(opened: DataFrame, bits: DataFrame, block: int = BLOCK, forest: bool = False) -> DataFrame:
+    """Pairs of members of an open list that no links connect yet and that their bitmaps do not rule out.
+
+    With ``forest``, of each block only pairs that connect its members if they all are links.
+    """
     blocks = F.ceil(F.col("mates") / F.lit(block)).cast("bigint")
     dealt = (
-        rooted.join(several, ["value", "band"], "left_semi").join(known.drop("root"), "member")
+        opened.join(bits, "member")
         .withColumn("block", F.pmod(F.xxhash64("member"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
             "value", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
@@ -430,7 +470,9 @@ def unconnected_pairs(lists: DataFrame, roots: DataFrame, whole: DataFrame, bloc
         )
     )
     order = ["value", "band", "low", "high"]
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_unconnected, "a bigint, b bigint").distinct()
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(
+        partial(_unconnected, forest=forest), "a bigint, b bigint",
+    ).distinct()
 
 
 # --- the operator ---
@@ -455,10 +497,15 @@ def linked_components(docs: DataFrame, mates: int = MATES, at_once: int = HELD,
     )
     lists = stored(rare_lists(crowded), "lists")
     links = stored(verified(likely(met, sets).union(likely(central_pairs(lists), sets)), docs, sets), "links")
-    whole = whole_sets(docs, sets, crowded.select("set_id"))
-    further = unconnected_pairs(lists, components(links), whole, block)
-    links = stored(links.union(verified(likely(further, sets), docs, sets)).distinct(), "all-links")
-    return _named(every, sets, components(links))
+    whole = stored(whole_sets(docs, sets, crowded.select("set_id")), "crowded-sets")
+    bits = stored(sketch_bits(whole), "sketch-bits")
+    # In a group of near copies whose most crowded member is linked with few, most pairs are links: connect it by a forest first.
+    roots = components(links)
+    for forest in (True, False):
+        lists = open_lists(lists, roots)
+        further = likely(unconnected_pairs(lists, bits, block, forest), sets)
+        roots = merged(roots, linked(further, whole))
+    return _named(every, sets, roots)
 
 
 def _named(every: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:

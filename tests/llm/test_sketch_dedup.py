@@ -81,6 +81,48 @@ def test_long_lists_leave_a_task_short(spark):
     assert {r.member: r.lost for r in lost.collect()} == {n: 2 for n in range(400)}
 
 
+def open_list(members, apart=6):
+    """Rows of one list whose members differ from a common set in ``apart`` values each, all linked and none connected."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    rows = []
+    for n in range(members):
+        values = np.unique(np.concatenate((common, rng.integers(0, 2**63, apart, dtype=np.uint64))))
+        rows.append((7, 1, members, 10 + n, 0, len(values), 10 + n, *[sketch_dedup.parity_bits(values, k) for k in (sketch_dedup.K, sketch_dedup.FINE)]))
+    return rows
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_a_forest_connects_near_copies_by_fewer_pairs_than_rows(spark, block):
+    """A group of near copies that no link connects yet: a block names a forest of it and not the square."""
+    rows = open_list(60)
+    kind = "value bigint, band int, mates bigint, member bigint, role int, size bigint, root bigint, bits binary, fine binary"
+    table = spark.createDataFrame(rows, kind)
+    opened, bits = table.drop("bits", "fine"), table.select("member", "bits", "fine")
+    chosen = [(r.a, r.b) for r in sketch_dedup.unconnected_pairs(opened, bits, block, forest=True).collect()]
+    every = {(r.a, r.b) for r in sketch_dedup.unconnected_pairs(opened, bits, block).collect()}
+    blocks = -(-60 // block)
+    assert len(every) == 60 * 59 // 2 and set(chosen) <= every
+    assert 59 <= len(chosen) < 60 * blocks
+    root = {n: n for n in range(10, 70)}
+    for a, b in chosen:
+        root = {n: root[a] if of == root[b] else of for n, of in root.items()}
+    assert len(set(root.values())) == 1
+
+
+def test_pairs_apart_after_the_forest_are_still_compared(make_docs):
+    """Chains in which a member is linked with its neighbours only, and pairs whose bitmaps allow a link that is none."""
+    rng = random.Random(9)
+    rows, at = [], 0
+    for size, step in ((120, 4), (120, 9), (300, 20), (700, 50), (700, 56)):
+        words = [f"c{size}x{step}w{i}" for i in range(size + 40 * step)]
+        rows += [(at + n, " ".join(words[n * step:n * step + size])) for n in range(40)]
+        at += 100
+    rng.shuffle(rows)
+    for limits in ({"mates": 2, "at_once": 500}, {"mates": 2, "at_once": 500, "block": 8}):
+        assert found(make_docs(rows).repartition(3), **limits) == brute(rows)
+
+
 def test_sketches_of_unions():
     rng = np.random.default_rng(1)
     for size in (1, 10, 63, 64, 65, 500):
