@@ -12,10 +12,11 @@ k, an estimate of the Jaccard similarity. Linked sets share at least T = ``LEAST
 2. The sets that lost more ("crowded") are indexed by their rarest values, one more than they may have apart, with rare as
    counted among themselves; two sets that share T values share one of these. Lists are cut by size, since linked sets
    have similar sizes. The members of a list are first compared with the most crowded one, which connects groups of near
-   copies; then members that are not yet connected are compared in blocks by parity bitmaps of their sketches and, where
-   these allow a link, of finer ones with ``FINE`` values, which are the whole sets of most documents. Each block first names
-   only as many pairs as would connect its members (a forest, fewer than it has members), and these are verified. All pairs are
-   named after that, but only of members that the links found so far leave apart.
+   copies. Lists with the same most crowded member are then taken together where that makes no more pairs, as in a group of near
+   copies, which has a list for each of its values. Members that are not yet connected are compared in blocks, which hold
+   their whole sets: by parity bitmaps of their sketches, of finer ones with ``FINE`` values and of the whole sets, and where all of
+   these allow a link by the sets themselves. A block gives a forest of links, fewer than it has members, however many pairs are
+   links or close to it.
 
 Candidates pass the estimate from both sketches and are then verified on the whole sets. Equal sets count as one. No
 list or candidate is dropped, capped or sampled. A list's members are cut to ``MATES`` + 1 in each task before they are shuffled, and
@@ -57,8 +58,9 @@ MATES = 20
 HELD = 1 << 19
 #: Linked sets are in the same or in neighbouring classes of sizes that grow by this factor.
 SIZE_STEP = 1.18
-#: Members of a list that are compared with each other in one task.
+#: Members of a list that are compared with each other in one task, and shingles that they have, about.
 BLOCK = 4096
+BLOCK_SHINGLES = 1 << 22
 #: Values of the finer sketches of crowded sets.
 FINE = 512
 #: Bits of a parity bitmap per value of the sketch.
@@ -288,14 +290,23 @@ def whole_sets(docs: DataFrame, sets: DataFrame, needed: DataFrame) -> DataFrame
     return texts.select("text").mapInArrow(_whole, "set_id bigint, shingles array<bigint>").dropDuplicates(["set_id"])
 
 
+def _sets(column: pa.Array) -> np.ndarray:
+    """Whole sets as an array of arrays."""
+    out = np.empty(len(column), object)
+    for i in range(len(column)):
+        out[i] = column[i].values.to_numpy(zero_copy_only=False).view(_U)
+    return out
+
+
+def similar(one: np.ndarray, other: np.ndarray) -> bool:
+    both = np.sort(np.concatenate((one, other)), kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * shared >= PERCENT * (len(both) - shared)
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fine = []
-        for i in range(batch.num_rows):
-            one, other = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (2, 3))
-            both = np.sort(np.concatenate((one, other)), kind="stable")
-            shared = int(np.count_nonzero(both[1:] == both[:-1]))
-            fine.append(100 * shared >= PERCENT * (len(both) - shared))
+        fine = [similar(one, other) for one, other in zip(*map(_sets, batch.columns[2:]), strict=True)]
         yield batch.select([0, 1]).filter(pa.array(fine, pa.bool_()))
 
 
@@ -303,13 +314,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links, by their whole sets."""
     chosen = stored(pairs.select("a", "b").distinct(), "likely-pairs")
     ends = chosen.select(F.col("a").alias("set_id")).union(chosen.select("b"))
-    return linked(chosen, stored(whole_sets(docs, sets, ends), "whole-sets"))
-
-
-def linked(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links, with the whole sets at hand."""
+    whole = stored(whole_sets(docs, sets, ends), "whole-sets")
     a, b = whole.toDF("a", "shingles_a"), whole.toDF("b", "shingles_b")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(
+    return chosen.join(a, "a").join(b, "b").select("a", "b", "shingles_a", "shingles_b").mapInArrow(
         _verified, "a bigint, b bigint",
     )
 
@@ -361,10 +368,10 @@ def most_apart(one: np.ndarray, other: int, k: int, least: int) -> np.ndarray:
 
 def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [batch.column(1)[i].values.to_numpy(zero_copy_only=False).view(_U) for i in range(batch.num_rows)]
+        sets = _sets(batch.column(1))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), *[pa.array([parity_bits(s, k) for s in sets], pa.binary()) for k in (K, FINE)],
-        ], ["set_id", "bits", "fine"])
+            batch.column(0), *[pa.array([parity_bits(s, k) for s in sets], pa.binary()) for k in (K, FINE)], batch.column(1),
+        ], ["set_id", "bits", "fine", "shingles"])
 
 
 def _words(column: pa.Array) -> np.ndarray:
@@ -372,15 +379,19 @@ def _words(column: pa.Array) -> np.ndarray:
 
 
 def _unconnected(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block that are not connected and whose bitmaps allow a link.
+    """Pairs of a block that are not connected and are links or, without whole sets, are allowed to be by their bitmaps.
 
     With ``forest``, members of a pair count as connected from then on, so that a block gives fewer pairs than it has rows.
-    Rows: value, band, low, high, block, member, role, root, size, bits, fine; sorted by the first four. The rows of one
-    pair of blocks are held, at most about twice a block.
+    Rows: value, band, low, high, block, member, role, root, size, bits, fine and, if at hand, shingles; sorted by the first
+    four. The rows of one pair of blocks are held, at most about twice a block.
     """
     def compared(rows: list[np.ndarray]) -> pa.RecordBatch | None:
-        low, high, block, member, role, root, size, bits, fine = rows
+        low, high, block, member, role, root, size, bits, fine, *whole = rows
         root = root.copy()
+        marks = [(bits, K, LEAST_SHARED), (fine, FINE, LEAST_SHARED_FINE)]
+        if whole and (most := int(size.max())) > FINE and root.min() < root.max():
+            k = 1 << (most - 1).bit_length()  # all values of each set
+            marks.append((np.stack([np.frombuffer(parity_bits(s, k), _U) for s in whole[0]]), k, k))
         left, right = [], []
         for i in range(len(member) - 1):
             later = slice(i + 1, None)
@@ -389,18 +400,20 @@ def _unconnected(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa
             if low[0] != high[0]:
                 use &= block[later] != block[i]
             at = np.flatnonzero(use) + i + 1
-            for marks, k, least in ((bits, K, LEAST_SHARED), (fine, FINE, LEAST_SHARED_FINE)):
-                apart = np.bitwise_count(marks[at] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            for mark, k, least in marks:
+                apart = np.bitwise_count(mark[at] ^ mark[i]).sum(axis=1, dtype=np.int64)
                 allowed = apart <= most_apart(size[at], int(size[i]), k, least)
                 at, apart = at[allowed], apart[allowed]
-            if forest and len(at):
-                at = at[np.argsort(apart, kind="stable")]  # the closest of each group, the likeliest link
-                groups, first = np.unique(root[at], return_index=True)
-                at = at[first]
-                root[np.isin(root, groups)] = root[i]
-            if len(at):
-                left.append(np.minimum(member[at], member[i]))
-                right.append(np.maximum(member[at], member[i]))
+            found = []
+            for j in at[np.argsort(apart, kind="stable")].tolist():  # the closest first, the likeliest link
+                if forest and root[j] == root[i] or whole and not similar(whole[0][i], whole[0][j]):
+                    continue
+                found.append(j)
+                if forest:
+                    root[root == root[j]] = root[i]
+            if found:
+                left.append(np.minimum(member[found], member[i]))
+                right.append(np.maximum(member[found], member[i]))
         if left:
             pairs = np.unique(np.stack((np.concatenate(left), np.concatenate(right)), axis=1), axis=0)
             return _batch([pairs[:, 0].copy(), pairs[:, 1].copy()], ["a", "b"])
@@ -409,7 +422,7 @@ def _unconnected(batches: Iterator[pa.RecordBatch], forest: bool) -> Iterator[pa
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = [*[c.to_numpy() for c in batch.columns[:9]], *map(_words, batch.columns[9:])]
+        rows = [*[c.to_numpy() for c in batch.columns[:9]], *map(_words, batch.columns[9:11]), *map(_sets, batch.columns[11:])]
         if held:
             rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
         new = reduce(np.logical_or, [c[1:] != c[:-1] for c in rows[:4]], np.zeros(len(rows[0]) - 1, bool))
@@ -436,16 +449,28 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def sketch_bits(whole: DataFrame) -> DataFrame:
-    """(member, bits, fine): the bitmaps of whole sets."""
-    return whole.mapInArrow(_parities, "set_id bigint, bits binary, fine binary").withColumnRenamed("set_id", "member")
+    """(member, bits, fine, shingles): whole sets and the bitmaps of their sketches."""
+    kinds = "set_id bigint, bits binary, fine binary, shingles array<bigint>"
+    return whole.mapInArrow(_parities, kinds).withColumnRenamed("set_id", "member")
+
+
+def joint_lists(lists: DataFrame) -> DataFrame:
+    """(value, band, mates, member, role, size): lists of a size with the same center as one, named by it, where that makes no more pairs."""
+    centers = lists.groupBy("center", "band").agg(
+        F.count_distinct("member").alias("together"), F.sum("mates").alias("pairs"),
+    ).where("together * together <= pairs").select("center", "band", "together")
+    # Joined by list: a center can have a third of all rows.
+    joint = stored(lists.select("value", "band", "center").distinct().join(centers, ["center", "band"]), "joint-lists")
+    return lists.drop("center").join(joint, ["value", "band"], "left").select(
+        F.coalesce("center", "value").alias("value"), "band", F.coalesce("together", "mates").alias("mates"), "member", "role", "size",
+    ).distinct()
 
 
 def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """The lists with members that no links connect yet, with the root of each member."""
+    """The lists, joint ones as one, with members that no links connect yet, with the root of each member."""
     of_member = roots.select(F.col("set_id").alias("member"), F.col("root"))
     rooted = stored(
-        lists.select("value", "band", "mates", "member", "role", "size").join(of_member, "member", "left")
-        .withColumn("root", F.coalesce("root", "member")), "rooted",
+        joint_lists(lists).join(of_member, "member", "left").withColumn("root", F.coalesce("root", "member")), "rooted",
     )
     # A list whose members are all connected is done.
     several = stored(
@@ -456,17 +481,18 @@ def open_lists(lists: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def unconnected_pairs(opened: DataFrame, bits: DataFrame, block: int = BLOCK, forest: bool = False) -> DataFrame:
-    """Pairs of members of an open list that no links connect yet and that their bitmaps do not rule out.
+    """Pairs of members of an open list that no links connect yet and that are links, by the whole sets if ``bits`` has them.
 
-    With ``forest``, of each block only pairs that connect its members if they all are links.
+    Without these, pairs that the bitmaps do not rule out. With ``forest``, of each block only pairs that connect its members.
     """
-    blocks = F.ceil(F.col("mates") / F.lit(block)).cast("bigint")
+    at_once = F.least(F.lit(block), F.floor(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(SIZE_STEP), F.col("band") + 1)))
+    blocks = F.ceil(F.col("mates") / F.greatest(F.lit(1), at_once)).cast("bigint")
     dealt = (
         opened.join(bits, "member")
         .withColumn("block", F.pmod(F.xxhash64("member"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
         .select(
             "value", "band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
-            "member", "role", "root", "size", "bits", "fine",
+            "member", "role", "root", "size", *[c for c in ("bits", "fine", "shingles") if c in bits.columns],
         )
     )
     order = ["value", "band", "low", "high"]
@@ -497,15 +523,10 @@ def linked_components(docs: DataFrame, mates: int = MATES, at_once: int = HELD,
     )
     lists = stored(rare_lists(crowded), "lists")
     links = stored(verified(likely(met, sets).union(likely(central_pairs(lists), sets)), docs, sets), "links")
-    whole = stored(whole_sets(docs, sets, crowded.select("set_id")), "crowded-sets")
-    bits = stored(sketch_bits(whole), "sketch-bits")
-    # In a group of near copies whose most crowded member is linked with few, most pairs are links: connect it by a forest first.
     roots = components(links)
-    for forest in (True, False):
-        lists = open_lists(lists, roots)
-        further = likely(unconnected_pairs(lists, bits, block, forest), sets)
-        roots = merged(roots, linked(further, whole))
-    return _named(every, sets, roots)
+    opened = stored(open_lists(lists, roots), "open-lists")
+    bits = sketch_bits(whole_sets(docs, sets, opened.select(F.col("member").alias("set_id"))))
+    return _named(every, sets, merged(roots, unconnected_pairs(opened, bits, block, forest=True)))
 
 
 def _named(every: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:

@@ -110,6 +110,39 @@ def test_a_forest_connects_near_copies_by_fewer_pairs_than_rows(spark, block):
     assert len(set(root.values())) == 1
 
 
+def near_misses(members, size=700, own=60):
+    """Whole sets of which no two are linked, though each two share more than four fifths of what a link needs."""
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**63, size - own, dtype=np.uint64)
+    return [np.unique(np.concatenate((common, rng.integers(0, 2**63, own, dtype=np.uint64)))) for _ in range(members)]
+
+
+def test_pairs_that_are_not_links_leave_no_rows(spark):
+    """Large sets just below the threshold: sketches allow a link of each two, whole sets of none but a copy's."""
+    sets = near_misses(50)
+    sets.append(np.delete(sets[20], slice(0, 9)))
+    sizes = [len(x) for x in sets]
+    whole = spark.createDataFrame([(10 + n, x.view(np.int64).tolist()) for n, x in enumerate(sets)], "set_id bigint, shingles array<bigint>")
+    opened = spark.createDataFrame(
+        [(7, 39, len(sets), 10 + n, 0, size, 10 + n) for n, size in enumerate(sizes)],
+        "value bigint, band int, mates bigint, member bigint, role int, size bigint, root bigint",
+    )
+    for block in (4096, 16):
+        for forest in (True, False):
+            rows = sketch_dedup.unconnected_pairs(opened, sketch_dedup.sketch_bits(whole), block, forest).collect()
+            assert [(r.a, r.b) for r in rows] == [(30, 60)]
+
+
+def test_lists_of_one_group_are_compared_as_one(spark):
+    """Near copies share a list per value; with one center their members are dealt once, other lists stay as they are."""
+    rows = [(value, 3, 20, member, 0, 99, 1) for value in range(100, 130) for member in range(1, 21)]
+    rows += [(value, 3, 2, member, 0, 99, 1000) for value in range(200, 210) for member in (1000, value)]
+    lists = spark.createDataFrame(rows, "value bigint, band int, mates bigint, member bigint, role int, size bigint, center bigint")
+    no_links = spark.createDataFrame([], "set_id bigint, root bigint")
+    opened = [(r.value, r.mates, r.member, r.root) for r in sketch_dedup.open_lists(lists, no_links).collect()]
+    assert sorted(opened) == sorted([(1, 20, m, m) for m in range(1, 21)] + [(v, 2, m, m) for v in range(200, 210) for m in (1000, v)])
+
+
 def test_pairs_apart_after_the_forest_are_still_compared(make_docs):
     """Chains in which a member is linked with its neighbours only, and pairs whose bitmaps allow a link that is none."""
     rng = random.Random(9)
